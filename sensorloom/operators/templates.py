@@ -19,7 +19,7 @@ _ANY = f"{_REAL}|{_WHOLE}"
 _WINDOW_SIZE = r"(\bwindow_[A-Za-z]\w*\s*\(\s*-?\s*)(\d+)"
 
 # Shapes that share one plan; a table with more is split.
-SHAPES_PER_PLAN = 60
+SHAPES_PER_PLAN = 40
 
 
 def with_shape(df: DataFrame, expression: str = "expression", key: str = "rule_key") -> DataFrame:
@@ -41,7 +41,7 @@ def _readable(shape: str) -> tuple[str, list[str]]:
     """A shape as a formula with a name for every number, and the kinds of the numbers."""
     kinds = re.findall(r"#([di])", shape)
     counter = iter(range(len(kinds)))
-    named = re.sub(r"#[di]", lambda _: f"_µ{next(counter)}", shape)
+    named = re.sub(r"#[di]", lambda _: f"_λ{next(counter)}", shape)
     return re.sub(r"(\(\s*-?\s*)w(\d+)", r"\1\2", named), kinds
 
 
@@ -52,7 +52,7 @@ def shape_windows(shape: str) -> set[WindowCall]:
         return set()
 
 
-def shape_column(shape: str, windows: dict[WindowCall, Column]) -> Column:
+def shape_column(shape: str, windows: dict[WindowCall, Column], dialect: str = "server") -> Column:
     """The Column of a shape; null for a shape that is no formula."""
     text, kinds = _readable(shape)
 
@@ -61,7 +61,7 @@ def shape_column(shape: str, windows: dict[WindowCall, Column]) -> Column:
             return F.col("value")
         if name == "state":
             return F.col("state").cast("bigint"), "long"
-        number = re.fullmatch("_µ(\\d+)", name)
+        number = re.fullmatch(r"_λ(\d+)", name)
         if number:
             at = int(number.group(1))
             given = F.col("numbers")[at]
@@ -69,7 +69,7 @@ def shape_column(shape: str, windows: dict[WindowCall, Column]) -> Column:
         return None  # other sensors are unknown next to a single reading
 
     try:
-        return formula_column(text, scope, windows)
+        return formula_column(text, scope, windows, dialect)
     except FormulaError:
         return F.lit(None).cast("double")
 
@@ -79,7 +79,7 @@ def shapes_of(rules: DataFrame) -> list[str]:
     return sorted(row[0] for row in rules.select("shape").filter(F.col("shape").isNotNull()).distinct().collect())
 
 
-def evaluate_shapes(df: DataFrame, shapes: list[str], window_columns, out: str = "result") -> DataFrame:
+def evaluate_shapes(df: DataFrame, shapes: list[str], window_columns, out: str = "result", dialect: str = "server") -> DataFrame:
     """Add the result of each row's shape; null without a rule or on failure.
 
     `window_columns(call)` gives the Column of a window call.
@@ -89,7 +89,7 @@ def evaluate_shapes(df: DataFrame, shapes: list[str], window_columns, out: str =
         for shape in reversed(some):
             windows = {call: window_columns(call) for call in shape_windows(shape)}
             windows = {call: column for call, column in windows.items() if column is not None}
-            result = F.when(F.col("shape") == shape, shape_column(shape, windows)).otherwise(result)
+            result = F.when(F.col("shape") == shape, shape_column(shape, windows, dialect)).otherwise(result)
         return result
 
     if len(shapes) <= SHAPES_PER_PLAN:

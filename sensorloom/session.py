@@ -49,9 +49,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame so that loops do not grow the plan without end."""
+    """Checkpoint a frame so that loops do not grow the plan without end.
+
+    The files lie in the folder that the cluster names; only a session without one, as in
+    tests, gets a folder of its own. The frame is cached while it is written, as writing
+    a checkpoint would compute it twice otherwise.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sensorloom-"))
-    return df.checkpoint()
+    held = df.persist()
+    saved = held.checkpoint()
+    held.unpersist()
+    return saved
