@@ -19,7 +19,7 @@ HASH_SLOTS = 500
 SERIAL_IN_TEXT = r"\b(?:P_|SN_)?\d{4,6}\b"
 PREFIXED_SERIAL_IN_TEXT = r"\b(?:P_|SN_)\d{4,6}\b"
 
-_INT_MIN, _INT_MAX = -(2 ** 31), 2 ** 31 - 1
+_INT_MAX = 2 ** 31 - 1
 
 
 def _trim(text: Column) -> Column:
@@ -33,24 +33,19 @@ def is_blank(text: Column) -> Column:
 
 def normalize_device_id(device: Column) -> Column:
     """Trimmed and upper-cased device name; the default device for none."""
-    return F.when(is_blank(device), DEFAULT_DEVICE).otherwise(F.upper(_trim(device)))
+    return F.coalesce(F.nullif(F.upper(_trim(device)), F.lit("")), F.lit(DEFAULT_DEVICE))
 
 
-def _signed_int(text: Column) -> Column:
-    """A 32-bit number written with digits and at most one sign, else null."""
-    number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)"))
-    return F.when(number.between(_INT_MIN, _INT_MAX), number.cast("int"))
+# A device name, the first `#` or else the first `:`, and a whole number.
+_COMPOSITE = r"(?s)^(?:([^#]+)#|([^#:]+):)[\x00-\x20]*([+-]?\d+)[\x00-\x20]*$"
 
 
 def parse_composite_id(text: Column) -> Column:
     """`DEVICE#5` or `DEVICE:5` as struct(device_id, sensor_index), else null."""
-    hash_at = F.instr(text, "#")
-    at = F.when(hash_at > 0, hash_at).otherwise(F.instr(text, ":"))
-    index = _signed_int(_trim(F.substr(text, at + 1)))
-    valid = (at > 1) & (at < F.length(text)) & index.isNotNull()
-    return F.when(valid, F.struct(
-        normalize_device_id(F.substr(text, F.lit(1), at - 1)).alias("device_id"),
-        index.alias("sensor_index"),
+    index = F.regexp_extract(text, _COMPOSITE, 3).try_cast("int")
+    device = F.concat(F.regexp_extract(text, _COMPOSITE, 1), F.regexp_extract(text, _COMPOSITE, 2))
+    return F.when(index.isNotNull(), F.struct(
+        normalize_device_id(device).alias("device_id"), index.alias("sensor_index"),
     ))
 
 

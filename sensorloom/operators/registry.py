@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from sensorloom import schemas
 from sensorloom.functions.audit import uses_window
 from sensorloom.functions.categories import default_category, default_unit, formula_code, sensor_code
-from sensorloom.functions.ids import SERIAL_FLOOR, fallback_serial, is_blank, normalize_device_id, target_sensor_of
+from sensorloom.functions.ids import (
+    SERIAL_FLOOR, fallback_serial, is_blank, normalize_device_id, parse_composite_id, target_sensor_of,
+)
 from sensorloom.session import cut, small_side
 
 # The sensors and formulas of an empty registry.
@@ -387,3 +389,15 @@ def rules_from_registry(registry: DataFrame, strict: bool = False) -> DataFrame:
 
 def rule_count(registry: DataFrame) -> DataFrame:
     return rules_from_registry(registry).agg(F.count("*").alias("published"))
+
+
+def resolve_or_keep(df: DataFrame, mappings: DataFrame, column: str, out: str) -> DataFrame:
+    """Ids with device slots (`DEVICE#5`) replaced by serials; serials are trimmed, others kept as they are."""
+    text = F.trim(column)
+    is_serial = text.rlike(r"^\d+$") | text.startswith("P_") | text.startswith("SN_")
+    slots = df.withColumn("_slot", F.when(~is_serial, parse_composite_id(text)))
+    slots = slots.withColumns({"_slot_device": F.col("_slot.device_id"), "_slot_index": F.col("_slot.sensor_index")})
+    numbered = resolve_serials(slots, mappings, "_slot_device", "_slot_index", "_slot_serial")
+    kept = F.when(is_serial, text).otherwise(F.col(column))
+    resolved = F.when(F.col("_slot").isNotNull(), F.col("_slot_serial").cast("string")).otherwise(kept)
+    return numbered.withColumn(out, resolved).drop("_slot", "_slot_device", "_slot_index", "_slot_serial")
