@@ -16,6 +16,8 @@ from sensorloom.functions.formula import FormulaError, WindowCall, formula_colum
 _REAL = r"(?<![\w.])(?:\d+\.\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+)"
 _WHOLE = r"(?<![\w.])\d+(?![\w.])"
 _ANY = f"{_REAL}|{_WHOLE}"
+# Names that mean nothing next to a single reading; calls are left alone.
+_UNBOUND = r"\b(?!(?:value|state|true|false|math|Math)\b)[A-Za-z_]\w*\b(?!\s*[(.])"
 _WINDOW_SIZE = r"(\bwindow_[A-Za-z]\w*\s*\(\s*-?\s*)(\d+)"
 
 # Shapes that share one plan; a table with more is split.
@@ -25,12 +27,14 @@ SHAPES_PER_PLAN = 40
 def with_shape(df: DataFrame, expression: str = "expression", key: str = "rule_key") -> DataFrame:
     """Add `shape` (the text without numbers) and `numbers` to rows with an expression.
 
-    The row's own sensor, in any spelling, is read as `value`.
+    The row's own sensor, in any spelling, is read as `value`; all unknown names are one,
+    so that they make no shapes of their own.
     """
     text, own = F.col(expression), F.col(key)
     spelled = F.when(own.rlike(r"^\d+$"), F.regexp_replace(text, F.concat(F.lit(r"\b(?:P_|SN_)"), own, F.lit(r"\b")), F.lit("value")))
     spelled = spelled.when(own.rlike(r"^[A-Za-z_]\w*$"), F.regexp_replace(text, F.concat(F.lit(r"\b"), own, F.lit(r"\b")), F.lit("value")))
-    marked = F.regexp_replace(spelled.otherwise(text), _WINDOW_SIZE, "$1w$2")
+    bound = F.regexp_replace(spelled.otherwise(text), _UNBOUND, "unbound")
+    marked = F.regexp_replace(bound, _WINDOW_SIZE, "$1w$2")
     df = df.withColumn("_marked", marked)
     shape = F.regexp_replace(F.regexp_replace(F.col("_marked"), _REAL, "#d"), _WHOLE, "#i")
     numbers = F.regexp_extract_all(F.col("_marked"), F.lit(_ANY), F.lit(0))

@@ -18,6 +18,7 @@ def query(sql: str | None = None) -> Callable:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return rounded(micros(job(Tables(spark, folder))))
 
+        run.group = job.__module__.rpartition(".")[2]
         JOBS[job.__name__] = run
         if sql is not None:
             CHECKS[job.__name__] = with_tables(sql)
