@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sensorloom.plans import series, values, watching  # noqa: F401
+from sensorloom.plans import series, tables_of_sensors, values, watching  # noqa: F401
 from sensorloom.plans.registered import CHECKS, JOBS
 
 __all__ = ["CHECKS", "JOBS"]
