@@ -85,16 +85,19 @@ def evaluate_composite(
     step: int = 1,
     by: str = "position",
     missing: str = "truncate",
+    order: Sequence[str] | None = None,
     plan: tuple | None = None,
 ) -> DataFrame:
     """Points of a target formula: pos, ts, primary value, computed value, and each formula's own column.
 
     Formulas run in dependency order, so that each can use the results of those before it;
-    windows run over the primary sensor. `step` keeps every step-th point.
+    windows run over the primary sensor. `step` keeps every step-th point. `order` names
+    the columns that order the readings of a sensor; `plan` saves looking up the formula
+    tree again, see `composite_plan`.
     """
     steps, sensors, first = plan or composite_plan(formulas, target, primary)
     keyed = readings.withColumn("sensor_id", F.regexp_replace("sensor_id", r"(?i)^(?:P_|SN_)(\d+)$", "$1"))
-    aligned = align_series(keyed, sensors, duration, by, missing, clock=first)
+    aligned = align_series(keyed, sensors, duration, by, missing, first, order)
     done = evaluate_steps(aligned, steps, sensors, first)
     points = done.select(
         "pos", "ts", F.col(f"`{first}`").alias("primary_value"),

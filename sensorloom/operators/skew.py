@@ -40,11 +40,11 @@ def hot_keys(df: DataFrame, keys: list[str], order: list[str], split_rows: int =
         .agg(F.count("*").alias("_rows"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
         .filter(F.col("_rows") > split_rows)
     )
+    if hot.isEmpty():
+        return None
     hot = cut(hot.select(*keys, "_low", F.greatest(
         F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / split_rows)),
     ).cast("bigint").alias("_width")))
-    if hot.isEmpty():
-        return None
     while True:
         fullest = (
             _sliced(df, hot, keys, order).groupBy(*keys, "_slice").count()

@@ -133,7 +133,7 @@ def rolling(
 
 def rolling_by_position(
     df: DataFrame, calls: Iterable[WindowCall], pos: str = "pos", keys: Iterable[str] = (), value: str = "value",
-    cap: int | None = HISTORY_ROWS, dialect: str = "ui", chunk_rows: int = 1_000_000,
+    cap: int | None = HISTORY_ROWS, dialect: str = "ui", chunk_rows: int = 50_000,
 ) -> DataFrame:
     """As `rolling`, for rows that carry dense positions: always in chunks."""
     wanted = _check(set(calls))

@@ -369,6 +369,33 @@ def pressure_delta_metrics(t: Tables) -> DataFrame:
     return simulation_metrics(points, with_deviation=False)
 
 
+# Five formulas that use each other, over five sensors and one day of steps.
+_CHAIN = [
+    ("F1", "sensor_000 * 1.5 + 10"), ("F2", "F1 * 0.9 + sensor_001"), ("F3", "F2 + window_avg(10) - sensor_002"),
+    ("F4", "F3 * 1.1 + sensor_003"), ("F5", "F4 - window_max(5) + sensor_004"),
+]
+DAY = 86_400
+
+
+@query(f"""WITH typed AS (SELECT l_suppkey % 5 AS s, l_shipdate AS ts, l_orderkey, l_linenumber, l_partkey, l_quantity AS value, l_extendedprice FROM lineitem),
+    placed AS (SELECT s, value, row_number() OVER (PARTITION BY s ORDER BY ts, l_orderkey, l_linenumber, l_partkey, value, l_extendedprice) - 1 AS pos FROM typed),
+    steps AS (SELECT pos, max(value) FILTER (s = 0) AS a, max(value) FILTER (s = 1) AS b, max(value) FILTER (s = 2) AS c, max(value) FILTER (s = 3) AS d, max(value) FILTER (s = 4) AS e
+              FROM placed GROUP BY pos HAVING count(*) = 5 AND pos < {DAY}),
+    held AS (SELECT *, avg(a) OVER (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS w, max(a) OVER (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM steps)
+    SELECT pos, a AS primary_value, floor(((((a * 1.5 + 10) * 0.9 + b + w - c) * 1.1 + d) - m + e) * 1000 + 0.5) / 1000 AS computed_value, CAST(0 AS INT) AS failures FROM held""")
+def evaluate_chain_over_a_day(t: Tables) -> DataFrame:
+    chain = t.spark.createDataFrame(
+        [(i, None, i, e, "", "sensor_000") for i, e in _CHAIN], "id string, serial bigint, name string, expression string, category string, target_sensor string",
+    )
+    rows = t.lineitem.select(
+        F.concat(F.lit("sensor_00"), (F.col("l_suppkey") % 5).cast("string")).alias("sensor_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("value"), "l_extendedprice",
+    )
+    order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "value", "l_extendedprice"]
+    points = evaluate_composite(rows, chain, "F5", duration=DAY, order=order)
+    return points.select("pos", "primary_value", "computed_value", "failures")
+
+
 # Stand-in values: value and windows 50, sensors 45.5, formulas 72.
 @query("""
     SELECT id, CASE WHEN p % 101 = 50 THEN 73.0 WHEN p % 101 = 51 THEN 144.0 WHEN p % 8 = 0 THEN 45.5 * 1.8 + p % 40

@@ -108,9 +108,9 @@ def search_registry(t: Tables) -> DataFrame:
     return registry.search_registry(t.registry, "FORMULA", " ", " P_1 ").select(_ROW)
 
 
-@query(f"{_ROW_SQL} device_id = 'DEVICE-003' AND CAST(serial AS STRING) LIKE '%3'")
+@query(f"{_ROW_SQL} device_id = 'DEVICE-003' AND (lower(sensor_name) LIKE '%sensor 1%' OR lower(sensor_code) LIKE '%sensor 1%' OR lower(category) LIKE '%sensor 1%')")
 def search_registry_by_device(t: Tables) -> DataFrame:
-    return registry.search_registry(t.registry, None, "DEVICE-003", "3").select(_ROW).filter("serial % 10 = 3")
+    return registry.search_registry(t.registry, None, "DEVICE-003", "Sensor 1").select(_ROW)
 
 
 @query(f"""{_ROW_SQL} contains(lower(sensor_name), 'dev') OR contains(lower(sensor_code), 'dev') OR contains(lower(category), 'dev')
@@ -369,7 +369,7 @@ def formulas_after_import(t: Tables) -> DataFrame:
         return df.withColumn("tags", F.array().cast("array<string>"))
 
     merged, count = formulas.import_formulas(tagged(t.formulas), tagged(t.sql(_ITEMS)))
-    return merged.select("id", "name", "expression").withColumn("imported", F.lit(count.first()["imported"]))
+    return merged.select("id", "name", "expression").withColumn("imported", F.lit(count.first()["imported"]).cast("bigint"))
 
 
 _CHANGED_REGISTRY = "SELECT serial, sensor_code, sensor_name, sensor_type, category, formula_expression || ' + 1' AS formula_expression, description FROM registry WHERE sensor_type = 'FORMULA' AND serial % 3 = 0 AND trim(formula_expression) <> ''"

@@ -76,12 +76,11 @@ def apply_changing_rules(t: Tables) -> DataFrame:
     return apply_rules(t.readings, t.rules, as_of=True, retention_seconds=HALF_DAY)
 
 
-@query(f"""WITH {_USABLE}, plain AS (SELECT r.seq, u.rule_id, r.value, r.state, u.k FROM readings r JOIN usable u ON u.rule_key = r.sensor_id WHERE u.k % 7 IN (0, 2, 6))
-    SELECT seq, rule_id, round(CASE k % 7 WHEN 0 THEN value * 1.5 + k % 10 WHEN 2 THEN value - 3
-           ELSE CASE WHEN value > 10 AND state = 0 THEN value / 4 ELSE 0 - value END END, 6) + 0.0 AS result FROM plain""")
+@query(f"""WITH {_USABLE}, {_history('readings', HALF_DAY, 'sensor_id')},
+    results AS (SELECT w.seq, u.rule_id, {_RESULT} AS result FROM windows w JOIN usable u ON u.rule_key = w.sensor_id)
+    SELECT seq, rule_id, round(result, 6) + 0.0 AS result FROM results WHERE result IS NOT NULL""")
 def apply_all_rules_of_each_target(t: Tables) -> DataFrame:
-    kept = t.rules.filter(~F.col("expression").contains("window_") & ~F.col("expression").contains("99999"))
-    done = evaluate_rules(t.readings, kept, multi=True)
+    done = evaluate_rules(t.readings, t.rules, multi=True, retention_seconds=HALF_DAY)
     return done.filter(F.col("result").isNotNull()).select("seq", "rule_id", "result")
 
 
