@@ -19,8 +19,6 @@ HASH_SLOTS = 500
 SERIAL_IN_TEXT = r"\b(?:P_|SN_)?\d{4,6}\b"
 PREFIXED_SERIAL_IN_TEXT = r"\b(?:P_|SN_)\d{4,6}\b"
 
-_INT_MAX = 2 ** 31 - 1
-
 
 def _trim(text: Column) -> Column:
     """Cut every leading and trailing control character and blank."""
@@ -84,19 +82,16 @@ def string_hash(text: Column) -> Column:
     """The 32-bit polynomial hash (factor 31) over the characters of a text."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
     unsigned = F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.when(unsigned > _INT_MAX, unsigned - 2 ** 32).otherwise(unsigned)
+    return (unsigned + 2 ** 31).bitwiseAND(F.lit(0xFFFFFFFF)) - 2 ** 31
 
 
 def fallback_serial(device: Column, index: Column) -> Column:
     """A repeatable serial for a device slot that is in no registry."""
     name = normalize_device_id(device)
-    # A number beyond 64 bits is none, and the name is hashed instead.
+    # A number too large to work with is none, and the name is hashed instead.
     number = F.regexp_extract(name, r"(\d+)$", 1).try_cast("bigint")
-    # Bounded so that the product below cannot pass 64 bits.
-    numbered = F.when(
-        number <= 9_000_000_000_000_000,
-        F.lit(SERIAL_FLOOR) + F.greatest(F.lit(0).cast("bigint"), number - 1) * DEVICE_STRIDE,
-    )
+    offset = F.try_multiply(F.greatest(F.lit(0).cast("bigint"), number - 1), F.lit(DEVICE_STRIDE).cast("bigint"))
+    numbered = F.when(number.isNotNull(), F.try_add(offset, F.lit(SERIAL_FLOOR).cast("bigint")))
     hashed = F.lit(HASHED_FLOOR) + (F.abs(string_hash(name)) % HASH_SLOTS + 1) * DEVICE_STRIDE
     return F.coalesce(numbered, hashed) + index.cast("bigint") + 1
 

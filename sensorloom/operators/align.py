@@ -35,6 +35,8 @@ def align_series(
     elif missing != "truncate":
         raise ValueError(f"unknown way to treat missing series {missing!r}")
     order = list(order or (["ts", "seq"] if "seq" in df.columns else ["ts"]))
+    present_here = [F.coalesce(F.max(F.when(F.col("sensor_id") == s, 1)), F.lit(0)) for s in sensors]
+    met = F.count("*") if by == "position" else sum(present_here[1:], present_here[0])
     if by == "position":
         placed = positions(wanted.select("sensor_id", "value", *dict.fromkeys([*order, "ts"])), ["sensor_id"], order, "pos", split_rows)
         if duration is not None:
@@ -49,7 +51,7 @@ def align_series(
     values = [F.first(F.when(F.col("sensor_id") == s, F.col("value")), ignorenulls=True).alias(s) for s in sensors]
     steps = placed.groupBy(key).agg(
         *values, F.max(F.when(F.col("sensor_id") == owner, F.col("ts"))).alias("ts"),
-        F.count_distinct("sensor_id").alias("_n"),
+        met.alias("_n"),
     ).filter(F.col("_n") == len(present)).drop("_n")
     if missing == "zero":
         steps = steps.withColumns({s: F.coalesce(F.col(f"`{s}`"), F.lit(0.0)) for s in sensors})

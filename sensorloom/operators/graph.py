@@ -19,6 +19,8 @@ RESERVED = (
 
 DEFAULT_PRIMARY = "sensor_000"
 
+FEW_REFERENCES = 10_000  # references that are fetched in one go
+
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 _SERIAL = r"(?i)^(?:P_|SN_)\d+$"
 _SENSOR = r"(?i)^(?:sensor_\d+|[A-Z0-9_]+_sensor|[A-Z0-9_]+_stream)$"
@@ -156,13 +158,23 @@ def formula_tree(formulas: DataFrame, target: str) -> tuple[list, list[str]]:
     """Formula rows of one target in evaluation order, and the sensors they name.
 
     This is what a plan for the target is made from, so it comes to the driver: the tree
-    of one formula, fetched level by level.
+    of one formula, fetched level by level, or from all references if they are few.
     """
     references = formula_references(formulas).persist()
+    few = references.limit(FEW_REFERENCES + 1).collect()
+    by_source: dict[str, list] = {}
+    for row in few:
+        by_source.setdefault(row["src"], []).append(row)
+
+    def mentions(sources: list[str]) -> list:
+        if len(few) <= FEW_REFERENCES:
+            return [row for name in sources for row in sorted(by_source.get(name, []), key=lambda r: r["pos"])]
+        return references.filter(F.col("src").isin(sources)).orderBy("src", "pos").collect()
+
     uses, sensors, frontier = {target: []}, [], [target]
     while frontier:
         following = []
-        for row in references.filter(F.col("src").isin(frontier)).orderBy("src", "pos").collect():
+        for row in mentions(frontier):
             if row["kind"] == "sensor":
                 sensors.append(row["ref"])
                 continue

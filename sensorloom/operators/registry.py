@@ -162,10 +162,10 @@ def resolve_serials(df: DataFrame, mappings: DataFrame, device: str = "device_id
     known = mappings.select(
         F.col("device_id").alias("_device"), F.col("sensor_index").alias("_index"), F.col("serial").alias("_serial"),
     )
-    name = normalize_device_id(F.col(device))
-    joined = df.join(small_side(known), (name == F.col("_device")) & (F.col(index) == F.col("_index")), "left")
-    serial = F.coalesce(F.col("_serial"), fallback_serial(F.col(device), F.col(index)))
-    return joined.withColumn(out, serial).drop("_device", "_index", "_serial")
+    named = df.withColumn("_name", normalize_device_id(F.col(device)))
+    joined = named.join(small_side(known), (F.col("_name") == F.col("_device")) & (F.col(index) == F.col("_index")), "left")
+    serial = F.coalesce(F.col("_serial"), fallback_serial(F.col("_name"), F.col(index)))
+    return joined.withColumn(out, serial).drop("_name", "_device", "_index", "_serial")
 
 
 def fallback_collisions(slots: DataFrame) -> DataFrame:

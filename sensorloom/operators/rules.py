@@ -10,7 +10,7 @@ from sensorloom.functions.ids import canonical_serial_id, output_sensor_id
 from sensorloom.operators.skew import SPLIT_ROWS
 from sensorloom.operators.templates import evaluate_shapes, shape_windows, shapes_of, with_shape
 from sensorloom.operators.windows import known_windows, rolling
-from sensorloom.session import BROADCAST_ROWS, small_side
+from sensorloom.session import cut, small_side
 
 # Fixed value: history of a stream is held for this long.
 RETENTION_SECONDS = 1800
@@ -71,7 +71,7 @@ def rules_as_of(readings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _runs(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of windowed evaluation per sensor: number and first time of each.
+    """Runs of windowed evaluation per sensor: number, first time, and rows of each rule version.
 
     A reading without a windowed rule ends a run. Whether a version of a rule met any
     reading is known after one small aggregate per version.
@@ -79,13 +79,13 @@ def _runs(matched: DataFrame, keys: list[str]) -> DataFrame:
     origin = F.coalesce(F.col("rule_from"), F.lit(-1))
     met = (
         matched.groupBy(*keys, origin.alias("_from"), F.coalesce(F.col("uses_window"), F.lit(False)).alias("_windowed"))
-        .agg(F.min("ts").alias("_start"))
+        .agg(F.min("ts").alias("_start"), F.count("*").alias("_rows"), F.min("seq").alias("_low"), F.max("seq").alias("_high"))
     )
     so_far = Window.partitionBy(*keys).orderBy("_from").rowsBetween(Window.unboundedPreceding, 0)
     numbered = met.withColumn("run", F.sum(F.when(F.col("_windowed"), 0).otherwise(1)).over(so_far))
     windowed = numbered.filter("_windowed")
     start = F.min("_start").over(Window.partitionBy(*keys, "run"))
-    return windowed.withColumn("run_start", start).select(*keys, "_from", "run", "run_start")
+    return windowed.withColumn("run_start", start).select(*keys, "_from", "run", "run_start", "_rows", "_low", "_high")
 
 
 def evaluate_rules(
@@ -103,7 +103,7 @@ def evaluate_rules(
     """
     if as_of and multi:
         raise ValueError("rule versions are kept for one rule per target")
-    prepared = _prepared(rules, as_of, multi)
+    prepared = cut(_prepared(rules, as_of, multi))  # used several times, and small next to the readings
     shapes = shapes_of(prepared)
     calls = {shape: shape_windows(shape) for shape in shapes}
     windowed_shapes = [s for s in shapes if "window_" in s or "previous_" in s]
@@ -119,18 +119,16 @@ def evaluate_rules(
     plain = plain.withColumn("inaccurate_result", F.lit(False))
 
     keys = ["reading_key", "rule_id"] if multi else ["reading_key"]
-    targets = prepared.filter("uses_window")
-    watched = targets.select(F.col("rule_key").alias("reading_key")).distinct()
+    watched = prepared.filter("uses_window").select(F.col("rule_key").alias("reading_key")).distinct()
     concerned = matched.join(small_side(watched), "reading_key", "left_semi")
-    runs = _runs(concerned, keys)  # at most one row per windowed rule version
-    if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        runs = F.broadcast(runs)
+    runs = cut(_runs(concerned, keys))  # at most one row per windowed rule version
+    profile = runs.groupBy(*keys, "run").agg(F.sum("_rows").alias("_rows"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     windowed = matched.filter(windowed_flag).withColumn("_from", F.coalesce(F.col("rule_from"), F.lit(-1)))
-    windowed = windowed.join(runs, [*keys, "_from"]).drop("_from")
+    windowed = windowed.join(small_side(runs.drop("_rows", "_low", "_high")), [*keys, "_from"]).drop("_from")
     wanted = set().union(*(calls[s] for s in windowed_shapes))
     windowed = rolling(
         windowed, wanted, keys=[*keys, "run"], order=["seq"], cap=None, within=("ts", retention_seconds),
-        split_rows=split_rows,
+        split_rows=split_rows, profile=profile,
     )
     windowed = evaluate_shapes(
         windowed, windowed_shapes, lambda call: F.col(call.column) if call.name in known_windows() else None,

@@ -27,19 +27,23 @@ def micros(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("bigint")
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, keys: list[str], order: list[str], split_rows: int = SPLIT_ROWS, profile: DataFrame | None = None,
+) -> DataFrame | None:
     """Keys with more than `split_rows` rows and the width of their slices, or None.
 
     There are at most (rows of df / split_rows) of them, whatever the data. The slices
     of a key are narrowed until each holds about `split_rows` rows at most, or cannot
     be narrowed any more (that many rows with one and the same first order value).
+    `profile` gives the number of rows and the range of the first order column per key
+    (`_rows`, `_low`, `_high`) where they are known already.
     """
-    first = micros(df, order[0])
-    hot = (
-        df.select(*keys, first.alias("_at")).groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-        .filter(F.col("_rows") > split_rows)
-    )
+    if profile is None:
+        first = micros(df, order[0])
+        profile = df.select(*keys, first.alias("_at")).groupBy(*keys).agg(
+            F.count("*").alias("_rows"), F.min("_at").alias("_low"), F.max("_at").alias("_high"),
+        )
+    hot = profile.filter(F.col("_rows") > split_rows)
     if hot.isEmpty():
         return None
     hot = cut(hot.select(*keys, "_low", F.greatest(
@@ -114,9 +118,10 @@ def over_chunks(
 def with_history(
     df: DataFrame, keys: list[str], order: list[str], reach: int,
     add: Callable[[DataFrame, list[str], list[str]], DataFrame], split_rows: int = SPLIT_ROWS,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Run a window step that looks back over at most `reach` rows of its key."""
-    hot = hot_keys(df, keys, order, split_rows)
+    hot = hot_keys(df, keys, order, split_rows, profile)
     if hot is None:
         return add(df, keys, order)
     numbered = _positions_of_hot(df, hot, keys, order, "_pos")

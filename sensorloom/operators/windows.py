@@ -71,12 +71,16 @@ def _over_list(name: str, values: Column) -> Column:
     return _custom[name](values)
 
 
+def _newest(values: Column | str, size: int) -> Column:
+    """The last `size` entries of an array."""
+    return F.slice(values, -F.least(F.lit(size), F.size(values)), F.lit(size))
+
+
 def window_over_history(call: WindowCall, history: Column) -> Column:
     """A window function over a history array that ends with the current value; 0 without history."""
     if call.size <= 0:
         return F.when(F.size(history) > 0, _empty(call.name, "server")).otherwise(0.0)
-    recent = F.slice(history, -F.least(F.lit(call.size), F.size(history)), F.lit(call.size))
-    return F.when(F.size(history) > 0, _over_list(call.name, recent)).otherwise(0.0)
+    return F.when(F.size(history) > 0, _over_list(call.name, _newest(history, call.size))).otherwise(0.0)
 
 
 def _check(calls: set[WindowCall]) -> set[WindowCall]:
@@ -86,25 +90,32 @@ def _check(calls: set[WindowCall]) -> set[WindowCall]:
 def _adder(calls: set[WindowCall], value: str, cap: int | None, dialect: str, within: tuple[str, int] | None):
     sizes = {call: call.size if cap is None else min(call.size, cap) for call in calls}
 
+    longest = max([*sizes.values(), 1])
+
+    def held_values(ordered) -> Column:
+        """The values of the longest frame that are young enough, oldest first; collected once for all calls."""
+        clock, seconds = within
+        rows = F.collect_list(F.struct(F.unix_micros(clock).alias("at"), F.col(value).alias("value")))
+        oldest = F.unix_micros(clock) - int(seconds * 1_000_000)
+        fresh = F.filter(rows.over(ordered.rowsBetween(-(longest - 1), 0)), lambda row: row["at"] > oldest)
+        return F.transform(fresh, lambda row: row["value"])
+
     def add(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         columns = {}
+        if within is not None:
+            df = df.withColumn("_held", held_values(ordered))
         for call in sorted(calls, key=lambda c: c.column):
             size = sizes[call]
-            frame = ordered.rowsBetween(-(size - 1), 0)
             if size <= 0:
                 columns[call.column] = F.lit(_empty(call.name, dialect))
             elif within is None:
-                columns[call.column] = _over_frame(call.name, value, frame)
+                columns[call.column] = _over_frame(call.name, value, ordered.rowsBetween(-(size - 1), 0))
             else:
-                clock, seconds = within
-                held = F.collect_list(F.struct(F.col(clock).alias("at"), F.col(value).alias("value"))).over(frame)
-                oldest = F.unix_micros(F.col(clock)) - int(seconds * 1_000_000)
-                fresh = F.filter(held, lambda row: F.unix_micros(row["at"]) > oldest)
-                columns[call.column] = _over_list(call.name, F.transform(fresh, lambda row: row["value"]))
-        return df.withColumns(columns)
+                columns[call.column] = _over_list(call.name, _newest("_held", size))
+        return df.withColumns(columns).drop("_held")
 
-    return add, max([*sizes.values(), 1])
+    return add, longest
 
 
 def rolling(
@@ -117,18 +128,19 @@ def rolling(
     dialect: str = "server",
     within: tuple[str, int] | None = None,
     split_rows: int = SPLIT_ROWS,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per window call, named as `WindowCall.column`.
 
     All calls share one sort. `cap` bounds the held history by count, `within` =
     (time column, seconds) by time. A sensor with more than `split_rows` rows is
-    worked on in chunks.
+    worked on in chunks; `profile` saves counting them, see `hot_keys`.
     """
     wanted = _check(set(calls))
     if not wanted:
         return df
     add, longest = _adder(wanted, value, cap, dialect, within)
-    return with_history(df, list(keys), list(order), longest - 1, add, split_rows)
+    return with_history(df, list(keys), list(order), longest - 1, add, split_rows, profile)
 
 
 def rolling_by_position(

@@ -19,7 +19,8 @@ TIME_HEADER = "timestamp"
 ITEM_FIELDS = ["sensorIndex", "value", "status"]
 READING_FIELDS = ["sensorId", "deviceId", "sensorIndex", "timestamp", "value", "state", "hasInaccurateData"]
 
-_BODY = "struct<header: map<string,string>, body: array<map<string,string>>>"
+_OBJECT = "map<string,string>"
+_LIST = "array<map<string,string>>"
 
 
 def kafka_records(spark: SparkSession, servers: str, topic: str, starting: str = "latest", **options: str) -> DataFrame:
@@ -52,61 +53,71 @@ def record_device(default: str = DEFAULT_DEVICE) -> Column:
     return F.coalesce(_last_header(DEVICE_HEADER), F.col("key").cast("string"), F.lit(default))
 
 
-def record_time(zone: str = "UTC") -> Column:
-    """Time of a record: its time header as milliseconds or local text, else the record's own; now if not positive."""
-    text = F.trim(_last_header(TIME_HEADER))
-    millis = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-    local = F.coalesce(parse_local_t(text, zone), F.when(~text.contains("T"), parse_local_space(text, zone)))
-    stated = F.coalesce(millis, F.unix_millis(local), F.unix_millis("timestamp"))
-    return F.when(stated > 0, F.timestamp_millis(stated)).otherwise(F.current_timestamp())
+def stated_millis(text: Column, zone: str = "UTC") -> Column:
+    """Time of a record from its time header: milliseconds, else local text, else the record's own time."""
+    return F.coalesce(
+        # The pattern goes first, as a failing cast costs far more.
+        F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("bigint")),
+        F.unix_millis(parse_local_t(text, zone)), F.unix_millis(parse_local_space(text, zone)), F.unix_millis("timestamp"),
+    )
 
 
-def _shape() -> Column:
-    fields = F.json_object_keys("_text")
-    body = F.get_json_object("_text", "$.body")
-    return (
-        F.when(F.col("_text").startswith("["), "array")
-        .when(F.array_contains(fields, "sensorIndex"), "item")
-        .when(F.array_contains(fields, "body") & F.ltrim(body).startswith("["), "envelope")
-        .when(F.array_contains(fields, "sensorId"), "reading")
-    )
+def _field(item: Column | str, name: str) -> Column:
+    return F.try_element_at(item, F.lit(name))
 
 
-def _number_ok(text: Column, kind: str) -> Column:
+def _fits(text: Column, kind: str) -> Column:
     number = text.try_cast("double").try_cast("int") if kind == "int" else text.try_cast(kind)
     return text.isNull() | number.isNotNull()
 
 
+def _all_known(items: Column, names: list[str], numbers: dict[str, str]) -> Column:
+    """Whether all objects of a list have only known fields, and numbers where they should."""
+    def known(item: Column) -> Column:
+        test = item.isNotNull() & F.forall(F.map_keys(item), lambda key: key.isin(names))
+        for name, kind in numbers.items():
+            test = test & _fits(_field(item, name), kind)
+        return test
+
+    return F.forall(items, known)
+
+
 def _opened(records: DataFrame, zone: str) -> DataFrame:
-    """Records with `shape`, the list of their objects, device and time, and whether they can be read."""
-    text = F.trim(F.regexp_replace(F.col("value").cast("string"), r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
-    opened = records.withColumns({"_text": text, "_device": record_device(), "_time": record_time(zone)})
-    opened = opened.withColumn("shape", _shape())
-    # All shapes become an object with a body, so that each message is parsed once.
-    wrapped = (
-        F.when(F.col("shape") == "array", F.concat(F.lit('{"body":'), "_text", F.lit("}")))
-        .when(F.col("shape").isin("item", "reading"), F.concat(F.lit('{"body":['), "_text", F.lit("]}")))
-        .otherwise(F.col("_text"))
+    """Records with `shape`, `_items`, the list of their objects or null, device and time.
+
+    The columns are made step by step, each from columns of the step before, so that no
+    text is parsed twice; a message is parsed as a map, and only the parts of an envelope
+    are parsed again.
+    """
+    text = F.regexp_replace(F.col("value").cast("string"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    opened = records.withColumns({"_text": text, "_device": record_device(), "_stamp": F.trim(_last_header(TIME_HEADER))})
+    opened = opened.withColumns({
+        "_millis": stated_millis(F.col("_stamp"), zone),
+        "_root": F.when(F.col("_text").startswith("{"), F.from_json("_text", _OBJECT)),
+    })
+    shape = (
+        F.when(F.col("_text").startswith("["), "array")
+        .when(F.map_contains_key("_root", "sensorIndex"), "item")
+        .when(_field("_root", "body").startswith("["), "envelope")
+        .when(F.map_contains_key("_root", "sensorId"), "reading")
     )
-    opened = opened.withColumn("_parsed", F.from_json(wrapped, _BODY))
-    envelope = F.col("shape") == "envelope"
-    header = F.when(envelope, F.col("_parsed.header"))
-    stated = F.try_element_at(header, F.lit("timestamp")).try_cast("bigint")
-    allowed = F.when(F.col("shape") == "reading", F.array(*map(F.lit, READING_FIELDS))).otherwise(F.array(*map(F.lit, ITEM_FIELDS)))
-
-    def fine(item: Column) -> Column:
-        field = lambda name: F.try_element_at(item, F.lit(name))
-        return (
-            item.isNotNull() & (F.size(F.array_except(F.map_keys(item), allowed)) == 0)
-            & _number_ok(field("sensorIndex"), "int") & _number_ok(field("value"), "double")
-            & _number_ok(field("timestamp"), "bigint") & _number_ok(field("state"), "int")
-        )
-
-    readable = F.col("shape").isNotNull() & F.col("_parsed.body").isNotNull() & F.forall("_parsed.body", fine)
+    # A time that is not positive counts as none, and the message as sent now.
+    now = F.current_timestamp()
+    opened = opened.withColumns({
+        "shape": shape, "_time": F.when(F.col("_millis") > 0, F.timestamp_millis("_millis")).otherwise(now),
+    })
+    listed = F.when(F.col("shape") == "array", F.from_json("_text", _LIST)).when(
+        F.col("shape") == "envelope", F.from_json(_field("_root", "body"), _LIST)).when(
+        F.col("shape").isNotNull(), F.array("_root"))
+    header = F.when(F.col("shape") == "envelope", F.from_json(_field("_root", "header"), _OBJECT))
+    opened = opened.withColumns({"_list": listed, "_head": header})
+    fine = F.when(F.col("shape") == "reading", _all_known(
+        F.col("_list"), READING_FIELDS, {"sensorIndex": "int", "value": "double", "timestamp": "bigint", "state": "int"},
+    )).otherwise(_all_known(F.col("_list"), ITEM_FIELDS, {"sensorIndex": "int", "value": "double"}))
     return opened.withColumns({
-        "_device": F.coalesce(F.try_element_at(header, F.lit("deviceId")), "_device"),
-        "_time": F.coalesce(F.timestamp_millis(stated), "_time"),
-        "_readable": F.coalesce(readable, F.lit(False)),
+        "_device": F.coalesce(_field("_head", "deviceId"), "_device"),
+        "_time": F.coalesce(F.timestamp_millis(_field("_head", "timestamp").try_cast("bigint")), "_time"),
+        "_items": F.when(fine, F.col("_list")),
     })
 
 
@@ -120,12 +131,13 @@ def decode_device_records(
     sensor_index, serial) or computed. `keep` names record columns to carry along.
     """
     keep = list(keep)
-    items = _opened(records, zone).filter("_readable").select(
-        *keep, "shape", "_device", "_time", F.posexplode("_parsed.body").alias("item_number", "_item"),
-    )
+    # The outer form keeps the optimizer from testing, and so parsing, every list in a filter first.
+    items = _opened(records, zone).select(
+        *keep, "shape", "_device", "_time", F.posexplode_outer("_items").alias("item_number", "_item"),
+    ).filter(F.col("_item").isNotNull())
 
     def field(name: str) -> Column:
-        return F.try_element_at("_item", F.lit(name))
+        return _field("_item", name)
 
     finished = F.col("shape") == "reading"
     # A finished reading has its own id, and may have its own device, time and state.
@@ -150,10 +162,10 @@ def decode_device_records(
 
 def rejected_records(records: DataFrame, zone: str = "UTC") -> DataFrame:
     """Records that give no readings, with the reason: empty, unknown shape or malformed."""
-    opened = _opened(records, zone).filter(~F.col("_readable"))
-    reason = (
-        F.when(F.col("_text").isNull() | (F.col("_text") == ""), "empty")
-        .when(F.col("shape").isNull() & F.json_object_keys("_text").isNotNull(), "unknown_shape")
+    opened = _opened(records, zone)
+    reason = F.when(F.col("_items").isNull(), (
+        F.when(F.coalesce("_text", F.lit("")) == "", "empty")
+        .when(F.col("shape").isNull() & F.col("_root").isNotNull(), "unknown_shape")
         .otherwise("malformed")
-    )
-    return opened.withColumn("reason", reason).select(*records.columns, "reason")
+    ))
+    return opened.withColumn("reason", reason).select(*records.columns, "reason").filter(F.col("reason").isNotNull())
