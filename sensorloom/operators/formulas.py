@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import schemas
@@ -10,6 +10,7 @@ from sensorloom.functions.categories import clean_formula_id
 from sensorloom.functions.ids import primary_sensor_of
 from sensorloom.operators.catalog import registry_to_formulas
 from sensorloom.operators.graph import find_formulas
+from sensorloom.operators.skew import explode_range
 
 # The formulas of a fresh or reset table (id, name, category, target, expression, tags).
 DEFAULTS = [
@@ -33,19 +34,20 @@ def default_formulas(spark: SparkSession) -> DataFrame:
 def judge_new_formulas(new: DataFrame, formulas: DataFrame) -> DataFrame:
     """New formulas under their cleaned id, with `accepted`: false where the id is in use.
 
-    Of equal ids among the new ones the first by name is taken.
+    Of equal ids among the new ones the first by name and expression is taken.
     """
     cleaned = new.withColumn("id", clean_formula_id(F.col("id")))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("name", "expression"))
+    firsts = cleaned.groupBy("id").agg(F.min(F.struct("name", "expression")).alias("_first"))
     used = formulas.select("id").distinct().withColumn("_used", F.lit(True))
-    judged = cleaned.withColumn("_nth", nth).join(used, "id", "left")
-    return judged.withColumn("accepted", F.col("_used").isNull() & (F.col("_nth") == 1)).drop("_nth", "_used")
+    judged = cleaned.join(firsts, "id").join(used, "id", "left")
+    first = F.col("_first").eqNullSafe(F.struct("name", "expression"))
+    return judged.withColumn("accepted", F.col("_used").isNull() & first).drop("_first", "_used")
 
 
 def add_formulas(formulas: DataFrame, new: DataFrame) -> DataFrame:
     """The table with the accepted new formulas."""
     accepted = judge_new_formulas(new, formulas).filter("accepted").drop("accepted")
-    return formulas.unionByName(accepted.select(*formulas.columns))
+    return formulas.unionByName(accepted.dropDuplicates(["id"]).select(*formulas.columns))
 
 
 def update_formulas(formulas: DataFrame, changes: DataFrame, strict: bool = True) -> DataFrame:
@@ -109,10 +111,8 @@ def copy_formulas(formulas: DataFrame, ids: DataFrame) -> DataFrame:
     ).distinct()
     # With k copy ids in use, one of the first k + 1 is free.
     load = used.groupBy(F.col("_base").alias("id")).agg(F.count("*").alias("_k"))
-    tries = wanted.select("id").join(load, "id", "left").select(
-        F.col("id").alias("_base"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_k", F.lit(0)) + 1)).alias("_number"),
-    )
+    tries = wanted.select(F.col("id").alias("_base")).join(load.withColumnRenamed("id", "_base"), "_base", "left")
+    tries = explode_range(tries, F.lit(1), F.coalesce("_k", F.lit(0)) + 1, "_number").drop("_k")
     free = tries.join(used, ["_base", "_number"], "left_anti").groupBy("_base").agg(F.min("_number").alias("_number"))
     suffix = F.when(F.col("_number") == 1, "_COPY").otherwise(F.concat(F.lit("_COPY_"), F.col("_number").cast("string")))
     copied = wanted.join(free, F.col("id") == F.col("_base"))

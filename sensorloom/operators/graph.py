@@ -207,15 +207,13 @@ def required_sensors(formulas: DataFrame, targets: DataFrame, primary: str | Non
 
 
 def blocked_deletes(formulas: DataFrame, deletes: DataFrame) -> DataFrame:
-    """(id, dependents): formulas on the delete list that others use."""
-    asked = deletes.select("id").distinct()
-    held = dependents(formulas).join(asked, "id", "left_semi")
-    return held.groupBy("id").agg(F.sort_array(F.collect_set("dependent")).alias("dependents"))
+    """(id, dependent): formulas on the delete list, and each formula that uses them."""
+    return dependents(formulas).join(deletes.select("id").distinct(), "id", "left_semi")
 
 
 def delete_formulas(formulas: DataFrame, deletes: DataFrame) -> DataFrame:
     """The formulas without those on the delete list that nothing uses."""
-    free = deletes.select("id").distinct().join(blocked_deletes(formulas, deletes), "id", "left_anti")
+    free = deletes.select("id").distinct().join(blocked_deletes(formulas, deletes).select("id"), "id", "left_anti")
     return formulas.join(free, "id", "left_anti")
 
 

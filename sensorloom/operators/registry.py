@@ -15,6 +15,7 @@ from sensorloom.functions.categories import default_category, default_unit, form
 from sensorloom.functions.ids import (
     SERIAL_FLOOR, fallback_serial, is_blank, normalize_device_id, parse_composite_id, target_sensor_of,
 )
+from sensorloom.operators.skew import explode_range, positions
 from sensorloom.session import cut, small_side
 
 # The sensors and formulas of an empty registry.
@@ -149,8 +150,8 @@ def mapping_table(registry: DataFrame) -> DataFrame:
 
 def range_mappings(ranges: DataFrame) -> DataFrame:
     """Mappings from rows (device_id, sensor_count, start_serial): consecutive slots and serials."""
-    slots = F.explode(F.sequence(F.lit(0), F.col("sensor_count") - 1))
-    listed = ranges.filter(F.col("sensor_count") > 0).withColumn("sensor_index", slots)
+    listed = explode_range(ranges.filter(F.col("sensor_count") > 0), F.lit(0), F.col("sensor_count") - 1, "sensor_index")
+    listed = listed.withColumn("sensor_index", F.col("sensor_index").cast("int"))
     return listed.select(
         normalize_device_id(F.col("device_id")).alias("device_id"), "sensor_index",
         (F.col("start_serial") + F.col("sensor_index")).alias("serial"),
@@ -349,7 +350,7 @@ def duplicate_formulas(registry: DataFrame, serials: DataFrame) -> DataFrame:
     wanted = registry.join(serials.select("serial").distinct(), "serial", "left_semi").filter(F.col("sensor_type") == "FORMULA")
     base = F.regexp_replace("sensor_code", "[^A-Za-z0-9_-]", "_")
     wanted = wanted.withColumns({"_base": base, "_fold": F.upper(base)})
-    wanted = wanted.withColumn("_nth", F.row_number().over(Window.partitionBy("_fold").orderBy("serial")))
+    wanted = positions(wanted, ["_fold"], ["serial"], "_nth")
     # A base with k taken copy codes and m copies to make finds room among its first k + m codes.
     taken = registry.select(F.upper("sensor_code").alias("_taken"))
     copy = F.regexp_extract("_taken", r"^(.*)_COPY(?:_([1-9]\d*))?$", 1).alias("_fold")
@@ -358,11 +359,9 @@ def duplicate_formulas(registry: DataFrame, serials: DataFrame) -> DataFrame:
     used = taken.filter(F.col("_taken").rlike(r"_COPY(_[1-9]\d*)?$") & ~F.col("_taken").rlike("_COPY_1$")).select(copy, number).distinct()
     load = used.groupBy("_fold").agg(F.count("*").alias("_k"))
     asked = wanted.groupBy("_fold").agg(F.count("*").alias("_m"))
-    tries = asked.join(load, "_fold", "left").select(
-        "_fold", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_k", F.lit(0)) + F.col("_m"))).alias("_number"),
-    )
-    free = tries.join(used, ["_fold", "_number"], "left_anti")
-    free = free.withColumn("_nth", F.row_number().over(Window.partitionBy("_fold").orderBy("_number")))
+    tries = explode_range(asked.join(load, "_fold", "left"), F.lit(1), F.coalesce("_k", F.lit(0)) + F.col("_m"), "_number")
+    free = tries.select("_fold", "_number").join(used, ["_fold", "_number"], "left_anti")
+    free = positions(free, ["_fold"], ["_number"], "_nth")
     placed = wanted.join(free, ["_fold", "_nth"])
     suffix = F.when(F.col("_number") == 1, "_COPY").otherwise(F.concat(F.lit("_COPY_"), F.col("_number").cast("string")))
     made = placed.select(

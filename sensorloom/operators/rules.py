@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.audit import usable_rules
@@ -15,6 +15,9 @@ from sensorloom.session import cut, small_side
 # Fixed value: history of a stream is held for this long.
 RETENTION_SECONDS = 1800
 
+# Rule versions, or groups of them, that one reading is compared with per level.
+FAN_OUT = 32
+
 _RULE_COLUMNS = ["rule_id", "expression", "derived_sensor_id", "uses_window", "shape", "numbers", "rule_from"]
 
 
@@ -47,27 +50,69 @@ def _prepared(rules: DataFrame, as_of: bool, multi: bool) -> DataFrame:
     return with_shape(chosen).select("rule_key", "rule_until", *_RULE_COLUMNS)
 
 
+def _keyed(readings: DataFrame) -> DataFrame:
+    return readings.withColumn("reading_key", canonical_serial_id(F.col("sensor_id")))
+
+
 def _joined(readings: DataFrame, prepared: DataFrame, as_of: bool) -> DataFrame:
-    keyed = readings.withColumn("reading_key", canonical_serial_id(F.col("sensor_id")))
+    """Readings with the columns of their rule; `prepared` is small and made once."""
+    keyed = _keyed(readings)
+    if as_of:
+        keyed, prepared = _narrowed(keyed, prepared)
     matches = F.col("reading_key") == F.col("rule_key")
     if as_of:
-        held = (F.col("seq") >= F.col("rule_from")) & (F.col("rule_until").isNull() | (F.col("seq") < F.col("rule_until")))
-        matches = matches & held
-    return keyed.join(small_side(prepared), matches, "left").drop("rule_until", "rule_key")
+        matches = matches & F.col("_node").eqNullSafe(F.col("_parent")) & _held("rule_from", "rule_until")
+    joined = keyed.join(small_side(prepared), matches, "left")
+    return joined.drop("rule_until", "rule_key", "_node", "_parent")
+
+
+def _held(low: str, high: str) -> Column:
+    return (F.col("seq") >= F.col(low)) & (F.col(high).isNull() | (F.col("seq") < F.col(high)))
+
+
+def _narrowed(keyed: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lead each reading to a group of at most FAN_OUT rule versions of its key.
+
+    The versions of a key are numbered and grouped, and the groups grouped again, like the
+    pages of an index, so that a reading is compared with a few ranges per level however
+    often the rule of its sensor has changed. Adds `_node` to the readings and `_parent`
+    to the versions.
+    """
+    number = F.row_number().over(Window.partitionBy("rule_key").orderBy("rule_from")) - 1
+    versions = versions.withColumn("_number", number)
+    most = versions.agg(F.max("_number")).first()[0] or 0
+    levels = 0
+    while most >= FAN_OUT ** (levels + 1):
+        levels += 1
+
+    def group(level: int) -> Column:
+        return F.floor(F.col("_number") / FAN_OUT ** level)
+
+    keyed = keyed.withColumn("_node", F.lit(0).cast("bigint"))
+    for level in range(levels, 0, -1):
+        pages = versions.groupBy(F.col("rule_key").alias("_key"), group(level).alias("_page"), group(level + 1).alias("_above")).agg(
+            F.min("rule_from").alias("_low"),
+        )
+        until = F.lead("_low").over(Window.partitionBy("_key").orderBy("_page"))
+        pages = pages.withColumn("_high", until)
+        matches = (F.col("reading_key") == F.col("_key")) & (F.col("_node") == F.col("_above")) & _held("_low", "_high")
+        keyed = keyed.join(small_side(pages), matches, "left").drop("_node", "_key", "_above", "_low", "_high")
+        keyed = keyed.withColumnRenamed("_page", "_node")
+    return keyed, versions.withColumn("_parent", group(1)).drop("_number")
 
 
 def match_rules(readings: DataFrame, rules: DataFrame, multi: bool = False) -> DataFrame:
     """Each reading with its current rule, or with nulls."""
-    return _joined(readings, _prepared(rules, False, multi), False)
+    return _joined(readings, cut(_prepared(rules, False, multi)), False)
 
 
 def rules_as_of(readings: DataFrame, rules: DataFrame) -> DataFrame:
     """Each reading with the latest rule that had arrived before it.
 
     Rule versions hold over ranges of arrival numbers, so this is a lookup by key and
-    range and needs no sort of the readings.
+    range, see `_narrowed`, and needs no sort of the readings.
     """
-    return _joined(readings, _prepared(rules, True, False), True)
+    return _joined(readings, cut(_prepared(rules, True, False)), True)
 
 
 def _runs(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,22 +189,29 @@ _OUTPUT = ["sensor_id", "device_id", "sensor_index", "ts", "value", "state", "ha
 def emit_raw_and_derived(evaluated: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """Derived rows (`ord` 0) next to the readings they come from (`ord` 1).
 
-    `raw` gives the readings when a reading may stand in `evaluated` more than once.
+    Both come out of one pass; `raw` gives the readings apart, for when a reading may
+    stand in `evaluated` more than once.
     """
     lead = ["seq"] if "seq" in evaluated.columns else []
-    derived = evaluated.filter(F.col("result").isNotNull()).select(
-        *lead, F.lit(0).alias("ord"),
-        output_sensor_id(F.col("derived_sensor_id"), F.col("sensor_id")).alias("sensor_id"),
-        "device_id", "sensor_index", "ts", F.col("result").alias("value"), "state",
-        F.col("inaccurate_result").alias("has_inaccurate_data"),
-    )
-    source = evaluated if raw is None else raw
-    return derived.unionByName(source.select(*lead, F.lit(1).alias("ord"), *_OUTPUT))
+    derived = {
+        "ord": F.lit(0), "sensor_id": output_sensor_id(F.col("derived_sensor_id"), F.col("sensor_id")),
+        "value": F.col("result"), "has_inaccurate_data": F.col("inaccurate_result"),
+    }
+    source = {"ord": F.lit(1)}
+
+    def row(given: dict[str, Column]) -> list[Column]:
+        return [given.get(name, F.col(name)).alias(name) for name in [*lead, "ord", *_OUTPUT]]
+
+    if raw is not None:
+        return evaluated.filter(F.col("result").isNotNull()).select(*row(derived)).unionByName(raw.select(*row(source)))
+    both = F.array(F.when(F.col("result").isNotNull(), F.struct(*row(derived))), F.struct(*row(source)))
+    rows = evaluated.select(F.explode(both).alias("row")).filter(F.col("row").isNotNull())
+    return rows.select("row.*")
 
 
 def apply_rules(readings: DataFrame, rules: DataFrame, **options) -> DataFrame:
     """Raw and derived rows of all readings under all rules; options as in `evaluate_rules`."""
-    return emit_raw_and_derived(evaluate_rules(readings, rules, **options), readings)
+    return emit_raw_and_derived(evaluate_rules(readings, rules, **options), readings if options.get("multi") else None)
 
 
 def rule_counters(evaluated: DataFrame) -> DataFrame:

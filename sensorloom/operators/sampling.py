@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.skew import first_rows
+from sensorloom.operators.skew import explode_range, first_rows
 
 INTERVAL = re.compile(r"([1-9][0-9]*)(s|m|h|d|w|ms|M|y)")
 _MICROS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
@@ -17,7 +19,7 @@ _MICROS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d"
 TAIL_BUCKETS = 3600
 
 _BLOCK = 65_536  # buckets of one sensor that are sorted together
-_STRIDE = 4_096  # buckets that one row is spread over at a time
+_SHORT = 1_000_000  # a series of so many buckets needs no blocks
 
 
 def parse_interval(every: str) -> tuple[int, str]:
@@ -72,7 +74,8 @@ def sample_by(
     if end is not None:
         df = df.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
     numbered = df.withColumn("_bucket", bucket_number(F.col("ts"), every))
-    numbered = numbered.withColumn("_block", F.floor(F.col("_bucket") / _BLOCK))
+    short = _most_buckets(start, end, every) <= _SHORT
+    numbered = numbered.withColumn("_block", F.lit(0) if short else F.floor(F.col("_bucket") / _BLOCK))
     buckets = numbered.groupBy(*keys, "_block", "_bucket").agg(
         F.avg("value").alias("value"),
         F.max("state").alias("state"),
@@ -82,17 +85,11 @@ def sample_by(
         newest = numbered.groupBy(*keys).agg(F.max("_bucket").alias("_newest"))
         floor_ = F.col("_newest") - (last - 1)
     if fill == "prev":
-        buckets = _until_next(buckets, numbered, keys)
+        buckets = _until_next(buckets, None if short else numbered, keys)
         if last is not None:
             buckets = buckets.join(newest, keys).filter(F.col("_until") >= floor_)
             buckets = buckets.withColumn("_bucket", F.greatest(F.col("_bucket"), floor_))
-        # Two steps, so that no row ever holds the whole of a long gap.
-        starts = F.explode(F.sequence(F.col("_bucket"), F.col("_until"), F.lit(_STRIDE).cast("bigint")))
-        buckets = buckets.withColumn("_bucket", starts)
-        filled = F.explode(F.sequence(
-            F.col("_bucket"), F.least(F.col("_bucket") + (_STRIDE - 1), F.col("_until")), F.lit(1).cast("bigint"),
-        ))
-        buckets = buckets.withColumn("_bucket", filled)
+        buckets = explode_range(buckets, F.col("_bucket"), F.col("_until"), "_bucket")
     elif last is not None:
         buckets = first_rows(buckets, keys, [F.desc("_bucket")], last)
     return buckets.select(
@@ -100,18 +97,34 @@ def sample_by(
     )
 
 
-def _until_next(buckets: DataFrame, numbered: DataFrame, keys: list[str]) -> DataFrame:
+def _most_buckets(start, end, every: str) -> float:
+    """The most buckets that one key can have in a range."""
+    count, unit = parse_interval(every)
+    if start is None or end is None:
+        return math.inf
+    try:
+        first, last = (x if isinstance(x, datetime) else datetime.fromisoformat(str(x)) for x in (start, end))
+        width = count * _MICROS.get(unit, 28 * _MICROS["d"])
+        return abs((last - first).total_seconds()) * 1_000_000 / width + 2
+    except (ValueError, TypeError):
+        return math.inf
+
+
+def _until_next(buckets: DataFrame, numbered: DataFrame | None, keys: list[str]) -> DataFrame:
     """Add `_until`, the last bucket before the next one that has readings.
 
     The next bucket is looked up inside blocks of consecutive buckets, and the first
-    bucket of the following block comes from a small table, so that a long series is
-    not sorted in one task.
+    bucket of the following block comes from a small table made of `numbered`, so that a
+    long series is not sorted in one task. Without it there is one block.
     """
-    firsts = numbered.groupBy(*keys, "_block").agg(F.min("_bucket").alias("_first"))
-    following = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block"))
-    carried = firsts.select(*keys, "_block", following.alias("_after"))
     inside = F.lead("_bucket").over(Window.partitionBy(*keys, "_block").orderBy("_bucket"))
-    joined = buckets.withColumn("_next", inside).join(carried, [*keys, "_block"], "left")
+    joined = buckets.withColumn("_next", inside)
+    if numbered is None:
+        joined = joined.withColumn("_after", F.lit(None).cast("bigint"))
+    else:
+        firsts = numbered.groupBy(*keys, "_block").agg(F.min("_bucket").alias("_first"))
+        following = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block"))
+        joined = joined.join(firsts.select(*keys, "_block", following.alias("_after")), [*keys, "_block"], "left")
     until = F.coalesce(F.coalesce(F.col("_next"), F.col("_after")) - 1, F.col("_bucket"))
     return joined.withColumn("_until", until).drop("_next", "_after", "_block")
 

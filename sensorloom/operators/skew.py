@@ -145,3 +145,17 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out:
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranked = ranked.filter(F.col(rank) <= n)
     return ranked if out else ranked.drop(rank)
+
+
+STRIDE = 4_096  # numbers that one row is spread over at a time
+
+
+def explode_range(df: DataFrame, low: Column, high: Column, out: str) -> DataFrame:
+    """One row per whole number from `low` to `high`.
+
+    Done in two steps, so that no row ever holds the whole of a long range.
+    """
+    start, end, one = low.cast("bigint"), high.cast("bigint"), F.lit(1).cast("bigint")
+    parts = df.withColumns({"_end": end}).withColumn(out, F.explode(F.sequence(start, F.col("_end"), F.lit(STRIDE).cast("bigint"))))
+    inner = F.sequence(F.col(out), F.least(F.col(out) + (STRIDE - 1), F.col("_end")), one)
+    return parts.withColumn(out, F.explode(inner)).drop("_end")

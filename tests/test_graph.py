@@ -57,7 +57,7 @@ def test_cycles(looped):
 
 def test_delete_guard(spark, chain):
     asked = spark.createDataFrame([("BASE_TEMP_F",), ("COMPOSITE_METRIC",)], "id string")
-    assert [tuple(r) for r in graph.blocked_deletes(chain, asked).collect()] == [("BASE_TEMP_F", ["HEAT_INDEX"])]
+    assert [tuple(r) for r in graph.blocked_deletes(chain, asked).collect()] == [("BASE_TEMP_F", "HEAT_INDEX")]
     assert pairs(graph.delete_formulas(chain, asked).select("id")) == {("BASE_TEMP_F",), ("HEAT_INDEX",)}
 
 

@@ -121,3 +121,13 @@ def test_more_shapes_than_one_plan_holds(spark):
     assert {r["seq"]: r["result"] for r in derived.collect()} == {
         **{n: 1.0 + line.count("+") - line.count("-") for n, line in enumerate(signs, 1)}, 70: None, 71: None,
     }
+
+
+def test_rule_that_changes_all_the_time(spark):
+    table = rules(spark, [(n * 3, f"r{n}", "10001", f"value * {n}", "x") for n in range(2000)])
+    series = spark.range(7000).selectExpr(
+        "id AS seq", "CASE WHEN id % 10 = 9 THEN '10002' ELSE '10001' END AS sensor_id", "'D' AS device_id", "0 AS sensor_index",
+        "timestamp_seconds(id) AS ts", "1.0D AS value", "0 AS state", "false AS has_inaccurate_data",
+    )
+    held = {r["seq"]: r["rule_id"] for r in rules_as_of(series, table).collect()}
+    assert held == {n: None if n % 10 == 9 else f"r{min(n // 3, 1999)}" for n in range(7000)}
