@@ -149,10 +149,9 @@ def evaluate_rules(
     if as_of and multi:
         raise ValueError("rule versions are kept for one rule per target")
     prepared = cut(_prepared(rules, as_of, multi))  # used several times, and small next to the readings
-    shapes = shapes_of(prepared)
-    calls = {shape: shape_windows(shape) for shape in shapes}
-    windowed_shapes = [s for s in shapes if "window_" in s or "previous_" in s]
-    plain_shapes = [s for s in shapes if s not in windowed_shapes]
+    # Whether history is kept depends on the text, so one shape may stand on both sides.
+    windowed_shapes = shapes_of(prepared.filter("uses_window"))
+    plain_shapes = shapes_of(prepared.filter("NOT uses_window"))
     matched = _joined(readings, prepared, as_of)
 
     if not windowed_shapes:
@@ -170,7 +169,7 @@ def evaluate_rules(
     profile = runs.groupBy(*keys, "run").agg(F.sum("_rows").alias("_rows"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     windowed = matched.filter(windowed_flag).withColumn("_from", F.coalesce(F.col("rule_from"), F.lit(-1)))
     windowed = windowed.join(small_side(runs.drop("_rows", "_low", "_high")), [*keys, "_from"]).drop("_from")
-    wanted = set().union(*(calls[s] for s in windowed_shapes))
+    wanted = set().union(*map(shape_windows, windowed_shapes))
     windowed = rolling(
         windowed, wanted, keys=[*keys, "run"], order=["seq"], cap=None, within=("ts", retention_seconds),
         split_rows=split_rows, profile=profile,

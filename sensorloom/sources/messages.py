@@ -43,6 +43,11 @@ def read_sensor_stream(spark: SparkSession, path: str | None = None, servers: st
     return file_records(spark, path) if path else kafka_records(spark, servers, topic)
 
 
+def arrival_number(moment: Column, offset: Column) -> Column:
+    """An arrival number for records of several topics: by append time, then by offset."""
+    return F.shiftleft(F.unix_millis(moment), 20) + offset.cast("bigint").bitwiseAND(F.lit(2 ** 20 - 1))
+
+
 def _last_header(name: str) -> Column:
     matching = F.filter("headers", lambda h: h["key"] == name)
     return F.try_element_at(matching, F.lit(-1))["value"].cast("string")

@@ -11,8 +11,9 @@ from sensorloom.operators.registry import rules_from_registry
 from sensorloom.operators.rules import RETENTION_SECONDS, emit_raw_and_derived, rule_counters
 from sensorloom.operators.templates import evaluate_shapes, shapes_of, with_shape
 from sensorloom.operators.windows import known_windows, window_over_history
+from sensorloom.sources.messages import arrival_number, decode_device_records
 from sensorloom.sources.readings import stored_form
-from sensorloom.sources.rules import publish_rules
+from sensorloom.sources.rules import parse_rules, publish_rules
 from sensorloom.streaming.state import with_rule_state
 
 # State lives on disk and is saved as changes, not as a whole.
@@ -73,6 +74,20 @@ def evaluate_stream(
     return writer.start()
 
 
+def evaluate_records(
+    sensor_records: DataFrame, rule_records: DataFrame, path: str, checkpoint: str, mappings: DataFrame | None = None, **options,
+) -> StreamingQuery:
+    """The whole job from record streams: decode messages and rules, number them, evaluate, write.
+
+    `mappings` is the registry's table of device slots; options as in `evaluate_stream`.
+    """
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumn("seq", arrival_number(F.col("timestamp"), F.col("offset")))
+
+    readings = numbered(decode_device_records(sensor_records, mappings, ["timestamp", "offset"]))
+    return evaluate_stream(readings, numbered(parse_rules(rule_records)), path, checkpoint, **options)
+
+
 def resync_rules(registry: DataFrame, path: str | None = None, servers: str | None = None, topic: str | None = None) -> int:
     """Publish the rules of all active formula sensors again and return their number."""
     rules = rules_from_registry(registry).filter(~is_blank(F.col("expression")))

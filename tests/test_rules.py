@@ -131,3 +131,10 @@ def test_rule_that_changes_all_the_time(spark):
     )
     held = {r["seq"]: r["rule_id"] for r in rules_as_of(series, table).collect()}
     assert held == {n: None if n % 10 == 9 else f"r{min(n // 3, 1999)}" for n in range(7000)}
+
+
+def test_history_flag_depends_on_the_text(spark):
+    two = rules(spark, [(-2, "a", "10001", "state > 5 ? previous_x : value", "x"), (-1, "b", "10002", "state > 5 ? other : value", "y")])
+    both = readings(spark, [4.0]).unionByName(readings(spark, [5.0], "10002", first_seq=1))
+    derived = apply_rules(both, two).filter("ord = 0").orderBy("seq").collect()
+    assert [(r["sensor_id"], r["value"], r["has_inaccurate_data"]) for r in derived] == [("x", 4.0, True), ("y", 5.0, False)]

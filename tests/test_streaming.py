@@ -1,14 +1,16 @@
 import os
 import tempfile
 import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from sensorloom import schemas
 from sensorloom.operators.rules import apply_rules
+from sensorloom.sources.messages import file_records
 from sensorloom.sources.readings import read_readings, write_readings
-from sensorloom.streaming.evaluator import evaluate_stream
+from sensorloom.streaming.evaluator import evaluate_records, evaluate_stream
 from tests.helpers import readings, rules
 from tests.test_rules import simulated
 
@@ -88,3 +90,24 @@ def test_write_readings(spark):
         query.stop()
     assert read_readings(spark, f"{folder}/out").count() == 3
     assert os.path.isdir(f"{folder}/out/date=2024-01-01")
+
+
+def test_job_from_records(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    sent = [(datetime(2024, 1, 1, 0, 0, n), f'[{{"sensorIndex":0,"value":{10 * n}}},{{"sensorIndex":1,"value":1}}]') for n in range(4)]
+    told = [(datetime(2024, 1, 1, 0, 0, 1), '{"ruleId":"r","targetSensorId":"P_10001","expression":"window_avg(2) + 1","derivedSensorId":"P_10201"}')]
+    for name, rows in (("sensors", sent), ("rules", told)):
+        records = [(b"device-001", text.encode(), [], at, 0, n) for n, (at, text) in enumerate(rows)]
+        spark.createDataFrame(records, schemas.RECORD).coalesce(1).write.parquet(f"{folder}/{name}")
+    query = evaluate_records(
+        file_records(spark, f"{folder}/sensors"), file_records(spark, f"{folder}/rules"), f"{folder}/out", f"{folder}/checkpoint", live=False,
+    )
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
+    rows = spark.read.parquet(f"{folder}/out").orderBy("ts", "ord", "sensor_id").collect()
+    assert [(r["sensor_id"], r["value"]) for r in rows] == [
+        ("10001", 0.0), ("10002", 1.0), ("10201", 11.0), ("10001", 10.0), ("10002", 1.0), ("10201", 16.0), ("10001", 20.0),
+        ("10002", 1.0), ("10201", 26.0), ("10001", 30.0), ("10002", 1.0),
+    ]
