@@ -46,6 +46,9 @@ TYPES = ["PHYSICAL", "FORMULA"]
 STATUSES = ["ACTIVE", "INACTIVE", "MAINTENANCE"]
 SYNC_LIMIT = 1000
 
+# Mappings are broadcast up to this count: rows of a device name and two numbers.
+MAPPING_ROWS = 1_000_000
+
 COLUMNS = schemas.REGISTRY.fieldNames()
 
 
@@ -164,7 +167,7 @@ def resolve_serials(df: DataFrame, mappings: DataFrame, device: str = "device_id
         F.col("device_id").alias("_device"), F.col("sensor_index").alias("_index"), F.col("serial").alias("_serial"),
     )
     named = df.withColumn("_name", normalize_device_id(F.col(device)))
-    joined = named.join(small_side(known), (F.col("_name") == F.col("_device")) & (F.col(index) == F.col("_index")), "left")
+    joined = named.join(small_side(known, MAPPING_ROWS), (F.col("_name") == F.col("_device")) & (F.col(index) == F.col("_index")), "left")
     serial = F.coalesce(F.col("_serial"), fallback_serial(F.col("_name"), F.col(index)))
     return joined.withColumn(out, serial).drop("_name", "_device", "_index", "_serial")
 

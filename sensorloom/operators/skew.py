@@ -24,7 +24,10 @@ def micros(df: DataFrame, column: str) -> Column:
         return F.unix_micros(F.col(column))
     if kind == "timestamp_ntz":
         return F.unix_micros(F.col(column).cast("timestamp"))
-    return F.col(column).cast("bigint")
+    if kind == "date":
+        return F.unix_date(column).cast("bigint")
+    # Texts have no number that follows their order; all rows are in one slice then.
+    return F.lit(0).cast("bigint") if kind == "string" else F.col(column).cast("bigint")
 
 
 def hot_keys(

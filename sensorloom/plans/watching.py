@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from sensorloom.operators.rules import apply_rules, current_rules, evaluate_rule
 from sensorloom.plans.registered import query
 from sensorloom.plans.tables import SQL, Tables
 from sensorloom.plans.values import fallback_sql
+from sensorloom.session import shared_folder
 from sensorloom.sources.messages import decode_device_records, rejected_records
 from sensorloom.sources.rules import parse_rules, rule_records
 from sensorloom.streaming.evaluator import evaluate_stream
@@ -163,8 +165,8 @@ def rejected_messages(t: Tables) -> DataFrame:
 def stream_with_changing_rules(t: Tables) -> DataFrame:
     """Both tables as streams through the stateful job, read back from its output."""
     spark = t.spark
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    folder = f"{shared}/stream-{spark.sparkContext.applicationId}-{id(t)}" if shared else tempfile.mkdtemp(prefix="sensorloom-stream-")
+    shared = shared_folder(spark)
+    folder = f"{shared}/stream-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="sensorloom-stream-")
 
     def stream(name: str, made: str) -> DataFrame:
         table = spark.readStream.schema(t.given(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)

@@ -48,6 +48,11 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for checkpoints that the cluster names, if it does."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a frame so that loops do not grow the plan without end.
 
@@ -57,8 +62,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sensorloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="sensorloom-"))
     held = df.persist()
     saved = held.checkpoint()
     held.unpersist()

@@ -1,3 +1,4 @@
+import glob
 import os
 import tempfile
 import time
@@ -70,8 +71,9 @@ def test_live_stream_holds_history(spark):
     query = evaluate_stream(reading_stream, rule_stream, f"{folder}/out", f"{folder}/checkpoint", every="1 second")
     try:
         until = time.time() + 90
-        while time.time() < until and not os.path.exists(f"{folder}/out/_SUCCESS"):
+        while time.time() < until and not glob.glob(f"{folder}/out/date=*/batch=*/*.parquet"):
             time.sleep(1)
+        time.sleep(1)
     finally:
         query.stop()
     rows = spark.read.parquet(f"{folder}/out").filter("ord = 0").orderBy("seq").collect()
