@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .suffixes import remove_repeats
 from .tokens import count_tokens
 
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), width=400, with_text=False)
+
+
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), percent=85)
 
@@ -27,7 +32,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op7_minhash, op8_token_counts, op10_source_mix)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op7_minhash, op8_token_counts, op10_source_mix)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
