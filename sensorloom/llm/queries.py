@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .suffixes import remove_repeats
 from .tokens import count_tokens
+from .toxicity import score_documents, train
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +20,12 @@ def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=400, with_text=False)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    scored = score_documents(documents, train(documents, table(spark, folder, "labels")))
+    return scored.withColumn("n_offending", F.size("offending")).drop("offending")
+
+
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), percent=85)
 
@@ -32,7 +40,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op7_minhash, op8_token_counts, op10_source_mix)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op5_toxicity, op7_minhash, op8_token_counts, op10_source_mix)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
