@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .suffixes import remove_repeats
@@ -20,6 +21,11 @@ def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=400, with_text=False)
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_gone", F.length("text").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     scored = score_documents(documents, train(documents, table(spark, folder, "labels")))
@@ -40,11 +46,23 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op5_toxicity, op7_minhash, op8_token_counts, op10_source_mix)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op3_line_dedup, op5_toxicity, op7_minhash, op8_token_counts, op10_source_mix)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 CHECKS = {
+    "op3_line_dedup": r"""
+WITH lines AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+worded AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM worded WHERE words > 0),
+ends AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 9 AND b.upto - a.upto + a.words >= 10 GROUP BY 1, 2
+         UNION SELECT a.doc_id, max(a.i), b.i FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 9 AND b.upto - a.upto + a.words >= 10 GROUP BY a.doc_id, b.i),
+runs AS (SELECT e.doc_id, e.a, e.b, string_agg(s.x, chr(10) ORDER BY s.i) AS run FROM ends e JOIN seq s ON s.doc_id = e.doc_id AND s.i BETWEEN e.a AND e.b GROUP BY 1, 2, 3),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS n FROM runs),
+gone AS (SELECT DISTINCT s.doc_id, s.line FROM firsts f JOIN seq s ON s.doc_id = f.doc_id AND s.i BETWEEN f.a AND f.b WHERE f.n > 1),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_gone, coalesce(string_agg(CASE WHEN g.line IS NULL THEN l.x END, chr(10) ORDER BY l.line), '') AS t
+         FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(n_gone AS INT) AS n_gone, CAST(length(t) AS INT) AS n_kept_chars, sha256(t) AS kept_sha256 FROM kept""",
     "op7_minhash": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
