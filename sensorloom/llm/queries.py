@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .pieces import decode, encode
+from .spots import fingerprints
 from .suffixes import remove_repeats
 from .tokens import count_tokens
 from .toxicity import score_documents, train
@@ -32,6 +34,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("n_offending", F.size("offending")).drop("offending")
 
 
+def op6_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
+
+
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), percent=85)
 
@@ -42,11 +48,21 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    read = decode(encode(table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    return read.select(
+        "doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op3_line_dedup, op5_toxicity, op7_minhash, op8_token_counts, op10_source_mix)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op3_line_dedup, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
