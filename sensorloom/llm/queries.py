@@ -13,6 +13,7 @@ from .spots import fingerprints
 from .suffixes import remove_repeats
 from .tokens import count_tokens
 from .toxicity import score_documents, train
+from .vectors import embedding_duplicates
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op1_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=400, with_text=False)
 
 
+def op2_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_duplicates(table(spark, folder, "embeddings"), cosine=0.98)
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_gone", F.length("text").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -62,11 +67,18 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op3_line_dedup, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 CHECKS = {
+    "op2_vector_graph": """
+WITH RECURSIVE sound AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum([CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END FOR x IN embedding]) = 0 AND list_max([abs(x) FOR x IN embedding]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+lowest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM lowest m""",
     "op3_line_dedup": r"""
 WITH lines AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 worded AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM lines),
