@@ -184,7 +184,10 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, percent:
 
 
 def without_near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of `documents` without those whose component has a smaller doc_id; repeated rows of a kept doc_id stay once."""
+    """The rows of `documents`, all columns, whose doc_id is their component's; rows that repeat doc_id and text stay once.
+
+    Rows without doc_id stay, as nothing names them.
+    """
     found = near_duplicates(documents, percent, width).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
     kept = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_doc")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.withColumn("_content", digest(whole_text())).dropDuplicates(["doc_id", "_content"]).drop("_content")

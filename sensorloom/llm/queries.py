@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import scan_licenses
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -33,6 +34,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_gone", F.length("text").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents"))
+    return found.select("doc_id", F.size("matches").alias("n_matches"), "license", "coverage", F.to_json("matches").alias("matches"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     scored = score_documents(documents, train(documents, table(spark, folder, "labels")))
@@ -67,7 +73,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
