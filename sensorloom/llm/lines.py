@@ -93,11 +93,13 @@ def dedup_lines(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     document and get the same result. An existing column n_lines or n_gone is replaced. Empty table: empty result.
     Rows are never dropped, even where no line is left.
     """
-    gone = repeated_lines(documents, run_words).select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), "gone")
-    rows = documents.drop("n_lines", "n_gone").withColumn("_digest", digest(whole_text()))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_content")), "left")
-    split = F.split("text", "\n")
+    gone = repeated_lines(documents, run_words).withColumnRenamed("content", "in_content")
+    # the row apart, so that its columns clash with none
+    columns = [c for c in documents.columns if c not in ("n_lines", "n_gone")]
+    rows = documents.select(F.struct(*columns).alias("row"), digest(whole_text()).alias("content"))
+    joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("content") == F.col("in_content")), "left")
+    split = F.split("row.text", "\n")
     kept = F.array_join(F.filter(split, lambda x, n: ~F.array_contains(F.col("gone"), n)), "\n")
     return joined.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in rows.columns if c != "_digest"],
+        *[F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns],
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_gone"))

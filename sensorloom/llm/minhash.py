@@ -188,6 +188,8 @@ def without_near_duplicates(documents: DataFrame, percent: int = 80, width: int
 
     Rows without doc_id stay, as nothing names them.
     """
-    found = near_duplicates(documents, percent, width).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    kept = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_doc")), "left_semi")
-    return kept.withColumn("_content", digest(whole_text())).dropDuplicates(["doc_id", "_content"]).drop("_content")
+    found = near_duplicates(documents, percent, width).where("kept").select("doc_id").distinct()
+    # the row apart, so that its columns clash with none
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest(whole_text()).alias("content"))
+    kept = rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return kept.dropDuplicates(["id", "content"]).select("row.*")

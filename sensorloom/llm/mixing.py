@@ -113,9 +113,9 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     words come at most once, as they add nothing.
     """
     taken = mix_sources(documents, **settings)
-    size = word_count(F.col("text"))
-    copies = F.when(F.col("_size") == 0, F.least("_copies", F.lit(1))).otherwise(F.col("_copies"))
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    joined = documents.join(taken, documents["doc_id"].eqNullSafe(F.col("_id")) & documents["source"].eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*[documents[c] for c in documents.columns])
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    # the row apart, so that its columns clash with none
+    rows = documents.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("words"))
+    joined = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    copies = F.when(F.col("words") == 0, F.least("copies", F.lit(1))).otherwise(F.col("copies"))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")

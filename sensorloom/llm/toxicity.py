@@ -189,5 +189,5 @@ def score_documents(documents: DataFrame, model: Model, extra: list[str] = ()) -
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `documents`, all columns, that a model fitted on `labels` doesn't call toxic."""
     model = train(documents, labels)
-    flagged = score_documents(documents.withColumn("_row", F.struct(*documents.columns)), model, ["_row"])
-    return flagged.where("predicted = 0").select("_row.*")
+    rows = documents.select("doc_id", "text", F.struct("*").alias("row"))
+    return score_documents(rows, model, ["row"]).where("predicted = 0").select("row.*")
