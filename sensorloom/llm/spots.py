@@ -32,7 +32,7 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, s
     def with_anchors(words: Column) -> Column:
         # anchors are marked and the words joined again; what follows a mark is an anchor and its content words
         marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
-        parts = F.transform(F.slice(F.split(marked, "\x01"), 2, 2**31 - 1), F.trim)
+        parts = F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), F.trim)
         return _let(parts, lambda p: _let(F.transform(p, content), lambda rest: F.transform(p, lambda part, j: of_anchor(rest, part, j))))
 
     def content(part: Column) -> Column:

@@ -86,6 +86,8 @@ class Graph:
     def _link_back(self, k: int, begin: int, chosen: np.ndarray) -> None:
         source = np.repeat(np.arange(begin, begin + len(chosen)), LINKS)[chosen.ravel() >= 0]
         target = chosen.ravel()[chosen.ravel() >= 0].astype(np.int64)
+        if not len(target):
+            return
         order = np.lexsort((-np.einsum("ij,ij->i", self.vectors[source], self.vectors[target]), target))
         source, target = source[order], target[order]
         first = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
