@@ -9,6 +9,7 @@ A null result means that the formula fails on that row.
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -23,6 +24,10 @@ WINDOW_NAME = re.compile(r"window_[A-Za-z]\w*")
 NAN, INFINITY = float("nan"), float("inf")
 
 
+# Words that Python would read as more than a name; the language has none of them.
+FOREIGN = frozenset(keyword.kwlist) | {"print", "__import__"}
+
+
 class FormulaError(ValueError):
     """The text is no formula."""
 
@@ -54,6 +59,8 @@ def _tokens(text: str) -> list[str]:
         match = _TOKEN.match(text, at)
         if not match:
             raise FormulaError(f"cannot read {text[at:at + 20]!r}")
+        if match.group(1) in FOREIGN:
+            raise FormulaError(f"{match.group(1)!r} is not part of a formula")
         found.append(match.group(1))
         at = match.end()
     return found

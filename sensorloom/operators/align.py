@@ -24,7 +24,8 @@ def align_series(
 
     By position, step i takes the i-th reading of every sensor, and the series end with
     the shortest one or after `duration` steps. By time (`by="ts"`), a step is a moment
-    at which all sensors have a reading. `clock` names the sensor whose time is kept.
+    at which all sensors have a reading; of several readings of a sensor at one moment the
+    last in `order` counts. `clock` names the sensor whose time is kept.
     With `missing="zero"` a sensor without any reading counts as 0 and ends nothing.
     """
     sensors = list(dict.fromkeys(sensors))
@@ -48,7 +49,12 @@ def align_series(
     else:
         raise ValueError(f"cannot align by {by!r}")
     owner = clock or sensors[0]
-    values = [F.first(F.when(F.col("sensor_id") == s, F.col("value")), ignorenulls=True).alias(s) for s in sensors]
+    last = F.struct(*[F.col(c).alias(f"_{c}") for c in order], "value")  # one reading per sensor and step, except by time
+
+    def value_of(sensor: str):
+        return F.max(F.when(F.col("sensor_id") == sensor, last))["value"].alias(sensor)
+
+    values = [value_of(s) for s in sensors]
     steps = placed.groupBy(key).agg(
         *values, F.max(F.when(F.col("sensor_id") == owner, F.col("ts"))).alias("ts"),
         met.alias("_n"),

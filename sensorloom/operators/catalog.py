@@ -14,9 +14,12 @@ CATALOG_COLUMNS = [
     "serial", "device_id", "device_sensor_index", "sensor_type",
 ]
 
+# Description of registry rows that have none.
+DESCRIPTION = "Registered sensor"
 
-def registry_to_catalog(registry: DataFrame) -> DataFrame:
-    """Registry rows as catalog rows, with mean, deviation and bounds of their category."""
+
+def registry_to_catalog(registry: DataFrame, description: str = DESCRIPTION) -> DataFrame:
+    """Registry rows as catalog rows, with mean, deviation and bounds of their category; `description` where they have none."""
     category = F.coalesce(F.col("category"), F.lit("General"))
     profile = category_profile(category)
     low, high = clamp_bounds(profile["mean"], profile["deviation"])
@@ -25,7 +28,7 @@ def registry_to_catalog(registry: DataFrame) -> DataFrame:
         F.col("sensor_name").alias("name"), category.alias("category"), F.coalesce("unit", F.lit("")).alias("unit"),
         profile["mean"].alias("mean"), profile["deviation"].alias("std_dev"),
         low.alias("min_clamp"), high.alias("max_clamp"),
-        F.coalesce("description", F.lit("Oracle 19c Registered Sensor")).alias("description"),
+        F.coalesce("description", F.lit(description)).alias("description"),
         "serial", "device_id", "device_sensor_index", F.coalesce("sensor_type", F.lit("PHYSICAL")).alias("sensor_type"),
     )
 
@@ -41,10 +44,11 @@ def lookup_sensor_meta(requests: DataFrame, registry: DataFrame, catalog: DataFr
     """Requests with the catalog row of their sensor as `meta`, and `found_by`.
 
     Looked up by serial in any spelling, then by code, then by catalog id; else a
-    generic row.
+    generic row. Where a key is in use several times, the row with the lowest serial counts.
     """
     def packed(df: DataFrame, name: str, key: Column) -> DataFrame:
-        return df.select(key.alias(f"_{name}_key"), F.struct(*CATALOG_COLUMNS).alias(f"_{name}"))
+        first = F.min_by(F.struct(*CATALOG_COLUMNS), F.struct(F.col("serial").isNull(), "serial", "id", "name"))
+        return df.groupBy(key.alias(f"_{name}_key")).agg(first.alias(f"_{name}"))
 
     converted = registry_to_catalog(registry)
     coded = registry_to_catalog(registry.filter(F.col("sensor_code").isNotNull()))

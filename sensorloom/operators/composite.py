@@ -15,7 +15,7 @@ from sensorloom.operators.graph import DEFAULT_PRIMARY, formula_references, form
 from sensorloom.operators.templates import evaluate_shapes, shapes_of, with_shape
 from sensorloom.operators.windows import rolling_by_position
 
-# Length of a run, decimation of a preview, and the values of a dry run.
+# Usual length of a run, for callers who want one; decimation of a preview; the values of a dry run.
 DURATION = 3600
 PREVIEW_STEP = 10
 DRY_VALUE, DRY_SENSOR, DRY_FORMULA = 50.0, 45.5, 72.0
@@ -81,7 +81,7 @@ def evaluate_composite(
     formulas: DataFrame,
     target: str,
     primary: str | None = None,
-    duration: int | None = DURATION,
+    duration: int | None = None,
     step: int = 1,
     by: str = "position",
     missing: str = "truncate",
@@ -91,7 +91,8 @@ def evaluate_composite(
     """Points of a target formula: pos, ts, primary value, computed value, and each formula's own column.
 
     Formulas run in dependency order, so that each can use the results of those before it;
-    windows run over the primary sensor. `step` keeps every step-th point. `order` names
+    windows run over the primary sensor. A run ends with the shortest series, or after
+    `duration` steps if given. `step` keeps every step-th point. `order` names
     the columns that order the readings of a sensor; `plan` saves looking up the formula
     tree again, see `composite_plan`.
     """

@@ -13,7 +13,7 @@ from sensorloom.functions.formula import formula_column, window_calls
 from sensorloom.functions.ids import canonical_serial_id
 from sensorloom.operators.sampling import sample_by
 from sensorloom.operators.skew import SPLIT_ROWS
-from sensorloom.operators.windows import HISTORY_ROWS, rolling
+from sensorloom.operators.windows import rolling
 
 ON_DEMAND_SUFFIX = "_ondemand_eval"
 DEFAULT_INTERVAL = "1m"
@@ -60,7 +60,7 @@ def evaluate_series(
     out_id: str | None = None,
     on_error: str = "drop",
     order: Iterable[str] | None = None,
-    cap: int | None = HISTORY_ROWS,
+    cap: int | None = None,
     dialect: str = "server",
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from sensorloom.functions.categories import clean_formula_id
 from sensorloom.functions.ids import primary_sensor_of
 from sensorloom.operators.catalog import registry_to_formulas
 from sensorloom.operators.graph import find_formulas
+from sensorloom.operators.registry import fold_changes
 from sensorloom.operators.skew import explode_range
 
 # The formulas of a fresh or reset table (id, name, category, target, expression, tags).
@@ -50,8 +51,12 @@ def add_formulas(formulas: DataFrame, new: DataFrame) -> DataFrame:
     return formulas.unionByName(accepted.dropDuplicates(["id"]).select(*formulas.columns))
 
 
-def update_formulas(formulas: DataFrame, changes: DataFrame, strict: bool = True) -> DataFrame:
-    """The table after changes, one per id: fields that are given replace; an unknown id is an error."""
+def update_formulas(formulas: DataFrame, changes: DataFrame, strict: bool = True, order: str | None = None) -> DataFrame:
+    """The table after changes: fields that are given replace; an unknown id is an error.
+
+    Several changes of one id are taken in the order of the column `order`; without it they are an error.
+    """
+    changes = fold_changes(changes, "id", order)
     if strict:
         unknown = changes.join(formulas.select("id"), "id", "left_anti").limit(5).collect()
         if unknown:

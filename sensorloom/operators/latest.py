@@ -43,23 +43,26 @@ def trailing_points(df: DataFrame, n: int = LIVE_POINTS) -> DataFrame:
     return first_rows(df, ["sensor_id"], _newest(df), n)
 
 
-def range_scan(df: DataFrame, sensor_id: str, start, end, limit: int = 1000) -> DataFrame:
-    """The first readings of one sensor in a time range, both ends included."""
+def range_scan(df: DataFrame, sensor_id: str, start, end, limit: int | None = None) -> DataFrame:
+    """The readings of one sensor in a time range, both ends included, in order; the first `limit` of them if given."""
     bounds = F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
-    return df.filter((F.col("sensor_id") == sensor_id) & bounds).orderBy("ts").limit(limit)
+    found = df.filter((F.col("sensor_id") == sensor_id) & bounds).orderBy("ts", *(["seq"] if "seq" in df.columns else []))
+    return found if limit is None else found.limit(limit)
 
 
-def range_head(df: DataFrame, start, end, limit: int = 1000) -> DataFrame:
-    """The first readings of every sensor in a time range."""
+def range_head(df: DataFrame, start, end, limit: int) -> DataFrame:
+    """The first `limit` readings of every sensor in a time range."""
     bounds = F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     order = [F.asc("ts"), *([F.asc("seq")] if "seq" in df.columns else [])]
     return first_rows(df.filter(bounds), ["sensor_id"], order, limit)
 
 
-def buffer_read(df: DataFrame, limit: int = 1000, held: int = BUFFER_ROWS) -> DataFrame:
-    """The oldest `limit` of the newest `held` readings of each sensor, by arrival."""
+def buffer_read(df: DataFrame, limit: int | None = None, held: int = BUFFER_ROWS) -> DataFrame:
+    """The oldest `limit` (all if not given) of the newest `held` readings of each sensor, by arrival."""
     named = df.filter(F.col("sensor_id").isNotNull())
     kept = first_rows(named, ["sensor_id"], [F.desc("seq")], held)
+    if limit is None:
+        return kept
     oldest = F.row_number().over(Window.partitionBy("sensor_id").orderBy("seq"))
     return kept.withColumn("_rank", oldest).filter(F.col("_rank") <= limit).drop("_rank")
 

@@ -44,7 +44,6 @@ DEFAULT_FORMULA = [
 ]
 TYPES = ["PHYSICAL", "FORMULA"]
 STATUSES = ["ACTIVE", "INACTIVE", "MAINTENANCE"]
-SYNC_LIMIT = 1000
 
 # Mappings are broadcast up to this count: rows of a device name and two numbers.
 MAPPING_ROWS = 1_000_000
@@ -239,6 +238,7 @@ def judge_new_sensors(requests: DataFrame, registry: DataFrame) -> DataFrame:
     Of several requests for one device slot, the first by `request_id` gets it.
     """
     physical = F.col("sensor_type") == "PHYSICAL"
+    requests = requests.withColumn("device_id", F.trim("device_id"))  # as it is stored
     taken = registry.filter(F.col("device_id").isNotNull()).select("device_id", "device_sensor_index").distinct()
     joined = requests.join(taken.withColumn("_taken", F.lit(True)), ["device_id", "device_sensor_index"], "left")
     firsts = requests.filter(physical).groupBy("device_id", "device_sensor_index").agg(F.min("request_id").alias("_first"))
@@ -284,12 +284,31 @@ def _unknown_serials(requests: DataFrame, registry: DataFrame) -> DataFrame:
     return requests.select("serial").distinct().join(registry.select("serial"), "serial", "left_anti")
 
 
-def update_sensors(registry: DataFrame, changes: DataFrame, strict: bool = True) -> DataFrame:
-    """The registry after a table of changes, one per serial: null keeps a field.
+def fold_changes(changes: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row of changes per key: of each field the last given value by `order`.
 
-    A blank name is ignored, and only formula sensors take a formula. An unknown serial is
-    an error, or is left out when not `strict`.
+    Without an order, several changes of one key are an error, as nothing says which stands.
     """
+    fields = [name for name in changes.columns if name not in (key, order)]
+    if order is None:
+        double = changes.groupBy(key).count().filter("count > 1").limit(5).collect()
+        if double:
+            raise ValueError(f"several changes for one {key}, and no order: {[row[0] for row in double]}")
+        return changes.select(key, *fields)
+    last = [F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(order, name))).alias(name) for name in fields]
+    return changes.groupBy(key).agg(*last)
+
+
+def update_sensors(registry: DataFrame, changes: DataFrame, strict: bool = True, order: str | None = None) -> DataFrame:
+    """The registry after a table of changes: null keeps a field.
+
+    Several changes of one serial are taken in the order of the column `order`, see
+    `fold_changes`. A blank name is ignored, and only formula sensors take a formula. An
+    unknown serial is an error, or is left out when not `strict`.
+    """
+    if "sensor_name" in changes.columns:
+        changes = changes.withColumn("sensor_name", F.when(~is_blank(F.col("sensor_name")), F.col("sensor_name")))
+    changes = fold_changes(changes, "serial", order)
     if strict:
         unknown = _unknown_serials(changes, registry).limit(5).collect()
         if unknown:
@@ -321,12 +340,16 @@ def delete_sensors(registry: DataFrame, deletes: DataFrame, strict: bool = True)
 
 
 def sync_devices(devices: DataFrame, registry: DataFrame, skip_existing: bool = True) -> DataFrame:
-    """New rows for all slots of rows (device_id, sensor_count); the count is kept within 1 and 1000."""
-    named = devices.filter(~is_blank(F.col("device_id"))).select(
-        F.trim("device_id").alias("device_id"),
-        F.greatest(F.lit(1), F.least("sensor_count", F.lit(SYNC_LIMIT))).alias("_count"),
+    """New rows for all slots of rows (device_id, sensor_count), at least one per device.
+
+    A device that is listed twice gets its highest count. A code that the registry has gets
+    the slot as suffix; one that is still not alone gets the serial as well.
+    """
+    named = devices.filter(~is_blank(F.col("device_id"))).groupBy(F.trim("device_id").alias("device_id")).agg(
+        F.greatest(F.lit(1), F.max("sensor_count")).alias("_count"),
     )
-    slots = named.withColumn("device_sensor_index", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
+    slots = explode_range(named, F.lit(0), F.col("_count") - 1, "device_sensor_index").drop("_count")
+    slots = slots.withColumn("device_sensor_index", F.col("device_sensor_index").cast("int"))
     if skip_existing:
         slots = slots.join(registry.select("device_id", "device_sensor_index"), ["device_id", "device_sensor_index"], "left_anti")
     code = sensor_code(F.col("device_id"), F.col("device_sensor_index"))
@@ -342,7 +365,13 @@ def sync_devices(devices: DataFrame, registry: DataFrame, skip_existing: bool =
         F.format_string("Auto-synced from IoT Emulator device '%s' with unique serial number.", "device_id").alias("description"),
         F.lit("ACTIVE").alias("status"),
     )
-    return _rows(assign_serials(made, registry, ["device_id", "device_sensor_index"]))
+    numbered = cut(assign_serials(made, registry, ["device_id", "device_sensor_index"]))
+    taken = registry.select("sensor_code").filter("sensor_code is not null").distinct().withColumn("_taken", F.lit(True))
+    firsts = numbered.groupBy("sensor_code").agg(F.min("serial").alias("_first"))
+    settled = numbered.join(firsts, "sensor_code").join(taken, "sensor_code", "left")
+    again = F.col("_taken").isNotNull() | (F.col("serial") > F.col("_first"))
+    code = F.when(again, F.concat_ws("-", "sensor_code", F.col("serial").cast("string"))).otherwise(F.col("sensor_code"))
+    return _rows(settled.withColumn("sensor_code", code).drop("_first", "_taken"))
 
 
 def duplicate_formulas(registry: DataFrame, serials: DataFrame) -> DataFrame:
@@ -377,6 +406,17 @@ def duplicate_formulas(registry: DataFrame, serials: DataFrame) -> DataFrame:
 
 
 # -- rules -------------------------------------------------------------------------
+def rules_of_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rules to publish after a change of the registry: those of active formula rows that are new or differ from before."""
+    def usable(registry: DataFrame) -> DataFrame:
+        return rules_from_registry(registry).filter(~is_blank(F.col("expression")))
+
+    fields = schemas.RULE.fieldNames()
+    old = usable(before).select(*fields).withColumnsRenamed({name: f"_{name}" for name in fields})
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in fields]
+    return usable(after).join(old, same, "left_anti")
+
+
 def rules_from_registry(registry: DataFrame, strict: bool = False) -> DataFrame:
     """The rules of all active formula sensors; `seq` is the serial, so later sensors win."""
     text = F.trim("formula_expression")

@@ -82,10 +82,10 @@ def sample_by(
         F.coalesce(F.bool_or("has_inaccurate_data"), F.lit(False)).alias("has_inaccurate_data"),
     )
     if last is not None:
-        newest = numbered.groupBy(*keys).agg(F.max("_bucket").alias("_newest"))
+        newest = buckets.groupBy(*keys).agg(F.max("_bucket").alias("_newest"))
         floor_ = F.col("_newest") - (last - 1)
     if fill == "prev":
-        buckets = _until_next(buckets, None if short else numbered, keys)
+        buckets = _until_next(buckets, short, keys)
         if last is not None:
             buckets = buckets.join(newest, keys).filter(F.col("_until") >= floor_)
             buckets = buckets.withColumn("_bucket", F.greatest(F.col("_bucket"), floor_))
@@ -110,19 +110,19 @@ def _most_buckets(start, end, every: str) -> float:
         return math.inf
 
 
-def _until_next(buckets: DataFrame, numbered: DataFrame | None, keys: list[str]) -> DataFrame:
+def _until_next(buckets: DataFrame, one_block: bool, keys: list[str]) -> DataFrame:
     """Add `_until`, the last bucket before the next one that has readings.
 
     The next bucket is looked up inside blocks of consecutive buckets, and the first
-    bucket of the following block comes from a small table made of `numbered`, so that a
-    long series is not sorted in one task. Without it there is one block.
+    bucket of the following block comes from a small table made of the buckets, so that a
+    long series is not sorted in one task.
     """
     inside = F.lead("_bucket").over(Window.partitionBy(*keys, "_block").orderBy("_bucket"))
     joined = buckets.withColumn("_next", inside)
-    if numbered is None:
+    if one_block:
         joined = joined.withColumn("_after", F.lit(None).cast("bigint"))
     else:
-        firsts = numbered.groupBy(*keys, "_block").agg(F.min("_bucket").alias("_first"))
+        firsts = buckets.groupBy(*keys, "_block").agg(F.min("_bucket").alias("_first"))
         following = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block"))
         joined = joined.join(firsts.select(*keys, "_block", following.alias("_after")), [*keys, "_block"], "left")
     until = F.coalesce(F.coalesce(F.col("_next"), F.col("_after")) - 1, F.col("_bucket"))

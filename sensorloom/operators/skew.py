@@ -30,6 +30,13 @@ def micros(df: DataFrame, column: str) -> Column:
     return F.lit(0).cast("bigint") if kind == "string" else F.col(column).cast("bigint")
 
 
+def join_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which null equals null, as in a window's partitions. Keys are those of `df`."""
+    renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def hot_keys(
     df: DataFrame, keys: list[str], order: list[str], split_rows: int = SPLIT_ROWS, profile: DataFrame | None = None,
 ) -> DataFrame | None:
@@ -57,7 +64,7 @@ def hot_keys(
             _sliced(df, hot, keys, order).groupBy(*keys, "_slice").count()
             .groupBy(*keys).agg(F.max("count").alias("_most"))
         )
-        narrowed = cut(hot.join(fullest, keys).select(*keys, "_low", "_width", "_most"))
+        narrowed = cut(join_keys(hot, fullest, keys).select(*keys, "_low", "_width", "_most"))
         dense = (F.col("_most") > 4 * split_rows) & (F.col("_width") > 1)
         if narrowed.filter(dense).isEmpty():
             return narrowed.drop("_most")
@@ -67,10 +74,10 @@ def hot_keys(
 
 
 def _sliced(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of the hot keys with `_slice`, which never falls along the order."""
+    """Rows of the hot keys with `_slice`, which never falls along the order; rows without a first order value come first."""
     at = micros(df, order[0])
-    joined = df.withColumn("_at", at).join(small_side(hot), keys)
-    slice_of = F.call_function("div", F.col("_at") - F.col("_low"), F.col("_width"))
+    joined = join_keys(df.withColumn("_at", at), small_side(hot), keys)
+    slice_of = F.coalesce(F.call_function("div", F.col("_at") - F.col("_low"), F.col("_width")), F.lit(-1).cast("bigint"))
     return joined.withColumn("_slice", slice_of).drop("_at", "_low", "_width")
 
 
@@ -84,7 +91,7 @@ def _positions_of_hot(df: DataFrame, hot: DataFrame, keys: list[str], order: lis
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     numbered = sliced.withColumn("_inside", F.row_number().over(inside) - 1)
     return (
-        numbered.join(offsets, [*keys, "_slice"])
+        join_keys(numbered, offsets, [*keys, "_slice"])
         .withColumn(out, F.col("_inside") + F.col("_offset"))
         .drop("_inside", "_offset", "_slice")
     )
@@ -96,7 +103,7 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos"
     plain = Window.partitionBy(*keys).orderBy(*order)
     if hot is None:
         return df.withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
-    rest = df.join(small_side(hot), keys, "left_anti").withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
+    rest = join_keys(df, small_side(hot), keys, "left_anti").withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
     return rest.unionByName(_positions_of_hot(df, hot, keys, order, out).select(*rest.columns))
 
 
@@ -129,22 +136,20 @@ def with_history(
         return add(df, keys, order)
     numbered = _positions_of_hot(df, hot, keys, order, "_pos")
     split = over_chunks(numbered, keys, reach, add, "_pos", split_rows).drop("_pos")
-    rest = add(df.join(small_side(hot), keys, "left_anti"), keys, order)
+    rest = add(join_keys(df, small_side(hot), keys, "left_anti"), keys, order)
     return rest.unionByName(split.select(*rest.columns))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str | None = None) -> DataFrame:
     """The first n rows per key in a given order.
 
-    Spark drops surplus rows before the shuffle as long as n is within its threshold;
-    beyond it the rows are cut down per input partition first.
+    Spark drops surplus rows before the shuffle as long as n is within the session's
+    threshold, which is raised to n where it is lower.
     """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n > int(conf.get(name)):
+        conf.set(name, str(n))
     rank = out or "_rank"
-    if n > threshold:
-        df = df.withColumn("_part", F.spark_partition_id())
-        local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-        df = df.withColumn("_local", local).filter(F.col("_local") <= n).drop("_local", "_part")
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranked = ranked.filter(F.col(rank) <= n)
     return ranked if out else ranked.drop(rank)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.formula import WindowCall
 from sensorloom.operators.skew import SPLIT_ROWS, over_chunks, with_history
 
-# On-demand and simulation runs hold this many values; a maximum starts here.
+# The history of on-demand and simulation runs, for callers who want that cap; a maximum starts here.
 HISTORY_ROWS = 100
 LOWEST = -1.7976931348623157e308
 
@@ -97,7 +97,11 @@ def _adder(calls: set[WindowCall], value: str, cap: int | None, dialect: str, wi
         clock, seconds = within
         rows = F.collect_list(F.struct(F.unix_micros(clock).alias("at"), F.col(value).alias("value")))
         oldest = F.unix_micros(clock) - int(seconds * 1_000_000)
-        fresh = F.filter(rows.over(ordered.rowsBetween(-(longest - 1), 0)), lambda row: row["at"] > oldest)
+        # a reading without time has only such readings as its history
+        fresh = F.filter(
+            rows.over(ordered.rowsBetween(-(longest - 1), 0)),
+            lambda row: F.coalesce(row["at"] > oldest, row["at"].isNull() & oldest.isNull()),
+        )
         return F.transform(fresh, lambda row: row["value"])
 
     def add(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -124,7 +128,7 @@ def rolling(
     keys: Iterable[str] = ("sensor_id",),
     order: Iterable[str] = ("ts", "seq"),
     value: str = "value",
-    cap: int | None = HISTORY_ROWS,
+    cap: int | None = None,
     dialect: str = "server",
     within: tuple[str, int] | None = None,
     split_rows: int = SPLIT_ROWS,
@@ -132,8 +136,8 @@ def rolling(
 ) -> DataFrame:
     """Add one column per window call, named as `WindowCall.column`.
 
-    All calls share one sort. `cap` bounds the held history by count, `within` =
-    (time column, seconds) by time. A sensor with more than `split_rows` rows is
+    All calls share one sort. `cap` bounds the held history by count (`HISTORY_ROWS` is the usual one; none
+    unless asked for), `within` = (time column, seconds) by time. A sensor with more than `split_rows` rows is
     worked on in chunks; `profile` saves counting them, see `hot_keys`.
     """
     wanted = _check(set(calls))
@@ -145,7 +149,7 @@ def rolling(
 
 def rolling_by_position(
     df: DataFrame, calls: Iterable[WindowCall], pos: str = "pos", keys: Iterable[str] = (), value: str = "value",
-    cap: int | None = HISTORY_ROWS, dialect: str = "ui", chunk_rows: int = 50_000,
+    cap: int | None = None, dialect: str = "ui", chunk_rows: int = 50_000,
 ) -> DataFrame:
     """As `rolling`, for rows that carry dense positions: always in chunks."""
     wanted = _check(set(calls))

@@ -104,7 +104,7 @@ def over(n: int) -> str:
 
 @query(f"""
     SELECT seq, round(avg(value) {over(10)}, 6) + 0.0 AS window_avg_10, max(value) {over(5)} AS window_max_5, min(value) {over(7)} AS window_min_7,
-           round(avg(value) {over(100)}, 6) + 0.0 AS window_avg_150, -1.7976931348623157e308::DOUBLE AS window_max_0,
+           round(avg(value) {over(150)}, 6) + 0.0 AS window_avg_150, -1.7976931348623157e308::DOUBLE AS window_max_0,
            round(CASE WHEN count(*) {over(4)} < 2 OR first_value(value) {over(4)} = 0 THEN 0.0
                       ELSE (value - first_value(value) {over(4)}) / first_value(value) {over(4)} * 100 END, 6) + 0.0 AS window_rate_4
     FROM readings""")
@@ -223,6 +223,26 @@ def trailing_points(t: Tables) -> DataFrame:
     return latest.trailing_points(t.readings).select(_POINT)
 
 
+# Series longer than any usual cap: one per event type.
+_LONG = "typed AS (SELECT event_id AS seq, event_type AS sensor_id, ts, value FROM events)"
+
+
+def _long(t: Tables) -> DataFrame:
+    return t.events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("sensor_id"), "ts", "value")
+
+
+@query(f"""WITH {_LONG} SELECT seq, round(avg(value) OVER (PARTITION BY sensor_id ORDER BY ts, seq ROWS BETWEEN 149 PRECEDING AND CURRENT ROW), 6) + 0.0 AS window_avg_150,
+           max(value) OVER (PARTITION BY sensor_id ORDER BY ts, seq ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS window_max_400 FROM typed""")
+def window_avg_150_of_event_types(t: Tables) -> DataFrame:
+    calls = [WindowCall("avg", 150), WindowCall("max", 400)]
+    return rolling(_long(t), calls).select("seq", *[c.column for c in calls])
+
+
+@query(f"WITH {_LONG}, " + _ranked("ts DESC, seq DESC", "rn <= 360", source="typed").removeprefix("WITH "))
+def trailing_points_of_event_types(t: Tables) -> DataFrame:
+    return latest.trailing_points(_long(t)).select(_POINT)
+
+
 @query(f"SELECT seq, sensor_id, epoch_us(ts) AS ts_us, value FROM readings WHERE sensor_id = '10007' AND ts BETWEEN '{FROM}' AND '{TO}'")
 def sensor_range(t: Tables) -> DataFrame:
     return range_of(t.readings, "10007", FROM, TO).select(_POINT)
@@ -256,7 +276,7 @@ def buffer_read(t: Tables) -> DataFrame:
           SELECT seq, sensor_id, value FROM held WHERE rn <= 1000""")
 def buffer_read_of_event_types(t: Tables) -> DataFrame:
     typed = t.events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("sensor_id"), "value")
-    return latest.buffer_read(typed)
+    return latest.buffer_read(typed, 1000)
 
 
 @query("SELECT seq, sensor_id, epoch_us(ts) AS ts_us, value FROM readings WHERE CAST(ts AS DATE) > DATE '2024-01-15'")
@@ -369,18 +389,17 @@ def pressure_delta_metrics(t: Tables) -> DataFrame:
     return simulation_metrics(points, with_deviation=False)
 
 
-# Five formulas that use each other, over five sensors and one day of steps.
+# Five formulas that use each other, over five sensors, to the end of the shortest series.
 _CHAIN = [
     ("F1", "sensor_000 * 1.5 + 10"), ("F2", "F1 * 0.9 + sensor_001"), ("F3", "F2 + window_avg(10) - sensor_002"),
     ("F4", "F3 * 1.1 + sensor_003"), ("F5", "F4 - window_max(5) + sensor_004"),
 ]
-DAY = 86_400
 
 
 @query(f"""WITH typed AS (SELECT l_suppkey % 5 AS s, l_shipdate AS ts, l_orderkey, l_linenumber, l_partkey, l_quantity AS value, l_extendedprice FROM lineitem),
     placed AS (SELECT s, value, row_number() OVER (PARTITION BY s ORDER BY ts, l_orderkey, l_linenumber, l_partkey, value, l_extendedprice) - 1 AS pos FROM typed),
     steps AS (SELECT pos, max(value) FILTER (s = 0) AS a, max(value) FILTER (s = 1) AS b, max(value) FILTER (s = 2) AS c, max(value) FILTER (s = 3) AS d, max(value) FILTER (s = 4) AS e
-              FROM placed GROUP BY pos HAVING count(*) = 5 AND pos < {DAY}),
+              FROM placed GROUP BY pos HAVING count(*) = 5),
     held AS (SELECT *, avg(a) OVER (ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS w, max(a) OVER (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM steps)
     SELECT pos, a AS primary_value, floor(((((a * 1.5 + 10) * 0.9 + b + w - c) * 1.1 + d) - m + e) * 1000 + 0.5) / 1000 AS computed_value, CAST(0 AS INT) AS failures FROM held""")
 def evaluate_chain_over_a_day(t: Tables) -> DataFrame:
@@ -392,7 +411,7 @@ def evaluate_chain_over_a_day(t: Tables) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("value"), "l_extendedprice",
     )
     order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "value", "l_extendedprice"]
-    points = evaluate_composite(rows, chain, "F5", duration=DAY, order=order)
+    points = evaluate_composite(rows, chain, "F5", order=order)
     return points.select("pos", "primary_value", "computed_value", "failures")
 
 

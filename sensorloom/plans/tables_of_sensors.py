@@ -263,6 +263,40 @@ def updated_registry(t: Tables) -> DataFrame:
     return done.select("serial", "sensor_name", "category", "unit", "status", "formula_expression")
 
 
+# Three changes per serial: the last given value of each field stands.
+_SEVERAL = """SELECT serial, n AS change, CASE WHEN n = 1 THEN ' first ' WHEN n = 3 THEN ' ' END AS sensor_name, CASE WHEN n <> 2 THEN 'cat' || CAST(n AS STRING) END AS category,
+    CASE WHEN n = 2 THEN 'INACTIVE' END AS status, CASE WHEN serial % 2 = 0 OR n = 1 THEN 'value * ' || CAST(n AS STRING) END AS formula_expression
+    FROM registry, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) g WHERE serial % 3 = 1"""
+
+
+@query("""SELECT serial, CASE WHEN serial % 3 = 1 THEN 'first' ELSE sensor_name END AS sensor_name, CASE WHEN serial % 3 = 1 THEN 'cat3' ELSE category END AS category,
+    CASE WHEN serial % 3 = 1 THEN 'INACTIVE' ELSE status END AS status,
+    CASE WHEN sensor_type = 'FORMULA' AND serial % 3 = 1 THEN 'value * ' || CASE WHEN serial % 2 = 0 THEN '3' ELSE '1' END ELSE formula_expression END AS formula_expression FROM registry""")
+def registry_after_several_changes(t: Tables) -> DataFrame:
+    done = registry.update_sensors(t.registry, t.sql(_SEVERAL), order="change")
+    return done.select("serial", "sensor_name", "category", "status", "formula_expression")
+
+
+@query("""SELECT CAST(serial AS STRING) AS serial_text, 'value * 2' AS expression FROM registry WHERE sensor_type = 'FORMULA' AND serial % 3 = 0 AND serial % 7 <> 0
+          AND coalesce(status, '') = 'ACTIVE' AND formula_expression <> 'value * 2'""")
+def rules_of_changed_sensors(t: Tables) -> DataFrame:
+    after = registry.update_sensors(t.registry, t.sql(_CHANGES))
+    return registry.rules_of_changes(t.registry, after).select(F.col("derived_sensor_id").alias("serial_text"), "expression")
+
+
+# Devices listed twice, with blanks around, and in spellings that share a code.
+_DOUBLES = """SELECT s_name AS device_id, CAST(s_suppkey % 3 + 1 AS INT) AS sensor_count FROM supplier UNION ALL SELECT ' ' || s_name || ' ', 2 FROM supplier
+    UNION ALL SELECT replace(s_name, '#', '-'), 1 FROM supplier"""
+
+
+@query("""WITH asked AS (SELECT s_name AS device_id, greatest(s_suppkey % 3 + 1, 2) AS n, 1 AS plain FROM supplier UNION ALL SELECT replace(s_name, '#', '-'), 1, 0 FROM supplier),
+    slots AS (SELECT device_id, i, plain FROM asked, range(0, 3) g(i) WHERE i < n), top AS (SELECT max(serial) AS m FROM registry),
+    numbered AS (SELECT *, m + row_number() OVER (ORDER BY device_id, i) AS serial, 'PHY-' || upper(regexp_replace(device_id, '[^A-Za-z0-9]', '', 'g')) || '-S' || printf('%03d', i) AS code FROM slots, top)
+    SELECT serial, device_id, CAST(i AS INT) AS device_sensor_index, CASE WHEN row_number() OVER (PARTITION BY code ORDER BY serial) > 1 THEN code || '-' || serial ELSE code END AS sensor_code FROM numbered""")
+def synced_devices_listed_twice(t: Tables) -> DataFrame:
+    return registry.sync_devices(t.sql(_DOUBLES), t.registry).select("serial", "device_id", "device_sensor_index", "sensor_code")
+
+
 @query("SELECT serial FROM registry WHERE serial % 4 <> 1")
 def registry_after_deletes(t: Tables) -> DataFrame:
     return registry.delete_sensors(t.registry, t.registry.filter("serial % 4 = 1").select("serial")).select("serial")

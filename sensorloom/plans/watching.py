@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -165,8 +164,7 @@ def rejected_messages(t: Tables) -> DataFrame:
 def stream_with_changing_rules(t: Tables) -> DataFrame:
     """Both tables as streams through the stateful job, read back from its output."""
     spark = t.spark
-    shared = shared_folder(spark)
-    folder = f"{shared}/stream-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="sensorloom-stream-")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
     def stream(name: str, made: str) -> DataFrame:
         table = spark.readStream.schema(t.given(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)

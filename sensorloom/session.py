@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
 # Largest row count of a side that is broadcast on purpose. Rows of the sides
 # in question (rules, registry, hot keys) hold a few hundred bytes each.
 BROADCAST_ROWS = 200_000
+# Largest size of such a side, by the text of its rows.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,31 +40,36 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The join side with a broadcast hint if it holds at most `rows` rows.
+    """The join side with a broadcast hint if it holds at most `rows` rows and BROADCAST_BYTES.
 
     Beyond that the frame comes back as it is, and the join is a shuffled one in
     which adaptive execution splits skewed partitions.
     """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    held = df.limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if held["rows"] <= rows and held["bytes"] <= BROADCAST_BYTES else df
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder for checkpoints that the cluster names, if it does."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names; a local session without one, as in tests, gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="sensorloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a frame so that loops do not grow the plan without end.
 
-    The files lie in the folder that the cluster names; only a session without one, as in
-    tests, gets a folder of its own. The frame is cached while it is written, as writing
+    The files lie in the folder that the cluster names. The frame is cached while it is written, as writing
     a checkpoint would compute it twice otherwise.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="sensorloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     held = df.persist()
     saved = held.checkpoint()
     held.unpersist()

@@ -32,10 +32,13 @@ def export_formulas(formulas: DataFrame, path: str) -> None:
 def import_formulas(spark: SparkSession, path: str, formulas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The formula table after an import of JSON files, and the number of imported items.
 
-    Files may hold one object per line or one array.
+    Each file holds one object per line or one array, whatever the others hold. An array is
+    read by one task; only the names of such files come to the driver.
     """
-    items = spark.read.schema(schemas.FORMULA).option("multiLine", False).json(path)
-    whole = spark.read.schema(schemas.FORMULA).option("multiLine", True).json(path)
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    is_array = bool(first) and first[0]["value"].lstrip().startswith("[")
-    return merge_items(formulas, whole if is_array else items)
+    lines = spark.read.text(path).select("value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    firsts = lines.filter(F.trim("value") != "").groupBy("file_path").agg(F.min_by("value", "place").alias("first"))
+    arrays = [row[0] for row in firsts.filter(F.ltrim("first").startswith("[")).select("file_path").collect()]
+    of_lines = spark.read.schema(schemas.FORMULA).json(path).filter(~F.col("_metadata.file_path").isin(arrays))
+    if arrays:
+        of_lines = of_lines.unionByName(spark.read.schema(schemas.FORMULA).option("multiLine", True).json(arrays))
+    return merge_items(formulas, of_lines)

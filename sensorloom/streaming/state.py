@@ -19,10 +19,13 @@ from sensorloom.functions.ids import canonical_serial_id
 _READING = ["seq", *schemas.READING.fieldNames()]
 _RULE = ["rule_id", "expression", "derived_sensor_id", "uses_window"]
 
+# Values pass through pandas as texts: as numbers, NaN and null would become one.
+_CARRIED = [T.StructField(f.name, T.StringType() if f.name == "value" else f.dataType) for f in schemas.ARRIVED_READING.fields]
+
 _EVENT = T.StructType([
     T.StructField("rule_key", T.StringType()),
     T.StructField("is_rule", T.BooleanType()),
-    *schemas.ARRIVED_READING.fields,
+    *_CARRIED,
     T.StructField("rule_id", T.StringType()),
     T.StructField("expression", T.StringType()),
     T.StructField("derived_sensor_id", T.StringType()),
@@ -31,13 +34,13 @@ _EVENT = T.StructType([
 
 OUTPUT = T.StructType([
     T.StructField("rule_key", T.StringType()),
-    *schemas.ARRIVED_READING.fields,
+    *_CARRIED,
     T.StructField("rule_id", T.StringType()),
     T.StructField("expression", T.StringType()),
     T.StructField("derived_sensor_id", T.StringType()),
     T.StructField("uses_window", T.BooleanType()),
     T.StructField("inaccurate_result", T.BooleanType()),
-    T.StructField("history", T.ArrayType(T.DoubleType())),
+    T.StructField("history", T.ArrayType(T.StringType())),
 ])
 
 _SIZES = re.compile(r"window_[A-Za-z]\w*\s*\(\s*(\d+)")
@@ -62,7 +65,7 @@ class RuleState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rule = handle.getValueState("rule", "rule_id string, expression string, derived_sensor_id string, uses_window boolean")
         lifetime = self.retention // 1000 if self.live else None
-        self.values = handle.getListState("history", "at bigint, value double", ttlDurationMs=lifetime)
+        self.values = handle.getListState("history", "at bigint, value string", ttlDurationMs=lifetime)
         self.start = handle.getValueState("start", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -72,8 +75,9 @@ class RuleState(StatefulProcessor):
         held = [(row[0], row[1]) for row in self.values.get()] if self.values.exists() else []
         start = self.start.get()[0] if self.start.exists() else None
         found = len(held)  # entries at the front of `held` that the store has already
+        first = 0  # entries before it are too old
         replaced, rule_changed, start_before = False, False, start
-        now, out = int(time.time() * 1_000_000), []
+        now, out, sizes = int(time.time() * 1_000_000), [], {}
         moments = events["ts"].astype("datetime64[us]").astype("int64").tolist()
         is_rule, values = events["is_rule"].tolist(), events["value"].tolist()
         offered = list(zip(*(events[name].tolist() for name in _RULE)))
@@ -82,17 +86,22 @@ class RuleState(StatefulProcessor):
                 rule, rule_changed = offered[at], True
                 continue
             if rule is None or not rule[3]:
-                replaced, held, start = replaced or bool(held), [], None
+                replaced, held, first, start = replaced or bool(held), [], 0, None
                 out.append((at, rule, False, None))
                 continue
             moment = now if self.live else moment
             held.append((moment, values[at]))
             oldest = moment - self.retention
-            if held[0][0] <= oldest:
-                replaced, held = True, [entry for entry in held if entry[0] > oldest]
+            while held[first][0] <= oldest:  # the newest is never too old
+                first += 1
             start = moment if start is None else start
-            recent = held[-longest:] if (longest := _longest_window(rule[1])) else held[-1:]
+            if rule[1] not in sizes:
+                sizes[rule[1]] = max(1, _longest_window(rule[1]))
+            recent = held[max(first, len(held) - sizes[rule[1]]):]
             out.append((at, rule, moment - start < self.retention, [value for _, value in recent]))
+        # with `live` the store itself drops old entries, so the list is only added to
+        if first and not self.live:
+            replaced, held = True, held[first:]
         self._save(rule if rule_changed else None, held, found, replaced, start, start_before)
         if out:
             places, used, young, history = zip(*out)
@@ -137,7 +146,8 @@ def with_rule_state(readings: DataFrame, rules: DataFrame, retention_seconds: fl
     Rules are keyed by their target as the readings are, so each goes to the one task that
     needs it and nothing is broadcast.
     """
-    return _events(readings, rules).groupBy("rule_key").transformWithStateInPandas(
+    done = _events(readings, rules).groupBy("rule_key").transformWithStateInPandas(
         statefulProcessor=RuleState(retention_seconds, live), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if live else "None",
     )
+    return done.withColumns({"value": F.col("value").cast("double"), "history": F.col("history").cast("array<double>")})

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sensorloom.plans import catalogue
 from tests.compare import compare, connect
 
 FOLDER = entry.SMOKE_FOLDER
@@ -27,4 +28,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue.JOBS) == set(catalogue.CHECKS)
