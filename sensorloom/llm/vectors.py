@@ -25,6 +25,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, layers: list[np.ndarray]):
         self.vectors, self.layers = vectors, layers  # layers: neighbours per node, -1 where none; the ground layer first
+        self._sources: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def built(cls, vectors: np.ndarray, batch: int = 256) -> "Graph":
@@ -136,25 +137,39 @@ class Graph:
         found[score <= -2] = -1
         return found, score
 
-    def within(self, queries: np.ndarray, cosine: float, width: int) -> list[np.ndarray]:
-        """Nodes with at least that cosine to each query, as far as a beam of that width and a walk from its hits reach."""
-        out = []
+    def within(self, queries: np.ndarray, cosine: float, width: int, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """Nodes with at least that cosine to each query, as far as a beam of that width and a walk from its hits reach.
+
+        `own` is a query's own node, -1 where it has none; the walk starts from it, too.
+        """
+        out, own = [], np.full(len(queries), -1) if own is None else own
         for begin in range(0, len(queries), 256):
             part = queries[begin:begin + 256]
             found, score = self._beam(0, part, self._enter(part), width, len(self.vectors))
-            for query, nodes, cosines in zip(part, found, score):
+            for query, nodes, cosines, at in zip(part, found, score, own[begin:begin + 256]):
                 hits = nodes[cosines >= cosine]
+                if at >= 0 and at not in hits:
+                    hits = np.append(hits, at)
                 out.append(self._spread(query, hits, cosine) if len(hits) else hits)
         return out
 
+    def _linking(self, nodes: np.ndarray) -> np.ndarray:
+        """Nodes whose ground links lead to one of these: no node is cut off because others dropped their links to it."""
+        if self._sources is None:
+            ground = self.layers[0]
+            order = np.argsort(ground, axis=None, kind="stable")
+            self._sources = np.searchsorted(ground.ravel()[order], np.arange(len(ground) + 1)), order // LINKS
+        bounds, sources = self._sources
+        return np.concatenate([sources[bounds[i]:bounds[i + 1]] for i in nodes])
+
     def _spread(self, query: np.ndarray, hits: np.ndarray, cosine: float) -> np.ndarray:
-        """All nodes reached from the hits over nodes that are near the query, a little farther than asked for."""
+        """All nodes reached from the hits, along links or against them, over nodes near the query or a little farther."""
         seen = np.zeros(len(self.vectors) + 1, bool)
         seen[-1] = True
         seen[hits] = True
         edge, out = hits, [hits]
         while len(edge):
-            near = np.unique(self.layers[0][edge])
+            near = np.unique(np.concatenate((self.layers[0][edge].ravel(), self._linking(edge))))
             near = near[(near >= 0) & ~seen[near]]
             seen[near] = True
             score = self.vectors[near] @ query
@@ -162,16 +177,16 @@ class Graph:
             edge = near[score >= cosine - 0.02]
         return np.concatenate(out)
 
-    def links(self, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
+    def links(self, queries: np.ndarray, cosine: float, own: np.ndarray | None = None) -> list[np.ndarray]:
         """`within`, with the beam widened until an audit by brute force on AUDIT of the queries finds no link missing."""
         n, width = len(self.vectors), BEAM
         picked = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
         truth = (queries[picked] @ self.vectors.T >= cosine).sum(axis=1)
         while width < n:
-            found = self.within(queries, cosine, width)
+            found = self.within(queries, cosine, width, own)
             if all(len(found[i]) >= t for i, t in zip(picked, truth)):
                 return found
-            width *= 4
+            width *= 2
         return [np.flatnonzero(self.vectors @ q >= cosine) for q in queries]
 
     def packed(self) -> bytes:
@@ -261,7 +276,9 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFra
         for batch in batches:
             for row in batch.itertuples(index=False):
                 asking, nodes, copies = (np.frombuffer(x, np.int64) for x in (row.asking, row.nodes, row.copies))
-                found = Graph.unpacked(row.graph).links(np.frombuffer(row.queries).reshape(len(asking), row.length), cosine)
+                place = {n: i for i, n in enumerate(nodes.tolist())}
+                own = np.array([place.get(n, -1) for n in asking.tolist()])
+                found = Graph.unpacked(row.graph).links(np.frombuffer(row.queries).reshape(len(asking), row.length), cosine, own)
                 counts = np.array([copies[x].sum() for x in found], np.int64)
                 pairs = forest([(int(q), int(nodes[j])) for q, x in zip(asking, found) for j in x if nodes[j] != q])
                 yield pd.DataFrame({"node": asking, "links": counts, "other": pd.Series([None] * len(asking), dtype="Int64")})
