@@ -20,8 +20,11 @@ _ANY = f"{_REAL}|{_WHOLE}"
 _UNBOUND = r"\b(?!(?:value|state|true|false|math|Math)\b)[A-Za-z_]\w*\b(?!\s*[(.])"
 _WINDOW_SIZE = r"(\bwindow_[A-Za-z]\w*\s*\(\s*-?\s*)(\d+)"
 
-# Shapes that share one plan; a table with more is split.
-SHAPES_PER_PLAN = 40
+# Blanks between a word and a sign, which make no difference.
+_BLANKS = r"(?<=\w)\s+(?=\W)|(?<=\W)\s+(?=\w)"
+
+# Shapes that share one Column; a table with more gets several, all in one pass.
+SHAPES_PER_COLUMN = 40
 
 
 def with_shape(df: DataFrame, expression: str = "expression", key: str = "rule_key") -> DataFrame:
@@ -38,7 +41,7 @@ def with_shape(df: DataFrame, expression: str = "expression", key: str = "rule_k
     df = df.withColumn("_marked", marked)
     shape = F.regexp_replace(F.regexp_replace(F.col("_marked"), _REAL, "#d"), _WHOLE, "#i")
     numbers = F.regexp_extract_all(F.col("_marked"), F.lit(_ANY), F.lit(0))
-    return df.withColumns({"shape": F.trim(shape), "numbers": numbers}).drop("_marked")
+    return df.withColumns({"shape": F.regexp_replace(F.trim(shape), _BLANKS, ""), "numbers": numbers}).drop("_marked")
 
 
 def _readable(shape: str) -> tuple[str, list[str]]:
@@ -96,12 +99,8 @@ def evaluate_shapes(df: DataFrame, shapes: list[str], window_columns, out: str =
             result = F.when(F.col("shape") == shape, shape_column(shape, windows, dialect)).otherwise(result)
         return result
 
-    if len(shapes) <= SHAPES_PER_PLAN:
+    groups = [shapes[i:i + SHAPES_PER_COLUMN] for i in range(0, len(shapes), SHAPES_PER_COLUMN)]
+    if len(groups) <= 1:
         return df.withColumn(out, chosen(shapes))
-    groups = [shapes[i:i + SHAPES_PER_PLAN] for i in range(0, len(shapes), SHAPES_PER_PLAN)]
-    parts = [df.filter(F.col("shape").isin(group)).withColumn(out, chosen(group)) for group in groups]
-    parts.append(df.filter(F.col("shape").isNull() | ~F.col("shape").isin(shapes)).withColumn(out, F.lit(None).cast("double")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    columns = {f"_result_{n}": chosen(group) for n, group in enumerate(groups)}
+    return df.withColumns(columns).withColumn(out, F.coalesce(*columns)).drop(*columns)

@@ -133,7 +133,7 @@ def test_windows(spark, call, given, expected):
 
 def test_history_cap(spark):
     call = WindowCall("avg", 150)
-    last = rolling(readings(spark, range(200)), [call]).orderBy(F.desc("seq")).first()
+    last = rolling(readings(spark, range(200)), [call], cap=100).orderBy(F.desc("seq")).first()
     assert last[call.column] == sum(range(100, 200)) / 100
 
 
