@@ -105,7 +105,8 @@ def distinct_categories(df: DataFrame) -> DataFrame:
 
 
 def registry_to_formulas(registry: DataFrame) -> DataFrame:
-    """FORMULA rows of the registry as formulas."""
+    """FORMULA rows of the registry as formulas, with description and times where the registry has them."""
+    kept = [name for name in ("description", "created_at", "updated_at") if name in registry.columns]
     serial = F.col("serial").cast("string")
     coded = F.when(F.col("sensor_code") != "", F.col("sensor_code")).otherwise(F.concat(F.lit("FML_"), serial))
     text = F.when(F.col("formula_expression") != "", F.col("formula_expression"))
@@ -114,7 +115,7 @@ def registry_to_formulas(registry: DataFrame) -> DataFrame:
         F.coalesce(text, F.lit("value * 1.0")).alias("expression"),
         F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("Efficiency")).alias("category"),
         primary_sensor_of(F.coalesce(text, F.lit(""))).alias("target_sensor"),
-        F.array(F.lit("Registry"), F.concat(F.lit("P_"), serial)).alias("tags"),
+        F.array(F.lit("Registry"), F.concat(F.lit("P_"), serial)).alias("tags"), *kept,
     )
 
 

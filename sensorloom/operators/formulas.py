@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import schemas
@@ -28,7 +28,7 @@ _FIELDS = [name for name in schemas.FORMULA.fieldNames() if name != "id"]
 
 
 def default_formulas(spark: SparkSession) -> DataFrame:
-    rows = [(i, None, n, e, c, t, tags) for i, n, c, t, e, tags in DEFAULTS]
+    rows = [(i, None, n, e, c, t, tags, None, None, None, None) for i, n, c, t, e, tags in DEFAULTS]
     return spark.createDataFrame(rows, schemas.FORMULA)
 
 
@@ -46,9 +46,20 @@ def judge_new_formulas(new: DataFrame, formulas: DataFrame) -> DataFrame:
 
 
 def add_formulas(formulas: DataFrame, new: DataFrame) -> DataFrame:
-    """The table with the accepted new formulas."""
+    """The table with the accepted new formulas, whose times are now unless given."""
     accepted = judge_new_formulas(new, formulas).filter("accepted").drop("accepted")
-    return formulas.unionByName(accepted.dropDuplicates(["id"]).select(*formulas.columns))
+    return formulas.unionByName(_shaped(accepted.dropDuplicates(["id"]), formulas, F.current_timestamp()))
+
+
+def _shaped(df: DataFrame, formulas: DataFrame, time: Column | None = None) -> DataFrame:
+    """Rows in the columns of the formula table: nulls for those they lack, `time` for times not given."""
+    def field(name: str) -> Column:
+        given = F.col(name) if name in df.columns else F.lit(None)
+        if time is not None and name in ("created_at", "updated_at"):
+            given = F.coalesce(given, time)
+        return given.cast(formulas.schema[name].dataType).alias(name)
+
+    return df.select(*[field(name) for name in formulas.columns])
 
 
 def update_formulas(formulas: DataFrame, changes: DataFrame, strict: bool = True, order: str | None = None) -> DataFrame:
@@ -61,10 +72,13 @@ def update_formulas(formulas: DataFrame, changes: DataFrame, strict: bool = True
         unknown = changes.join(formulas.select("id"), "id", "left_anti").limit(5).collect()
         if unknown:
             raise ValueError(f"unknown formulas: {[row['id'] for row in unknown]}")
-    fields = [name for name in _FIELDS if name in changes.columns]
-    given = changes.select("id", *[F.col(name).alias(f"_{name}") for name in fields])
+    fields = [name for name in _FIELDS if name in changes.columns and name in formulas.columns]
+    given = changes.select("id", *[F.col(name).alias(f"_{name}") for name in fields], F.lit(True).alias("_changed"))
     joined = formulas.join(given, "id", "left")
-    return joined.withColumns({n: F.coalesce(f"_{n}", n) for n in fields}).select(*formulas.columns)
+    new = {n: F.coalesce(f"_{n}", n) for n in fields}
+    if "updated_at" in formulas.columns and "updated_at" not in fields:
+        new["updated_at"] = F.when(F.col("_changed"), F.current_timestamp()).otherwise(F.col("updated_at"))
+    return joined.withColumns(new).select(*formulas.columns)
 
 
 def import_formulas(formulas: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,10 +90,13 @@ def import_formulas(formulas: DataFrame, items: DataFrame) -> tuple[DataFrame, D
     def full(name: str):
         return F.col(name).isNotNull() & (F.col(name) != "")
 
+    fields = [name for name in _FIELDS if name in formulas.columns]
+    lacking = [name for name in fields if name not in items.columns]
+    items = items.withColumns({name: F.lit(None).cast(formulas.schema[name].dataType) for name in lacking})
     usable = items.filter(full("id") & full("expression") & full("name"))
     rank = F.col("position") if "position" in items.columns else F.struct("name", "expression")
-    kept = usable.groupBy("id").agg(F.max_by(F.struct(*_FIELDS), rank).alias("_last")).select("id", "_last.*")
-    rest = formulas.join(kept.select("id"), "id", "left_anti").select("id", *_FIELDS)
+    kept = usable.groupBy("id").agg(F.max_by(F.struct(*fields), rank).alias("_last")).select("id", "_last.*")
+    rest = formulas.join(kept.select("id"), "id", "left_anti").select("id", *fields)
     return rest.unionByName(kept), usable.agg(F.count("*").alias("imported"))
 
 
@@ -102,7 +119,7 @@ def apply_formula_sync(formulas: DataFrame, registry: DataFrame) -> DataFrame:
     changed = changed.select("id", "expression", primary_sensor_of(F.col("expression")).alias("target_sensor"))
     updated = update_formulas(formulas, changed, strict=False)
     missing = found.filter(F.col("_id").isNull())
-    return updated.unionByName(missing.select(*[c for c in formulas.columns]))
+    return updated.unionByName(_shaped(missing, formulas))
 
 
 def copy_formulas(formulas: DataFrame, ids: DataFrame) -> DataFrame:

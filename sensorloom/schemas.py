@@ -50,8 +50,17 @@ FORMULA = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("target_sensor", T.StringType()),
     T.StructField("tags", T.ArrayType(T.StringType())),
+    T.StructField("sensor_code", T.StringType()),
+    T.StructField("description", T.StringType()),
+    T.StructField("created_at", T.TimestampType()),
+    T.StructField("updated_at", T.TimestampType()),
 ])
 
+# Names of these fields in JSON files, besides their own.
+FORMULA_JSON = {
+    "serialNumber": "serial", "targetSensor": "target_sensor", "sensorCode": "sensor_code", "createdAt": "created_at", "updatedAt": "updated_at",
+}
+
 # One transport record as the message source delivers it.
 RECORD = T.StructType([
     T.StructField("key", T.BinaryType()),

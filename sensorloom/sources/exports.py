@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorloom import schemas
 from sensorloom.operators.formulas import import_formulas as merge_items
@@ -38,7 +39,10 @@ def import_formulas(spark: SparkSession, path: str, formulas: DataFrame) -> tupl
     lines = spark.read.text(path).select("value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
     firsts = lines.filter(F.trim("value") != "").groupBy("file_path").agg(F.min_by("value", "place").alias("first"))
     arrays = [row[0] for row in firsts.filter(F.ltrim("first").startswith("[")).select("file_path").collect()]
-    of_lines = spark.read.schema(schemas.FORMULA).json(path).filter(~F.col("_metadata.file_path").isin(arrays))
+    other_names = [T.StructField(name, schemas.FORMULA[field].dataType) for name, field in schemas.FORMULA_JSON.items()]
+    reader = spark.read.schema(T.StructType([*schemas.FORMULA.fields, *other_names]))
+    items = reader.json(path).filter(~F.col("_metadata.file_path").isin(arrays))
     if arrays:
-        of_lines = of_lines.unionByName(spark.read.schema(schemas.FORMULA).option("multiLine", True).json(arrays))
-    return merge_items(formulas, of_lines)
+        items = items.unionByName(reader.option("multiLine", True).json(arrays))
+    items = items.withColumns({field: F.coalesce(field, name) for name, field in schemas.FORMULA_JSON.items()})
+    return merge_items(formulas, items.select(*schemas.FORMULA.fieldNames()))

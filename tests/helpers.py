@@ -24,5 +24,5 @@ def rules(spark, rows):
 
 def formulas(spark, pairs):
     """Formulas of (id, expression) or (id, expression, serial, target)."""
-    rows = [(p[0], p[2] if len(p) > 2 else None, p[0], p[1], "General", p[3] if len(p) > 3 else None, []) for p in pairs]
+    rows = [(p[0], p[2] if len(p) > 2 else None, p[0], p[1], "General", p[3] if len(p) > 3 else None, [], None, None, None, None) for p in pairs]
     return spark.createDataFrame(rows, schemas.FORMULA)

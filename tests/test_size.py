@@ -107,9 +107,11 @@ def test_mixed_import_files(spark, tmp_path):
     item = '{{"id":"{0}","name":"n","expression":"value"}}'
     (tmp_path / "array.json").write_text("\n [" + ",\n".join(item.format(x) for x in "ABC") + "]")
     (tmp_path / "lines.json").write_text("\n".join(item.format(x) for x in "DEF"))
-    (tmp_path / "more.json").write_text("[" + item.format("G") + "]")
+    (tmp_path / "more.json").write_text('[{"id":"G","name":"n","expression":"value","serialNumber":7,"targetSensor":"10001","description":"d","createdAt":"2024-01-01T00:00:00Z"}]')
     table, imported = exports.import_formulas(spark, str(tmp_path), formula_table(spark, [("A", "1")]))
     assert imported.first()["imported"] == 7 and table.count() == 7
+    last = table.filter("id = 'G'").first()
+    assert (last["serial"], last["target_sensor"], last["description"], last["created_at"].year) == (7, "10001", "d", 2024)
 
 
 @pytest.mark.parametrize("text", ["value if value > 1 else 2", "value > 1 and value < 9 ? 1 : 0", "not value", "None", "True", "value is 1", "lambda"])
