@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import small_batches, stored, whole_text
 from .hashing import as_bytes, prefix_hash, span_hash
 
-# Labelled documents that a model is fitted on at most, taken by a hash of doc_id; also the bound of what the driver holds.
+# Labelled documents that a model is fitted on at most, taken by a hash of doc_id; the driver holds some kB of each.
 TRAINING_ROWS = 8000
 # Words are hashed to this many bits.
 BITS = 18
@@ -81,22 +81,22 @@ def document_score(sentences: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(sentences, 1 - 1e-12)).sum())) if len(sentences) else 0.0
 
 
-def association(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """G squared of each word from the numbers of toxic and clean documents that hold it."""
-    total, g = n_toxic + n_clean, np.zeros(len(toxic))
-    for has, of in ((toxic, n_toxic), (n_toxic - toxic, n_toxic), (clean, n_clean), (n_clean - clean, n_clean)):
-        with_it = toxic + clean if has is toxic or has is clean else total - toxic - clean
-        expected = with_it * (of / total)
-        g += 2 * has * np.log(np.where(has > 0, has, 1) / np.where(has > 0, expected, 1))
-    return g
+def association(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """G squared of a feature from the numbers of toxic and clean documents that hold it."""
+    total, held = n_toxic + n_clean, toxic + clean
+    parts = []
+    for has, of in ((toxic, n_toxic), (clean, n_clean)):
+        for seen, with_it in ((has, held), (F.lit(of) - has, F.lit(total) - held)):
+            parts.append(F.when(seen > 0, 2 * seen * F.log(seen * total / (with_it * of))).otherwise(0.0))
+    return sum(parts[1:], parts[0])
 
 
-def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], steps: int = STEPS, penalty: float = 2e-5) -> Model:
+def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], kept: np.ndarray, steps: int = STEPS, penalty: float = 2e-5) -> Model:
     """A model from (features, sentence numbers, number of sentences, label) per document, by gradient steps (Adam) on the likelihood.
 
-    With A the sum of softplus(z) over a document's sentences, noisy-or gives 1 - exp(-A). Only words whose presence
-    goes with the label beyond chance get a weight, so that wrong labels are not learnt by heart from rare words.
-    Without labels of both kinds every document with a sentence scores 1 or 0 as all labels say.
+    `kept` are the hashed words that may have a weight; a document's features are places in it. With A the sum of
+    softplus(z) over a document's sentences, noisy-or gives 1 - exp(-A). Without labels of both kinds every document
+    with a sentence scores 1 or 0 as all labels say.
     """
     labels = np.array([d[3] for d in documents], np.float64)
     share = float(labels.mean()) if len(labels) else 0.0
@@ -104,13 +104,8 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], steps: int = S
     if not 0 < share < 1:
         return Model(weights, 40.0 if share else -40.0)
     offsets = np.cumsum([0] + [d[2] for d in documents])
-    toxic, clean = (np.bincount(np.concatenate([np.unique(d[0]) for d in documents if d[3] == y]), minlength=1 << BITS) for y in (1, 0))
-    kept = np.flatnonzero(association(toxic, clean, int(labels.sum()), int((1 - labels).sum())) >= ASSOCIATED)
-    code = np.full(1 << BITS, -1, np.int64)
-    code[kept] = np.arange(len(kept))
-    feature = code[np.concatenate([d[0] for d in documents])]
-    sentence = np.concatenate([d[1] + o for d, o in zip(documents, offsets)])[feature >= 0]
-    feature = feature[feature >= 0]
+    feature = np.concatenate([d[0] for d in documents])
+    sentence = np.concatenate([d[1] + o for d, o in zip(documents, offsets)])
     owner = np.repeat(np.arange(len(documents)), np.diff(offsets))
     total = int(offsets[-1])
 
@@ -133,26 +128,49 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], steps: int = S
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from the labelled documents that are not held out; at most `rows` of them, chosen by a hash of doc_id.
 
-    A document with several labels is toxic if one says so; rows without doc_id or label teach nothing. The sample's
-    ids are broadcast (at most `rows` of them); its hashed words come to the driver.
+    Only words whose presence goes with the label beyond chance (ASSOCIATED) get a weight, so that wrong labels are
+    not learnt by heart from rare words. They are counted by Spark; what comes to the driver are the places of these
+    words in the sample. A document with several labels is toxic if one says so; rows without doc_id or label teach
+    nothing. The sample's ids are broadcast (at most `rows` of them).
     """
     small_batches(documents.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     held = documents.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    held = stored(held, "toxicity-sample")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = np.array(batch.column("toxic").to_pylist())
+            found = [np.unique(sentence_words(x)[0]) for x in batch.column("text").to_pylist()]
+            both = np.concatenate(found) if found else np.zeros(0, np.int64)
+            label = np.repeat(toxic, [len(x) for x in found])
+            names, place = np.unique(both, return_inverse=True)
+            of_toxic = np.bincount(place, label, minlength=len(names)).astype(np.int64)
+            of_all = np.bincount(place, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(of_toxic), pa.array(of_all - of_toxic)], ["feature", "of_toxic", "of_clean"])
+
+    sizes = held.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
+    counts = held.mapInArrow(counted, "feature long, of_toxic long, of_clean long").groupBy("feature").agg(F.sum("of_toxic").alias("of_toxic"), F.sum("of_clean").alias("of_clean"))
+    n_toxic, n_clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
+    told = counts.where(association(F.col("of_toxic"), F.col("of_clean"), n_toxic, n_clean) >= ASSOCIATED) if n_toxic and n_clean else counts.limit(0)
+    kept = np.array(sorted(r["feature"] for r in told.select("feature").collect()), np.int64)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sentence_words(x) for x in batch.column("text").to_pylist()]
-            packed = [[x[i].astype("<i4").tobytes() for x in found] for i in (0, 1)]
+            packed: list[list] = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                feature, sentence, bounds = sentence_words(text)
+                there = np.isin(feature, kept)
+                for out, x in zip(packed, (np.searchsorted(kept, feature[there]).astype("<i4").tobytes(), sentence[there].astype("<i4").tobytes(), len(bounds))):
+                    out.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), pa.array([len(x[2]) for x in found], pa.int32()), batch.column("toxic")],
-                ["feature", "sentence", "n", "toxic"])
+                [pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), pa.array(packed[2], pa.int32()), batch.column("toxic")], ["feature", "sentence", "n", "toxic"])
 
-    # repeated rows of the table repeat an id; the order is made the same for every run
-    collected = held.mapInArrow(hashed, "feature binary, sentence binary, n int, toxic int").limit(2 * rows).collect()
-    collected.sort(key=lambda r: (bytes(r["feature"]), bytes(r["sentence"]), r["toxic"]))
-    return fit([(np.frombuffer(r["feature"], "<i4").astype(np.int64), np.frombuffer(r["sentence"], "<i4").astype(np.int64), r["n"], r["toxic"]) for r in collected])
+    # the order is made the same for every run
+    collected = held.mapInArrow(hashed, "feature binary, sentence binary, n int, toxic int").collect()
+    collected.sort(key=lambda r: (bytes(r["feature"]), bytes(r["sentence"]), r["n"], r["toxic"]))
+    return fit([(np.frombuffer(r["feature"], "<i4").astype(np.int64), np.frombuffer(r["sentence"], "<i4").astype(np.int64), r["n"], r["toxic"]) for r in collected], kept)
 
 
 def score_documents(documents: DataFrame, model: Model, extra: list[str] = ()) -> DataFrame:
