@@ -9,7 +9,7 @@ from sensorloom.llm.common import stored
 from sensorloom.llm.lines import dedup_lines
 from sensorloom.llm.minhash import without_near_duplicates
 from sensorloom.llm.mixing import mixed_documents
-from sensorloom.llm.pieces import decode, encode
+from sensorloom.llm.pieces import encode
 from sensorloom.llm.toxicity import without_toxic
 
 
@@ -38,9 +38,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    read = decode(encode(docs.select("doc_id", "source", "text"), path), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return read.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+    read = encode(docs.select("doc_id", "source", "text"), path, verify=True)
+    return read.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("pieces", pieces)]

@@ -16,9 +16,11 @@ from .common import small_batches, whole_text
 
 SPACE = "▁"
 # Words whose encodings a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 # Characters that are indexed together, and the longest word that takes part; longer ones go one by one.
-BATCH_CHARS, LONG_WORD = 600_000, 64
+BATCH_CHARS, LONG_WORD = 250_000, 64
+# Characters of texts that are split into words at a time, besides one whole text.
+TEXT_CHARS = 1_000_000
 
 
 class Vocabulary:
@@ -193,13 +195,21 @@ def _remembered(path: str) -> dict[str, bytes]:
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as int32 bytes; words that the worker has not met are encoded together."""
-    known, words = _remembered(path), [_WORD.findall(" " + x) if x else [] for x in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = list({w for of in words for w in of if w not in known})
-    if fresh:
-        known.update(zip(fresh, vocabulary(path).encode_words(fresh)))
-    return [b"".join([known[w] for w in of]) for of in words]
+    known, out, start = _remembered(path), [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (size < TEXT_CHARS or end == start):
+            size += len(texts[end])
+            end += 1
+        words = [_WORD.findall(" " + x) if x else [] for x in texts[start:end]]
+        if len(known) > REMEMBERED:
+            known.clear()
+        fresh = list({w for of in words for w in of if w not in known})
+        if fresh:
+            known.update(zip(fresh, vocabulary(path).encode_words(fresh)))
+        out += [b"".join([known[w] for w in of]) for of in words]
+        start = end
+    return out
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
@@ -209,9 +219,11 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
+def encode(documents: DataFrame, path: str, verify: bool = False) -> DataFrame:
     """`documents` with the column `ids` (array of int): the ids of the whole text, as the file's own library gives them.
 
+    With `verify` also `round_trip`: whether the ids, decoded in the same task, give the text again.
+
     The text, with a blank put before it and blanks written as U+2581, falls into words between which no piece
     reaches. The distinct new words of an Arrow batch are written one after the other and indexed by a suffix array;
     every piece is searched in it, and its occurrences are the edges at each position. For a byte-pair vocabulary the
@@ -219,19 +231,25 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     worker remembers words, at most REMEMBERED of them plus a batch.
 
     Null or empty text: no ids. Characters that no piece has are spelled in byte pieces. All columns and rows are kept;
-    an existing column `ids` is replaced. Empty table: empty result.
+    existing columns of these names are replaced. Empty table: empty result.
     """
     small_batches(documents.sparkSession)
-    rows = documents.drop("ids").select(F.struct(*[c for c in documents.columns if c != "ids"]).alias("row"), whole_text().alias("text"))
+    added = ["ids", "round_trip"] if verify else ["ids"]
+    rows = documents.select(F.struct(*[c for c in documents.columns if c not in added]).alias("row"), whole_text().alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = encode_texts(batch.column("text").to_pylist(), path)
+            texts = batch.column("text").to_pylist()
+            found = encode_texts(texts, path)
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), ids], ["row", "ids"])
+            columns = [batch.column("row"), ids]
+            if verify:
+                columns.append(pa.array([decode_ids(np.frombuffer(x, "<i4"), path) == t for x, t in zip(found, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, ["row", *added])
 
-    return rows.mapInArrow(encoded, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>").select("row.*", "ids")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>" + (", round_trip boolean" if verify else "")
+    return rows.mapInArrow(encoded, schema).select("row.*", *added)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

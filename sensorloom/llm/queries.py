@@ -9,7 +9,7 @@ from .licenses import scan_licenses
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
-from .pieces import decode, encode
+from .pieces import encode
 from .spots import fingerprints
 from .suffixes import remove_repeats
 from .tokens import count_tokens
@@ -63,10 +63,8 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    read = decode(encode(table(spark, folder, "documents").select("doc_id", "text"), path), path)
-    return read.select(
-        "doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    read = encode(table(spark, folder, "documents").select("doc_id", "text"), path, verify=True)
+    return read.select("doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "round_trip")
 
 
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
