@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sensorloom import schemas
 from sensorloom.operators.rules import apply_rules
-from sensorloom.sources.messages import file_records
+from sensorloom.sources.messages import file_records, read_sensor_stream
 from sensorloom.sources.readings import read_readings, write_readings
+from sensorloom.sources.rules import publish_rules, read_rule_stream
 from sensorloom.streaming.evaluator import evaluate_records, evaluate_stream
 from tests.helpers import readings, rules
 from tests.test_rules import simulated
@@ -113,3 +114,47 @@ def test_job_from_records(spark):
         ("10001", 0.0), ("10002", 1.0), ("10201", 11.0), ("10001", 10.0), ("10002", 1.0), ("10201", 16.0), ("10001", 20.0),
         ("10002", 1.0), ("10201", 26.0), ("10001", 30.0), ("10002", 1.0),
     ]
+
+
+def test_restart_goes_on_from_the_checkpoint(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    series = readings(spark, [float((i * 37) % 11) for i in range(30)])
+    table = rules(spark, [(-1, "r", "10001", "window_avg(4) + window_max(6)", "x"), (22, "q", "10001", "value * 2", "x")])
+    drop_files(spark, table, f"{folder}/rules", [(-1, 10)], time.time() - 1000)
+    for number, (low, high) in enumerate([(0, 12), (13, 29)]):
+        part = series.filter(F.col("seq").between(low, high)).coalesce(1)
+        part.write.mode("append").parquet(f"{folder}/readings")
+        if number:
+            table.filter("seq = 22").coalesce(1).write.mode("append").parquet(f"{folder}/rules")
+        query = evaluate_stream(
+            spark.readStream.schema(schemas.ARRIVED_READING).parquet(f"{folder}/readings"),
+            spark.readStream.schema(RULE_SCHEMA).parquet(f"{folder}/rules"), f"{folder}/out", f"{folder}/checkpoint", live=False,
+        )
+        try:
+            assert query.awaitTermination(120)
+        finally:
+            query.stop()
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select("seq", "ord", "sensor_id", F.round("value", 6)).collect())
+
+    assert rows(spark.read.parquet(f"{folder}/out")) == rows(apply_rules(series, table, as_of=True))
+
+
+def test_streams_from_folders(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    table = rules(spark, [(0, "r", "10001", "value * 2", "x")]).withColumn("uses_window", F.lit(False))
+    publish_rules(table, path=f"{folder}/published")
+    record = spark.read.parquet(f"{folder}/published").select(
+        "key", "value", F.array().cast(schemas.RECORD["headers"].dataType).alias("headers"), F.current_timestamp().alias("timestamp"),
+        F.lit(0).alias("partition"), F.lit(1).cast("bigint").alias("offset"))
+    record.write.parquet(f"{folder}/rules")
+    told = read_rule_stream(spark, path=f"{folder}/rules")
+    sent = read_sensor_stream(spark, path=f"{folder}/rules")
+    assert told.isStreaming and sent.isStreaming and sent.schema.fieldNames() == schemas.RECORD.fieldNames()
+    query = told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(60)
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{folder}/out").select("rule_id", "expression").collect() == [("r", "value * 2")]
