@@ -185,6 +185,8 @@ def repeated_spans(documents: DataFrame, width: int = 400, group: int = GROUP) -
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct.write.bucketBy(buckets, "key").option("path", shared_path(spark, "suffix-texts")).saveAsTable(name)
     distinct = spark.table(name)
+    distinct.schema  # resolved; the catalog entry of the files has done its work
+    spark.sql(f"DROP TABLE {name}")
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"gram": pa.int64(), "place": pa.int32(), "low": pa.int32(), "high": pa.int32(), "starts": pa.int32(), "ends": pa.int32()}
