@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.audit import check_text
 from sensorloom.functions.formula import formula_column, window_calls
 from sensorloom.functions.ids import canonical_serial_id
-from sensorloom.operators.sampling import sample_by
+from sensorloom.operators.sampling import most_buckets, sample_by
 from sensorloom.operators.skew import SPLIT_ROWS
 from sensorloom.operators.windows import rolling
 
@@ -63,14 +63,16 @@ def evaluate_series(
     cap: int | None = None,
     dialect: str = "server",
     split_rows: int = SPLIT_ROWS,
+    most_rows: float | None = None,
 ) -> DataFrame:
     """The formula at every reading of every sensor, with the sensor's own history.
 
-    Time, state and inaccuracy flag stay; device columns are not carried over.
+    Time, state and inaccuracy flag stay; device columns are not carried over. `most_rows`
+    bounds the rows per sensor where that is known, see `with_history`.
     """
     check_text(expression)
     calls = window_calls(expression)
-    df = rolling(df, calls, order=order or order_of(df), cap=cap, dialect=dialect, split_rows=split_rows)
+    df = rolling(df, calls, order=order or order_of(df), cap=cap, dialect=dialect, split_rows=split_rows, most_rows=most_rows)
     windows = {call: F.col(call.column) for call in calls if call.column in df.columns}
     result = formula_column(expression, reading_scope, windows, dialect)
     computed = apply_error_policy(df, result, on_error)
@@ -96,4 +98,5 @@ def evaluate_on_demand(
     check_text(expression)
     picked = range_of(df, sensor_id, start, end)
     series = sample_by(picked, every) if every else picked
-    return evaluate_series(series, expression, sensor_id + ON_DEMAND_SUFFIX)
+    most = most_buckets(start, end, every) if every else None
+    return evaluate_series(series, expression, sensor_id + ON_DEMAND_SUFFIX, most_rows=most)

@@ -19,7 +19,7 @@ RESERVED = (
 
 DEFAULT_PRIMARY = "sensor_000"
 
-FEW_REFERENCES = 10_000  # references that are fetched in one go
+FEW_REFERENCES = 2_000  # formulas of a table that is fetched in one go
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 _SERIAL = r"(?i)^(?:P_|SN_)\d+$"
@@ -158,16 +158,17 @@ def formula_tree(formulas: DataFrame, target: str) -> tuple[list, list[str]]:
     """Formula rows of one target in evaluation order, and the sensors they name.
 
     This is what a plan for the target is made from, so it comes to the driver: the tree
-    of one formula, fetched level by level, or from all references if they are few.
+    of one formula, fetched level by level, or from the whole table if it is small.
     """
-    references = formula_references(formulas).persist()
-    few = references.limit(FEW_REFERENCES + 1).collect()
+    references = formula_references(formulas)
+    small = formulas.limit(FEW_REFERENCES + 1).collect()
     by_source: dict[str, list] = {}
-    for row in few:
-        by_source.setdefault(row["src"], []).append(row)
+    if few := len(small) <= FEW_REFERENCES:
+        for row in references.collect():
+            by_source.setdefault(row["src"], []).append(row)
 
     def mentions(sources: list[str]) -> list:
-        if len(few) <= FEW_REFERENCES:
+        if few:
             return [row for name in sources for row in sorted(by_source.get(name, []), key=lambda r: r["pos"])]
         return references.filter(F.col("src").isin(sources)).orderBy("src", "pos").collect()
 
@@ -183,8 +184,8 @@ def formula_tree(formulas: DataFrame, target: str) -> tuple[list, list[str]]:
                 uses[row["ref"]] = []
                 following.append(row["ref"])
         frontier = following
-    references.unpersist()
-    rows = {row["id"]: row for row in formulas.filter(F.col("id").isin(list(uses))).collect()}
+    found = small if few else formulas.filter(F.col("id").isin(list(uses))).collect()
+    rows = {row["id"]: row for row in found}
     try:
         order = list(TopologicalSorter(uses).static_order())
     except CycleError as error:

@@ -74,7 +74,7 @@ def sample_by(
     if end is not None:
         df = df.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
     numbered = df.withColumn("_bucket", bucket_number(F.col("ts"), every))
-    short = _most_buckets(start, end, every) <= _SHORT
+    short = most_buckets(start, end, every) <= _SHORT
     numbered = numbered.withColumn("_block", F.lit(0) if short else F.floor(F.col("_bucket") / _BLOCK))
     buckets = numbered.groupBy(*keys, "_block", "_bucket").agg(
         F.avg("value").alias("value"),
@@ -97,7 +97,13 @@ def sample_by(
     )
 
 
-def _most_buckets(start, end, every: str) -> float:
+def most_buckets_of(readings: DataFrame, every: str) -> float:
+    """The most buckets that one key of a table can have: from the table's first and last time, which is one cheap aggregate."""
+    row = readings.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    return most_buckets(row["first"], row["last"], every)
+
+
+def most_buckets(start, end, every: str) -> float:
     """The most buckets that one key can have in a range."""
     count, unit = parse_interval(every)
     if start is None or end is None:

@@ -128,10 +128,15 @@ def over_chunks(
 def with_history(
     df: DataFrame, keys: list[str], order: list[str], reach: int,
     add: Callable[[DataFrame, list[str], list[str]], DataFrame], split_rows: int = SPLIT_ROWS,
-    profile: DataFrame | None = None,
+    profile: DataFrame | None = None, most_rows: float | None = None,
 ) -> DataFrame:
-    """Run a window step that looks back over at most `reach` rows of its key."""
-    hot = hot_keys(df, keys, order, split_rows, profile)
+    """Run a window step that looks back over at most `reach` rows of its key.
+
+    `most_rows` is a bound of the rows per key where one is known; within `split_rows` it
+    saves counting them.
+    """
+    small = most_rows is not None and most_rows <= split_rows
+    hot = None if small else hot_keys(df, keys, order, split_rows, profile)
     if hot is None:
         return add(df, keys, order)
     numbered = _positions_of_hot(df, hot, keys, order, "_pos")

@@ -133,18 +133,20 @@ def rolling(
     within: tuple[str, int] | None = None,
     split_rows: int = SPLIT_ROWS,
     profile: DataFrame | None = None,
+    most_rows: float | None = None,
 ) -> DataFrame:
     """Add one column per window call, named as `WindowCall.column`.
 
     All calls share one sort. `cap` bounds the held history by count (`HISTORY_ROWS` is the usual one; none
     unless asked for), `within` = (time column, seconds) by time. A sensor with more than `split_rows` rows is
-    worked on in chunks; `profile` saves counting them, see `hot_keys`.
+    worked on in chunks; `profile` saves counting them, see `hot_keys`, and so does
+    `most_rows`, a bound of the rows per sensor.
     """
     wanted = _check(set(calls))
     if not wanted:
         return df
     add, longest = _adder(wanted, value, cap, dialect, within)
-    return with_history(df, list(keys), list(order), longest - 1, add, split_rows, profile)
+    return with_history(df, list(keys), list(order), longest - 1, add, split_rows, profile, most_rows)
 
 
 def rolling_by_position(

@@ -12,7 +12,7 @@ from sensorloom.operators.composite import dry_run_table, evaluate_composite, si
 from sensorloom.operators.evaluate import evaluate_on_demand, evaluate_series, range_of
 from sensorloom.operators.formulas import default_formulas
 from sensorloom.operators.retention import retain
-from sensorloom.operators.sampling import sample_by, sampled_tail
+from sensorloom.operators.sampling import most_buckets_of, sample_by, sampled_tail
 from sensorloom.operators.windows import rolling
 from sensorloom.plans.registered import query
 from sensorloom.plans.tables import Tables
@@ -195,7 +195,8 @@ def evaluate_on_demand_sampled(t: Tables) -> DataFrame:
     SELECT sensor_id || '_ondemand_eval' AS sensor_id, ts_us, state, has_inaccurate_data,
            round(value * 1.8 + avg(value) OVER (PARTITION BY sensor_id ORDER BY ts_us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) + 0.0 AS value FROM sampled""")
 def evaluate_sampled_fleet(t: Tables) -> DataFrame:
-    return evaluate_series(sample_by(t.readings, "1h"), "value * 1.8 + window_avg(10)")
+    most = most_buckets_of(t.readings, "1h")
+    return evaluate_series(sample_by(t.readings, "1h"), "value * 1.8 + window_avg(10)", most_rows=most)
 
 
 # -- latest ------------------------------------------------------------------------
