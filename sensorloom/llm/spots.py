@@ -18,25 +18,27 @@ ANCHORS = [
     "al", "con", "como", "del", "el", "las", "lo", "los", "más", "no", "para", "pero", "por", "su", "sus", "una", "y",
 ]
 CHAIN = 2
-# In a text with fewer words every word is an anchor.
-SHORT = 50
+# A text with fewer words, or in which fewer than one word in so many is an anchor, takes every word as one besides.
+SHORT, SPARSE = 50, 6
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, short: int = SHORT) -> Column:
     """The set of a text's signatures as sorted 32-bit numbers.
 
     Words are runs of letters and digits in lower case. Each anchor gives one signature: itself and the next `chain`
-    words that are no anchors, looked for up to three anchors on. In texts with fewer than `short` words each word
-    gives one with the `chain` words after it. A text without words has one signature, itself; the empty text none.
+    words that are no anchors, looked for up to three anchors on. In texts with fewer than `short` words or few anchors
+    each word besides gives one with the `chain` words after it. A signature that comes again counts as another one, told apart by its number. A text without words has one signature, itself;
+    the empty text none.
     """
     def with_anchors(words: Column) -> Column:
         # anchors are marked and the words joined again; what follows a mark is an anchor and its content words
         marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
-        parts = F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), F.trim)
+        parts = F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), lambda p: F.trim(p))
         return _let(parts, lambda p: _let(F.transform(p, content), lambda rest: F.transform(p, lambda part, j: of_anchor(rest, part, j))))
 
     def content(part: Column) -> Column:
-        return F.nullif(F.substr(part, F.length(F.substring_index(part, " ", 1)) + 2), F.lit(""))
+        # null where nothing follows the anchor
+        return F.when(F.instr(part, " ") > 0, F.substr(part, F.instr(part, " ") + 1))
 
     def of_anchor(rest: Column, part: Column, j: Column) -> Column:
         following = F.concat_ws(" ", *[F.get(rest, j + n) for n in range(4)])
@@ -47,9 +49,21 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, s
 
     bare = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    found = _let(words, lambda x: F.when(F.size(x) == 0, bare).when(F.size(x) < short, every(x)).otherwise(
-        _let(with_anchors(x), lambda y: F.when(F.size(y) > 0, y).otherwise(every(x)))))
-    return F.array_sort(F.array_distinct(found))
+    found = _let(words, lambda x: F.when(F.size(x) == 0, bare).otherwise(_let(with_anchors(x), lambda y: F.when(
+        (F.size(x) < short) | (F.size(y) * SPARSE < F.size(x)), F.concat(y, every(x))).otherwise(y))))
+    return F.array_sort(F.array_distinct(_let(F.array_sort(found), _numbered)))
+
+
+def _numbered(held: Column) -> Column:
+    """Sorted numbers, each with its place among its equals, as one number."""
+    runs = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i - 1) != F.get(held, i)))
+
+    def of_run(begins: Column, begin: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(begins, j + 1), F.size(held))
+        return F.transform(F.sequence(F.lit(0), end - begin - 1), lambda k: F.hash(F.get(held, begin), k))
+
+    every = _let(runs, lambda begins: F.flatten(F.transform(begins, lambda begin, j: of_run(begins, begin, j))))
+    return F.when(F.size(held) == 0, held).otherwise(every)
 
 
 def _let(value: Column, body) -> Column:
