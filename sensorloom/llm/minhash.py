@@ -65,52 +65,47 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     that a set links without belonging to it is merged by the pair; its members stay around their own centre.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")[::-1]
-    centres: list[int] = []
     members: list[list[tuple[int, float]]] = []
     pairs = []
     reach = 1 - percent / 100 + 1e-9
     vocabulary, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     ends = np.cumsum([0] + [len(sets[i]) for i in order])
-    coded = {i: flat[ends[n]:ends[n + 1]] for n, i in enumerate(order)}
-    mark = np.zeros(len(vocabulary), bool)
-    # the centres' codes, one after the other, in a buffer that doubles
-    held, filled, bounds = np.empty(1 << 16, np.int64), 0, [0]
-
-    for i in order:
-        own = coded[i]
-        mark[own] = True
+    coded = {int(i): flat[ends[n]:ends[n + 1]] for n, i in enumerate(order)}
+    mark = np.zeros(len(vocabulary), np.int8)
+    # the centres' codes one after the other in a buffer that doubles, their bounds, sizes and radii
+    held, bounds = np.empty(1 << 16, np.int64), np.zeros(len(order) + 1, np.int64)
+    sizes, radius = np.zeros(len(order), np.int64), np.zeros(len(order))
+
+    for i in map(int, order):
+        own, n = coded[i], len(members)
+        mark[own] = 1
         home, best = -1, 2.0
-        if centres:
-            both = np.add.reduceat(mark[held[:filled]].view(np.int8), bounds[:-1], dtype=np.int64)
-            sizes = np.diff(bounds)
-            distance = 1 - both / (sizes + len(own) - both)
-            for c in np.argsort(distance, kind="stable"):
+        if n:
+            both = np.add.reduceat(mark[held[:bounds[n]]], bounds[:n], dtype=np.int64)
+            distance = 1 - both / (sizes[:n] + len(own) - both)
+            near = np.flatnonzero(distance <= reach + radius[:n])
+            for c in near[np.argsort(distance[near], kind="stable")].tolist():
                 far = float(distance[c])
-                radius = members[c][0][1]
-                if far > reach + radius:
-                    continue
                 for other, from_centre in members[c]:
-                    if abs(far - (0.0 if other == centres[c] else from_centre)) > reach:
+                    if abs(far - from_centre) > reach:
                         continue
                     theirs = coded[other]
-                    n = int(both[c]) if other == centres[c] else int(np.count_nonzero(mark[theirs]))
-                    if 100 * n >= percent * (len(theirs) + len(own) - n):
-                        pairs.append((other, int(i)))
+                    common = int(both[c]) if not from_centre else int(np.count_nonzero(mark[theirs]))
+                    if 100 * common >= percent * (len(theirs) + len(own) - common):
+                        pairs.append((other, i))
                         if far < best and far <= reach:
-                            home, best = int(c), far
+                            home, best = c, far
                         break
         if home >= 0:
-            members[home].append((int(i), best))
-            members[home][0] = (centres[home], max(members[home][0][1], best))
+            members[home].append((i, best))
+            radius[home] = max(radius[home], best)
         else:
-            centres.append(int(i))
-            members.append([(int(i), 0.0)])
-            while filled + len(own) > len(held):
+            members.append([(i, 0.0)])
+            while bounds[n] + len(own) > len(held):
                 held = np.concatenate([held, np.empty_like(held)])
-            held[filled:filled + len(own)] = own
-            filled += len(own)
-            bounds.append(filled)
-        mark[own] = False
+            held[bounds[n]:bounds[n] + len(own)] = own
+            bounds[n + 1], sizes[n] = bounds[n] + len(own), len(own)
+        mark[own] = 0
     return pairs
 
 
