@@ -216,6 +216,19 @@ def test_spot_links_against_all_pairs(spark):
     assert got == want, [(r["likeness"], len(sets[i] & sets[j]), len(sets[i] | sets[j])) for r in rows for i in of for j in of if i < j and {of[i], of[j]} == {bytes(r["a"]), bytes(r["b"])} and frozenset((of[i], of[j])) not in want]
 
 
+def test_signatures_change_little_with_the_text(spark):
+    words = [["the", "of", "and"][i % 9 // 3] if i % 3 == 0 else f"w{i}" for i in range(52)]
+    few = [["the", "of"][i % 2] if i % 6 == 0 else f"v{i}" for i in range(120)]
+    fewer = [f"u{i}" if i in (30, 60) else w for i, w in enumerate(few)]
+    texts = [" ".join(x) for x in (words, words[:49], few, fewer)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in fingerprints(df).collect()}
+    assert near[0] > 0.8 and near[2] > 0.85 and near[1] == near[3] == 0
+    members, links = spot_links(df)
+    of = {r["doc_id"]: bytes(r["class"]) for r in members.collect()}
+    assert {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links.collect()} == {frozenset((of[0], of[1])), frozenset((of[2], of[3]))}
+
+
 def test_toxicity_on_held_out_documents(spark):
     documents, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     out = score_documents(documents, train(documents, labels)).join(labels, "doc_id").where("held_out").collect()
