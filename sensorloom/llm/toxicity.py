@@ -69,6 +69,7 @@ def sentence_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Model:
     weights: np.ndarray  # one per hashed word, float32
     bias: float
+    usual: float = 1.0  # sentences of a document of the sample, on average
 
     def sentences(self, feature: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         """Probability of each of n sentences."""
@@ -76,9 +77,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def document_score(sentences: np.ndarray) -> float:
-    """Noisy-or: the document is toxic if any sentence is. None: 0."""
-    return float(-np.expm1(np.log1p(-np.minimum(sentences, 1 - 1e-12)).sum())) if len(sentences) else 0.0
+def document_score(sentences: np.ndarray, usual: float) -> float:
+    """Noisy-or: the document is toxic if any sentence is. None: 0.
+
+    What sentences say that are hardly toxic by themselves weighs in documents with more than `usual` sentences as in
+    one with so many, so that length alone makes no document toxic; a toxic sentence counts fully in any.
+    """
+    if not len(sentences):
+        return 0.0
+    held = np.minimum(sentences, 1 - 1e-12)
+    share = min(1.0, usual / len(held))
+    return float(-np.expm1((np.log1p(-held) * (share + (1 - share) * held)).sum()))
 
 
 def association(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
@@ -95,7 +104,8 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], kept: np.ndarr
     """A model from (features, sentence numbers, number of sentences, label) per document, by gradient steps (Adam) on the likelihood.
 
     `kept` are the hashed words that may have a weight; a document's features are places in it. With A the sum of
-    softplus(z) over a document's sentences, noisy-or gives 1 - exp(-A). Without labels of both kinds every document
+    softplus(z) over a document's sentences, noisy-or gives 1 - exp(-A); in documents longer than usual a sentence's part
+    is weighed as in `document_score`. Without labels of both kinds every document
     with a sentence scores 1 or 0 as all labels say.
     """
     labels = np.array([d[3] for d in documents], np.float64)
@@ -108,21 +118,25 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], kept: np.ndarr
     sentence = np.concatenate([d[1] + o for d, o in zip(documents, offsets)])
     owner = np.repeat(np.arange(len(documents)), np.diff(offsets))
     total = int(offsets[-1])
+    usual = max(1.0, total / len(documents))
+    share = np.minimum(1.0, usual / np.maximum(1, np.diff(offsets)))[owner]
 
     theta = np.zeros(len(kept) + 1)
-    theta[-1] = np.log(share / max(1.0, total / len(documents)))
+    theta[-1] = np.log(labels.mean() / usual)
     mean, spread = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = np.bincount(sentence, theta[feature], minlength=total) + theta[-1]
-        mass = np.bincount(owner, np.logaddexp(0, z), minlength=len(documents))
+        each, held = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        weighed = share + (1 - share) * held
+        mass = np.bincount(owner, each * weighed, minlength=len(documents))
         pull = np.where(labels > 0, -1 / np.expm1(np.clip(mass, 1e-9, 500)), 1.0)
-        slope = pull[owner] / (1 + np.exp(-np.clip(z, -40, 40))) / len(documents)
+        slope = pull[owner] * held * (weighed + each * (1 - share) * (1 - held)) / len(documents)
         gradient = np.concatenate((np.bincount(feature, slope[sentence], minlength=len(kept)), [slope.sum()]))
         gradient[:-1] += penalty * theta[:-1]
         mean, spread = 0.9 * mean + 0.1 * gradient, 0.99 * spread + 0.01 * gradient**2
         theta -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
     weights[kept] = theta[:-1]
-    return Model(weights, float(theta[-1]))
+    return Model(weights, float(theta[-1]), usual)
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
@@ -194,7 +208,7 @@ def score_documents(documents: DataFrame, model: Model, extra: list[str] = ()) -
             for text in batch.column("_text").to_pylist():
                 feature, sentence, bounds = sentence_words(text)
                 each = model.sentences(feature, sentence, len(bounds))
-                scores.append(document_score(each))
+                scores.append(document_score(each, model.usual))
                 offending.append([{"start": int(bounds[i, 0]), "end": int(bounds[i, 1]), "score": float(each[i])} for i in np.flatnonzero(each >= 0.5)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in passed), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(offending, shape)],

@@ -16,7 +16,7 @@ from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.pieces import decode_ids, encode_texts
 from sensorloom.llm.spots import ANCHORS, fingerprints, spot_links
 from sensorloom.llm.tokens import count_tokens
-from sensorloom.llm.toxicity import score_documents, train
+from sensorloom.llm.toxicity import document_score, fit, score_documents, train
 
 FOLDER = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -238,6 +238,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert right >= 0.9 and better >= 0.8
 
 
+def test_long_clean_documents_are_not_toxic():
+    rng = np.random.default_rng(4)
+    documents = []
+    for i in range(600):
+        n = int(rng.integers(5, 60))
+        mild = np.flatnonzero(rng.random(n) < (0.1 if i % 8 else 0.2))
+        told = rng.integers(0, n, 1) if i % 8 == 0 else mild[:0]
+        feature = np.concatenate((np.ones(len(mild), np.int64), np.zeros(len(told), np.int64)))
+        # some labels without a telling word
+        documents.append((feature, np.concatenate((mild, told)), n, int(i % 8 == 0 or i % 80 == 3)))
+    model = fit(documents, np.array([5, 9]))
+    for n in (10_000, 40_000):
+        clean = np.arange(0, n, 10)
+        score = lambda feature, sentence: document_score(model.sentences(feature, sentence, n), model.usual)
+        assert score(clean[:0], clean[:0]) < 0.5 and score(np.full(len(clean), 9), clean) < 0.5
+        assert score(np.append(np.full(len(clean), 9), 5), np.append(clean, n // 2)) > 0.5
+
+
 def test_alignment_and_license_scan():
     a, b = "x the cat sat on the mat y".split(), "the cat sat down on the mat".split()
     assert [a[i] for i, _ in align(a, b)] == "the cat sat on the mat".split()
