@@ -94,6 +94,15 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _apart(matches: set[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of overlapping matches (coverage, first and last word) the best."""
+    kept: list[tuple[float, int, int]] = []
+    for m in sorted(matches, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+        if all(m[2] < k[1] or m[1] > k[2] for k in kept):
+            kept.append(m)
+    return kept
+
+
 class Scanner:
     """Templates made ready for scanning many texts."""
 
@@ -127,15 +136,38 @@ class Scanner:
             if len(window) < least:
                 continue
             low, high = max(0, window[0] - size), min(len(words), window[-1] + size + 1)
+            # no alignment has more words than both hold
+            if (Counter(words[low:high]) & Counter(template)).total() < self.coverage * size:
+                continue
+            wide = []
             pairs = align(words[low:high], template)
             if pairs and len(pairs) >= self.coverage * size:
-                out.append((len(pairs) / size, low + pairs[0][0], low + pairs[-1][0]))
-        # of overlapping matches the best stays
-        kept: list[tuple[float, int, int]] = []
-        for m in sorted(set(out), key=lambda m: (-m[0], m[2] - m[1], m[1])):
-            if all(m[2] < k[1] or m[1] > k[2] for k in kept):
-                kept.append(m)
-        return kept
+                wide.append((len(pairs) / size, low + pairs[0][0], low + pairs[-1][0]))
+            close = set()
+            for begin, end in self._stretches(words, low, high, template):
+                pairs = align(words[begin:end], template)
+                if pairs and len(pairs) >= self.coverage * size:
+                    close.add((len(pairs) / size, begin + pairs[0][0], begin + pairs[-1][0]))
+            # an alignment across several copies gives way to them
+            apart = _apart(close)
+            out += [m for m in wide if sum(m[1] <= k[1] and k[2] <= m[2] for k in apart) < 2] + list(close)
+        return _apart(set(out))
+
+    @staticmethod
+    def _stretches(words: list[str], low: int, high: int, template: list[str]) -> list[tuple[int, int]]:
+        """Stretches of about one template's length where runs of two or more of its words say that a copy begins and ends."""
+        size = len(template)
+        places: dict[str, list[int]] = {}
+        for t, w in enumerate(template):
+            places.setdefault(w, []).append(t)
+        starts = set()
+        for i in range(low, high):
+            for t in places.get(words[i], ()):
+                if t and i > low and words[i - 1] == template[t - 1]:
+                    continue
+                if size < 3 or (t + 1 < size and i + 1 < high and words[i + 1] == template[t + 1]):
+                    starts.add(i - t)
+        return sorted({(max(low, a), min(high, b + size)) for a in starts for b in starts if abs(a - b) <= size // 4})
 
     @staticmethod
     def _windows(hits: list[int], size: int) -> Iterator[list[int]]:
@@ -159,7 +191,8 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, c
 
     matches lists every place where at least `coverage` of a template's words align (license, coverage, start, end in
     characters of the lower-cased text); license and coverage are those of the best match, null and 0 without one.
-    Stretches around words that tell a template are aligned with it, so several notices in a text, or words that
+    Stretches around words that tell a template are aligned with it, and also the
+    parts of one copy's length in which runs of its words stand, so several notices in a text, or words that
     repeat elsewhere in it, don't hide one another.
 
     Null or empty text: no match. Null doc_id and repeated rows: kept. Other columns are not looked at. Nothing is

@@ -10,7 +10,7 @@ from sentencepiece import SentencePieceProcessor
 from sensorloom.llm import minhash, vectors
 from sensorloom.llm.common import components
 from sensorloom.llm.hashing import shingles
-from sensorloom.llm.licenses import TEMPLATES, Scanner, align
+from sensorloom.llm.licenses import TEMPLATES, Scanner, align, words_of
 from sensorloom.llm.lines import dedup_lines
 from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.pieces import decode_ids, encode_texts
@@ -274,3 +274,19 @@ def test_alignment_and_license_scan():
         assert len(words) < 8 or name in {m["license"] for m in scanner.scan(f"{filler} {' '.join(words)} {filler}")}
         assert len([m for m in scanner.scan(f"{template} {filler} {template}") if m["license"] == name]) == 2
     assert scanner.scan(filler + " a license under the public version of it") == []
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_adjacent_notices(name):
+    scanner, template = Scanner(TEMPLATES, 0.8), words_of(TEMPLATES[name])
+    size, filler = len(template), [f"w{i}" for i in range(30)]
+    for copies, gap in ((2, 0), (3, 0), (2, 3), (5, 1)):
+        words = [*filler, *(template + filler[:gap]) * copies, *filler]
+        # brute force: all offsets
+        want = [i for i in range(len(words)) if words[i:i + size] == template]
+        text = " ".join(words)
+        begins = [sum(len(w) + 1 for w in words[:i]) for i in want]
+        assert sorted(m["start"] for m in scanner.scan(text) if m["license"] == name) == begins and len(begins) == copies
+    altered = [*template[:size // 2], "altered", *template[size // 2 + 1:]]
+    text = " ".join([*filler, *altered, *template, *altered, *filler])
+    assert len([m for m in scanner.scan(text) if m["license"] == name]) == 3
