@@ -10,6 +10,7 @@ from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pieces import encode
+from .runs import digests, periodic_runs, with_repeated_ends
 from .spots import fingerprints
 from .suffixes import remove_repeats
 from .tokens import count_tokens
@@ -71,7 +72,11 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix)}
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(periodic_runs(with_repeated_ends(table(spark, folder, "documents"))))
+
+
+JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix, op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
