@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pieces import encode
 from .runs import digests, periodic_runs, with_repeated_ends
+from .spans import align_tokens
 from .spots import fingerprints
 from .suffixes import remove_repeats
 from .tokens import count_tokens
@@ -72,11 +73,17 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
+def op12_token_spans(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return digests(periodic_runs(with_repeated_ends(table(spark, folder, "documents"))))
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix, op13_periodic_runs)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix, op12_token_spans, op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
