@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import encode_digests
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .minhash import near_duplicates
@@ -73,6 +74,12 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2).drop("copies")
 
 
+def op11_chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_token_spans(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +90,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return digests(periodic_runs(with_repeated_ends(table(spark, folder, "documents"))))
 
 
-JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix, op12_token_spans, op13_periodic_runs)}
+JOBS = {f.__name__: f for f in (op1_suffix_array, op2_vector_graph, op3_line_dedup, op4_license_scan, op5_toxicity, op6_spot_signatures, op7_minhash, op8_token_counts, op9_pieces, op10_source_mix, op11_chunk_reuse, op12_token_spans, op13_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
