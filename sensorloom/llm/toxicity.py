@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ BITS = 18
 STEPS = 250
 # Beginnings of words, in bytes, that are features besides the whole words: compound words share them.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
-# Likelihood ratio statistic (G squared) from which a word's presence counts as associated with the label.
-ASSOCIATED = 30.0
+# Share of false finds among the words whose presence counts as associated with the label (Benjamini and Hochberg).
+FALSE_FINDS = 0.02
+# Documents of the sample that hold a word at least; what fewer hold could never be told from chance.
+SEEN = 3
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -72,26 +75,29 @@ class Model:
     usual: float = 1.0  # sentences of a document of the sample, on average
 
     def sentences(self, feature: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        """Probability of each of n sentences."""
+        """Probability of each of n sentences.
+
+        With q from the sentence's words alone, q * (s + (1 - s) * q), s as in `usual_share`: in a long document a sentence
+        that is hardly toxic counts for as much less as there are more of them, so length alone makes no document toxic;
+        one that is toxic by itself counts in any.
+        """
         z = np.bincount(sentence, self.weights[feature], minlength=n) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        q, s = 1 / (1 + np.exp(-np.clip(z, -40, 40))), usual_share(n, self.usual)
+        return q * (s + (1 - s) * q)
 
 
-def document_score(sentences: np.ndarray, usual: float) -> float:
-    """Noisy-or: the document is toxic if any sentence is. None: 0.
+def usual_share(n: int | np.ndarray, usual: float) -> float | np.ndarray:
+    """1 up to the usual number of sentences, then the usual number divided by n."""
+    return np.minimum(1.0, usual / np.maximum(1, n))
 
-    What sentences say that are hardly toxic by themselves weighs in documents with more than `usual` sentences as in
-    one with so many, so that length alone makes no document toxic; a toxic sentence counts fully in any.
-    """
-    if not len(sentences):
-        return 0.0
-    held = np.minimum(sentences, 1 - 1e-12)
-    share = min(1.0, usual / len(held))
-    return float(-np.expm1((np.log1p(-held) * (share + (1 - share) * held)).sum()))
+
+def document_score(sentences: np.ndarray) -> float:
+    """Noisy-or: the document is toxic if any sentence is. None: 0."""
+    return float(-np.expm1(np.log1p(-np.minimum(sentences, 1 - 1e-12)).sum()))
 
 
 def association(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
-    """G squared of a feature from the numbers of toxic and clean documents that hold it."""
+    """Likelihood ratio statistic (G squared) of a feature from the numbers of toxic and clean documents that hold it."""
     total, held = n_toxic + n_clean, toxic + clean
     parts = []
     for has, of in ((toxic, n_toxic), (clean, n_clean)):
@@ -100,37 +106,48 @@ def association(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Col
     return sum(parts[1:], parts[0])
 
 
+def associated(statistic: np.ndarray) -> np.ndarray:
+    """Places of the statistics (one degree of freedom) that are beyond chance, with FALSE_FINDS of them expected to be false.
+
+    What counts follows the number of features and of labels, so a few labels teach the strongest words.
+    """
+    chance = np.array([erfc(sqrt(max(x, 0.0) / 2)) for x in statistic.tolist()])
+    order = np.argsort(chance, kind="stable")
+    within = np.flatnonzero(chance[order] <= FALSE_FINDS * np.arange(1, len(order) + 1) / max(1, len(order)))
+    return order[:within[-1] + 1] if len(within) else order[:0]
+
+
 def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], kept: np.ndarray, steps: int = STEPS, penalty: float = 2e-5) -> Model:
     """A model from (features, sentence numbers, number of sentences, label) per document, by gradient steps (Adam) on the likelihood.
 
-    `kept` are the hashed words that may have a weight; a document's features are places in it. With A the sum of
-    softplus(z) over a document's sentences, noisy-or gives 1 - exp(-A); in documents longer than usual a sentence's part
-    is weighed as in `document_score`. Without labels of both kinds every document
+    `kept` are the hashed words that may have a weight; a document's features are places in it. Noisy-or gives
+    1 - exp(-A), A the sum of -log(1 - p) over a document's sentences; with p = q * (s + (1 - s) * q) and q the logistic
+    function of z that is softplus(z) - log(1 + (1 - s) * q). Without labels of both kinds every document
     with a sentence scores 1 or 0 as all labels say.
     """
     labels = np.array([d[3] for d in documents], np.float64)
     share = float(labels.mean()) if len(labels) else 0.0
     weights = np.zeros(1 << BITS, np.float32)
     if not 0 < share < 1:
-        return Model(weights, 40.0 if share else -40.0)
-    offsets = np.cumsum([0] + [d[2] for d in documents])
+        return Model(weights, 40.0 if share else -40.0, float("inf"))
+    sizes = np.array([d[2] for d in documents])
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
     feature = np.concatenate([d[0] for d in documents])
     sentence = np.concatenate([d[1] + o for d, o in zip(documents, offsets)])
-    owner = np.repeat(np.arange(len(documents)), np.diff(offsets))
+    owner = np.repeat(np.arange(len(documents)), sizes)
     total = int(offsets[-1])
     usual = max(1.0, total / len(documents))
-    share = np.minimum(1.0, usual / np.maximum(1, np.diff(offsets)))[owner]
+    rest = 1 - usual_share(sizes, usual)[owner]
 
     theta = np.zeros(len(kept) + 1)
-    theta[-1] = np.log(labels.mean() / usual)
+    theta[-1] = np.log(share / usual)
     mean, spread = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = np.bincount(sentence, theta[feature], minlength=total) + theta[-1]
-        each, held = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        weighed = share + (1 - share) * held
-        mass = np.bincount(owner, each * weighed, minlength=len(documents))
+        q = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        mass = np.bincount(owner, np.logaddexp(0, z) - np.log1p(rest * q), minlength=len(documents))
         pull = np.where(labels > 0, -1 / np.expm1(np.clip(mass, 1e-9, 500)), 1.0)
-        slope = pull[owner] * held * (weighed + each * (1 - share) * (1 - held)) / len(documents)
+        slope = pull[owner] * q * (1 - rest * (1 - q) / (1 + rest * q)) / len(documents)
         gradient = np.concatenate((np.bincount(feature, slope[sentence], minlength=len(kept)), [slope.sum()]))
         gradient[:-1] += penalty * theta[:-1]
         mean, spread = 0.9 * mean + 0.1 * gradient, 0.99 * spread + 0.01 * gradient**2
@@ -142,9 +159,9 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int, int]], kept: np.ndarr
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from the labelled documents that are not held out; at most `rows` of them, chosen by a hash of doc_id.
 
-    Only words whose presence goes with the label beyond chance (ASSOCIATED) get a weight, so that wrong labels are
-    not learnt by heart from rare words. They are counted by Spark; what comes to the driver are the places of these
-    words in the sample. A document with several labels is toxic if one says so; rows without doc_id or label teach
+    Only words whose presence goes with the label beyond chance (`associated`) get a weight, so that wrong labels are
+    not learnt by heart from rare words. They are counted by Spark; what comes to the driver are one number for each
+    hashed word (at most 2**BITS) and the places of the chosen ones in the sample. A document with several labels is toxic if one says so; rows without doc_id or label teach
     nothing. The sample's ids are broadcast (at most `rows` of them).
     """
     small_batches(documents.sparkSession)
@@ -167,8 +184,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     sizes = held.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
     counts = held.mapInArrow(counted, "feature long, of_toxic long, of_clean long").groupBy("feature").agg(F.sum("of_toxic").alias("of_toxic"), F.sum("of_clean").alias("of_clean"))
     n_toxic, n_clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
-    told = counts.where(association(F.col("of_toxic"), F.col("of_clean"), n_toxic, n_clean) >= ASSOCIATED) if n_toxic and n_clean else counts.limit(0)
-    kept = np.array(sorted(r["feature"] for r in told.select("feature").collect()), np.int64)
+    counts = counts.where(F.col("of_toxic") + F.col("of_clean") >= SEEN)
+    statistic = counts.select("feature", association(F.col("of_toxic"), F.col("of_clean"), n_toxic, n_clean).alias("x")) if n_toxic and n_clean else counts.limit(0).select("feature", F.lit(0.0).alias("x"))
+    found = statistic.toArrow()
+    kept = np.sort(found.column("feature").to_numpy()[associated(found.column("x").to_numpy())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +227,7 @@ def score_documents(documents: DataFrame, model: Model, extra: list[str] = ()) -
             for text in batch.column("_text").to_pylist():
                 feature, sentence, bounds = sentence_words(text)
                 each = model.sentences(feature, sentence, len(bounds))
-                scores.append(document_score(each, model.usual))
+                scores.append(document_score(each))
                 offending.append([{"start": int(bounds[i, 0]), "end": int(bounds[i, 1]), "score": float(each[i])} for i in np.flatnonzero(each >= 0.5)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in passed), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(offending, shape)],

@@ -1,6 +1,11 @@
 """Operators against brute force, the tokenizer's own library, or held-out labels."""
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +21,7 @@ from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.pieces import decode_ids, encode_texts
 from sensorloom.llm.spots import ANCHORS, fingerprints, spot_links
 from sensorloom.llm.tokens import count_tokens
-from sensorloom.llm.toxicity import document_score, fit, score_documents, train
+from sensorloom.llm.toxicity import document_score, fit, score_documents, sentence_words, train
 
 FOLDER = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -236,6 +241,63 @@ def test_toxicity_on_held_out_documents(spark):
     toxic, clean = ([r["score"] for r in out if r["toxic"] == y] for y in (1, 0))
     better = np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean])
     assert right >= 0.9 and better >= 0.8
+    assert sum(x >= 0.5 for x in toxic) >= 0.6 * len(toxic) and sum(x < 0.5 for x in clean) >= 0.97 * len(clean)
+
+
+def plain_sentences(text):
+    """Sets of features of the sentences with words, by regular expressions; a feature's number is taken from a text of that word alone."""
+    data = "".join(c.lower() if c < "\x80" else c for c in text or "").encode()
+    words = [re.findall(rb"[0-9a-z'\x80-\xff]+", part) for part in re.split(rb"[.!?\n]", data)]
+    return [set().union(*(plain_features(w.decode()) for w in of)) for of in words if of]
+
+
+@lru_cache(maxsize=None)
+def plain_features(word):
+    return frozenset(sentence_words(word)[0].tolist())
+
+
+def test_toxicity_against_plain_code(spark):
+    folder = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(documents, labels)
+    text = {r["doc_id"]: r["text"] for r in documents.collect()}
+    rows = [(plain_sentences(text[r["doc_id"]]), r["toxic"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    # words beyond chance
+    held = [(set().union(*s), y) for s, y in rows]
+    every, n, n_toxic = Counter(f for h, _ in held for f in h), len(held), sum(y for _, y in held)
+    of_toxic = Counter(f for h, y in held if y for f in h)
+    chance = []
+    for f, k in every.items():
+        if k >= 3:
+            table = [(of_toxic[f], k, n_toxic), (k - of_toxic[f], k, n - n_toxic), (n_toxic - of_toxic[f], n - k, n_toxic), (n - k - n_toxic + of_toxic[f], n - k, n - n_toxic)]
+            chance.append((math.erfc(math.sqrt(max(0, sum(a * math.log(a * n / (b * c)) for a, b, c in table if a)))), f))
+    chance.sort()
+    last = max((i for i, (p, _) in enumerate(chance) if p <= 0.02 * (i + 1) / len(chance)), default=-1)
+    kept = sorted(f for _, f in chance[:last + 1])
+    assert kept == np.flatnonzero(model.weights).tolist() and kept
+    # the fit, document by document
+    usual = max(1, sum(len(s) for s, _ in rows) / n)
+    inside = [np.array([[f in x for f in kept] for x in s], float).reshape(-1, len(kept)) for s, _ in rows]
+    theta = np.append(np.zeros(len(kept)), math.log(n_toxic / n / usual))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, 251):
+        slope = 2e-5 * np.append(theta[:-1], 0)
+        for x, (_, y) in zip(inside, rows):
+            q, s = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1]))), min(1, usual / max(1, len(x)))
+            p = q * (s + (1 - s) * q)
+            none = np.prod(1 - p)  # no sentence is toxic
+            each = q * (1 - q) * (s + 2 * (1 - s) * q) / (1 - p) * (-none / (1 - none) if y else 1) / n
+            slope += np.append(each @ x, each.sum())
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    assert np.allclose(model.weights[kept], theta[:-1], atol=1e-3) and abs(model.bias - theta[-1]) < 1e-3
+    # the scores of all documents
+    weight = dict(zip(kept, theta[:-1]))
+    for r in score_documents(documents, model).collect():
+        s = plain_sentences(text[r["doc_id"]])
+        q, share = [1 / (1 + math.exp(-theta[-1] - sum(weight.get(f, 0) for f in x))) for x in s], min(1, usual / max(1, len(s)))
+        want = 1 - math.prod(1 - x * (share + (1 - share) * x) for x in q)
+        assert r["score"] == pytest.approx(want, abs=1e-3) and r["predicted"] == (r["score"] >= 0.5)
 
 
 def test_long_clean_documents_are_not_toxic():
@@ -251,7 +313,7 @@ def test_long_clean_documents_are_not_toxic():
     model = fit(documents, np.array([5, 9]))
     for n in (10_000, 40_000):
         clean = np.arange(0, n, 10)
-        score = lambda feature, sentence: document_score(model.sentences(feature, sentence, n), model.usual)
+        score = lambda feature, sentence: document_score(model.sentences(feature, sentence, n))
         assert score(clean[:0], clean[:0]) < 0.5 and score(np.full(len(clean), 9), clean) < 0.5
         assert score(np.append(np.full(len(clean), 9), 5), np.append(clean, n // 2)) > 0.5
 
