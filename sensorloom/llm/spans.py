@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from .common import small_batches, stored, whole_text
 SEGMENT = 250_000
 _CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 _SPACE = "▁"
+_SPAN = attrgetter("id", "begin", "end")
 
 
 def segments(text: str) -> Iterator[str]:
@@ -45,9 +48,12 @@ def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarr
     A span as wide as its token is right. The tokens between two of these (parts of one character, bytes of a
     character that no piece has, a blank that the text hasn't) follow each other by their decoded bytes.
     """
+    right = ends - starts == sizes
+    if right.all():
+        return ends
     decoded = np.cumsum(sizes)
-    right = np.maximum.accumulate(np.where(ends - starts == sizes, np.arange(len(sizes)), -1))
-    return decoded + np.where(right >= 0, (ends - decoded)[right], 0)
+    latest = np.maximum.accumulate(np.where(right, np.arange(len(sizes)), -1))
+    return decoded + np.where(latest >= 0, (ends - decoded)[latest], 0)
 
 
 class Tokenizers:
@@ -74,7 +80,8 @@ class Tokenizers:
             raise ValueError("a piece reaches from one word into the next")
         self.size_a, self.size_b = (np.array([len(x) for x in held], np.int64) for held in (self.bytes_a, self.bytes_b))
         self.pairs = self._pairs()
-        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        # an id with what comes after it: another of its group's side, the other side, the next group
+        self.names = [f"{i}{x}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for x in ",|;"]
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
@@ -105,17 +112,16 @@ class Tokenizers:
             data = f" {segment}".encode()
             code = self.a.encode(f" {segment}", add_special_tokens=False)
             a = np.array(code.ids, np.int64)
-            spans = np.array(code.offsets, np.int64).reshape(-1, 2)
+            spans = np.fromiter(chain.from_iterable(code.offsets), np.int64, 2 * len(a))
             if len(data) != len(segment) + 1:  # offsets count characters
                 points = np.frombuffer(f" {segment}".encode("utf-32-le"), np.uint32)
                 width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
                 spans = np.concatenate(([0], np.cumsum(width)))[spans]
-            ends_a = refined(spans[:, 0], spans[:, 1], self.size_a[a])
+            ends_a = refined(spans[0::2], spans[1::2], self.size_a[a])
             # this release of the library gives the immutable proto's spans, in bytes, as a plain proto
-            pieces = self.b.encode(segment, return_type="proto").pieces
-            b = np.array([p.id for p in pieces], np.int64)
-            spans = np.array([(p.begin, p.end) for p in pieces], np.int64).reshape(-1, 2) + 1  # the blank is not in the text
-            ends_b = refined(spans[:, 0], spans[:, 1], self.size_b[b])
+            spans = np.fromiter(chain.from_iterable(map(_SPAN, self.b.encode(segment, return_type="proto").pieces)), np.int64)
+            b = spans[0::3]
+            ends_b = refined(spans[1::3] + 1, spans[2::3] + 1, self.size_b[b])  # the blank is not in the text
             for ids, held, ends in ((a, self.bytes_a, ends_a), (b, self.bytes_b, ends_b)):
                 if b"".join([held[i] for i in ids.tolist()]) != data or (len(ends) and ends[-1] != len(data)):
                     return none, none, none, none
@@ -134,12 +140,17 @@ class Tokenizers:
 
     def listed(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """The groups as text: `a1,a2|b1;a3|b2,b3`."""
-        of_a, of_b = ([self.names[i] for i in ids.tolist()] for ids in (a, b))
-        out, i, j = [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            out.append(",".join(of_a[i:x]) + "|" + ",".join(of_b[j:y]))
-            i, j = x, y
-        return ";".join(out)
+        if not len(a):
+            return ""
+        ends = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ends[0][last_a], ends[1][last_b] = 1, 2
+        # tokens of A come after the B tokens of the groups before theirs, those of B after their own group's A tokens
+        group = [np.cumsum(x > 0) - (x > 0) for x in ends]
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group[0]]] = 3 * a + ends[0]
+        out[np.arange(len(b)) + (last_a + 1)[group[1]]] = 3 * b + ends[1]
+        names = self.names
+        return "".join([names[i] for i in out.tolist()])[:-1]
 
 
 @lru_cache(maxsize=2)
