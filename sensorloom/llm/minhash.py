@@ -15,25 +15,27 @@ from .common import components, digest, small_batches, stored, whole_text
 from .hashing import mix, shingles
 
 BANDS, ROWS = 20, 5
-# Sets that one verification task compares; a larger candidate group is cut into parts of half that size, and every
-# pair of parts is compared.
-GROUP = 4000
+# Sets, and shingles of sets, that one verification task compares; a larger candidate group is cut into parts of half that
+# size, and every pair of parts is compared.
+GROUP, GROUP_SHINGLES = 4000, 8_000_000
+# Shingles whose signatures are made together, besides one whole set.
+TOGETHER = 50_000
 
 
-def signature(held: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> np.ndarray:
-    """One hash per band of the circulant MinHash signature of a shingle set.
+def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> np.ndarray:
+    """[set, band]: hashes of the bands of the circulant MinHash signatures of shingle sets, none of them empty.
 
     Two permutations of the 64-bit words: the first scatters the shingles; the second, shifted circularly by
     k = 1, 2, ..., gives coordinate k as the smallest image of the set.
     """
-    scattered = mix(held + np.uint64(seed) * np.uint64(0xD6E8FEB86659FD93))
-    out = np.empty(bands * rows, np.uint64)
-    for k in range(bands * rows):
-        out[k] = mix(scattered - np.uint64(k + 1)).min()
-    band = np.full(bands, 0, np.uint64)
-    for row in out.reshape(bands, rows).T:
-        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + row)
-    return band
+    scattered = mix(np.concatenate(sets) + np.uint64(seed) * np.uint64(0xD6E8FEB86659FD93))
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in sets[:-1]]))).astype(np.int64)
+    out = np.zeros((len(sets), bands), np.uint64)
+    for band in range(bands):
+        for row in range(rows):
+            least = np.minimum.reduceat(mix(scattered - np.uint64(band * rows + row + 1)), starts)
+            out[:, band] = mix(out[:, band] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return out
 
 
 def document_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -41,12 +43,21 @@ def document_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bands = [], [], []
-            for text in batch.column("text").to_pylist():
+            sizes, keys = [], []
+            bands: list[np.ndarray | None] = [None] * batch.num_rows
+            waiting: list[tuple[int, np.ndarray]] = []
+            size = 0
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 held = shingles(text, width)
                 sizes.append(len(held))
                 keys.append(hashlib.blake2b(held.tobytes(), digest_size=16).digest() if len(held) else None)
-                bands.append(signature(held).view(np.int64) if len(held) else None)
+                if len(held):
+                    waiting.append((at, held))
+                    size += len(held)
+                if waiting and (size > TOGETHER or at == batch.num_rows - 1):
+                    for (place, _), row in zip(waiting, signatures([x for _, x in waiting])):
+                        bands[place] = row.view(np.int64)
+                    waiting, size = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "content", "n_shingles", "set_key", "bands"])
@@ -129,22 +140,24 @@ def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) ->
     texts = documents.select("doc_id", whole_text().alias("text")).withColumn("content", digest(F.col("text")))
     facts = stored(document_sets(texts, width), "minhash-sets")
 
-    # one class per set; `node` is its smallest doc_id, or a negative number where it has none
+    # one class per set, under a number of its own
     classes = facts.where("set_key is not null").groupBy("set_key").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "content")).alias("first"), F.max("bands").alias("bands"))
-    surrogate = -F.lit(2) - F.abs(F.xxhash64("set_key") / F.lit(2)).cast("long")
-    classes = stored(classes.select("set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.content").alias("content"), F.coalesce(F.col("first.doc_id").cast("long"), surrogate).alias("node"), "bands"), "minhash-classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "content")).alias("first"), F.max("bands").alias("bands"), F.max("n_shingles").alias("n_shingles"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.content").alias("content"), "n_shingles", "bands"), "minhash-classes")
 
     banded = classes.select("node", F.posexplode("bands").alias("band", "value"))
     buckets = banded.groupBy("band", "value").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").drop("most")
     star = banded.join(buckets, ["band", "value"]).where("a < node").select("a", F.col("node").alias("b")).distinct()
     groups = components(star, "minhash-groups").withColumnRenamed("component", "found")
 
-    links = stored(_verified(texts, classes, groups, percent, width), "minhash-links")
-    joined = components(links, "minhash-components")
+    links = _verified(texts, classes, groups, percent, width)
+    # the sets of rows that share a doc_id are one document's
+    owned = facts.where("set_key is not null and doc_id is not null").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+    several = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").drop("most")
+    one = owned.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    joined = components(stored(links.union(one), "minhash-links"), "minhash-components")
 
     ids = classes.join(joined, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("component"))
-    # rows that repeat a doc_id with another text carry that doc_id's component too
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_set = ids.join(smallest, "component").select("set_key", "component_id")
     placed = facts.join(of_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -153,9 +166,10 @@ def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) ->
 
 def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) between the classes of each candidate group: a spanning forest of its true links."""
-    first = classes.join(groups, "node").select("node", "found", F.col("doc_id").alias("_doc"), F.col("content").alias("_content"))
-    sizes = groups.groupBy("found").agg(F.count("*").alias("members"))
-    first = first.join(sizes, "found").withColumn("parts", F.ceil(F.when(F.col("members") > GROUP, F.col("members") * 2 / GROUP).otherwise(1)).cast("int"))
+    first = classes.join(groups, "node").select("node", "found", "n_shingles", F.col("doc_id").alias("_doc"), F.col("content").alias("_content"))
+    # how many tasks' worth a group is, by sets and by shingles
+    sizes = first.groupBy("found").agg(F.greatest(F.count("*") / F.lit(GROUP), F.sum("n_shingles") / F.lit(GROUP_SHINGLES)).alias("load"))
+    first = first.join(sizes, "found").withColumn("parts", F.when(F.col("load") > 1, F.ceil(2 * F.col("load"))).otherwise(1).cast("int"))
     wanted = texts.join(first, (F.col("content") == F.col("_content")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

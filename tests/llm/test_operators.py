@@ -66,6 +66,42 @@ def test_minhash_against_brute_force(spark, monkeypatch, group):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 85).collect()} == want
 
 
+def plain_signature(held, bands=20, rows=5, seed=1):
+    whole = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & whole
+        return x ^ (x >> 31)
+
+    scattered = [mix((int(x) + seed * 0xD6E8FEB86659FD93) & whole) for x in held]
+    out = []
+    for band in range(bands):
+        value = 0
+        for row in range(rows):
+            value = mix((value * 0x9E3779B97F4A7C15 + min(mix((x - (band * rows + row + 1)) & whole) for x in scattered)) & whole)
+        out.append(value)
+    return out
+
+
+def test_signatures_against_plain_code():
+    sets = [shingles(" ".join(f"w{i * k % 97}" for i in range(n))) for k, n in ((1, 1), (3, 5), (5, 40), (7, 200))]
+    assert minhash.signatures(sets).tolist() == [plain_signature(x) for x in sets]
+    assert [minhash.signatures([x])[0].tolist() for x in sets] == [plain_signature(x) for x in sets]
+
+
+@pytest.mark.parametrize("limit", [8_000_000, 40])
+def test_minhash_with_several_texts_under_one_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", limit)
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, "some other words that stand here alone"), (None, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in got) == [(-1, 5, False), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True)]
+    # the second and third text have nothing in common but the id
+    alone = minhash.near_duplicates(spark.createDataFrame([(3, a), (3, b), (2, b)], "doc_id long, text string"), 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in alone) == [(2, 2), (3, 2), (3, 2)]
+
+
 def test_linked_finds_all_components():
     rng = np.random.default_rng(4)
     sets = []
