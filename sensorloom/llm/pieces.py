@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, whole_text
 
 SPACE = "▁"
-# Words whose encodings a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+# Bytes that a Python worker spends on words it remembers, about; words not met for the longest time go first.
+REMEMBERED_BYTES = 200_000_000
 # Characters that are indexed together, and the longest word that takes part; longer ones go one by one.
-BATCH_CHARS, LONG_WORD = 250_000, 64
+BATCH_CHARS, LONG_WORD = 500_000, 64
 # Characters of texts that are split into words at a time, besides one whole text.
 TEXT_CHARS = 1_000_000
 
@@ -75,10 +75,9 @@ class Vocabulary:
         binary search of its two ends.
         """
         padded = np.concatenate((codes, np.zeros(self.longest, np.uint16))).astype(">u2")
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[:len(codes)])
-        words = suffixes.view(">u8").astype(np.uint64) if self.longest % 4 == 0 else None
-        order = np.lexsort(words.T[::-1]) if words is not None else np.argsort(suffixes.view(f"S{2 * self.longest}").ravel(), kind="stable")
-        held = suffixes.view(f"S{2 * self.longest}").ravel()[order]
+        order = self._suffix_order(codes)
+        suffixes = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[:len(codes)]
+        held = np.ascontiguousarray(suffixes[order]).view(f"S{2 * self.longest}").ravel()
         low, high = np.searchsorted(held, self.keys), np.searchsorted(held, self.ends)
         table = np.full((len(codes), self.longest), np.iinfo(np.int32).max, np.int32)
         counts = high - low
@@ -87,6 +86,22 @@ class Vocabulary:
         table[order[at], self.sizes[rank] - 1] = rank
         return table
 
+    def _suffix_order(self, codes: np.ndarray) -> np.ndarray:
+        """Places in the order of the texts that begin there, as far as the longest piece reaches: by 4 characters, then by prefix doubling."""
+        n, reach = len(codes), 4
+        ahead = np.concatenate((codes, np.zeros(4, np.uint16))).astype(np.uint64)
+        key = ahead[:n] << np.uint64(48) | ahead[1:n + 1] << np.uint64(32) | ahead[2:n + 2] << np.uint64(16) | ahead[3:n + 3]
+        order = np.argsort(key)
+        while reach < self.longest:
+            held = key[order]
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(np.concatenate(([True], held[1:] != held[:-1])))
+            key = rank << np.uint64(32)
+            key[:max(0, n - reach)] |= rank[reach:]
+            order = np.argsort(key)
+            reach *= 2
+        return order
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as int32 bytes. A word is text in which blanks stand only at the beginning."""
         out: list[bytes] = []
@@ -188,26 +203,45 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Memory:
+    """Ids of words that a worker has met, in two generations: when the younger is full, the older goes."""
+
+    def __init__(self, path: str):
+        self.path, self.young, self.old, self.size = path, {}, {}, 0
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds the ids of all these words; new ones are encoded together."""
+        missing = words - self.young.keys()
+        again = missing & self.old.keys()
+        found = {w: self.old[w] for w in again}
+        fresh = list(missing - again)
+        found.update(zip(fresh, vocabulary(self.path).encode_words(fresh)))
+        # an entry is two objects and a place in a table, besides its letters and ids
+        self.size += 200 * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+        self.young.update(found)
+        held = self.young
+        if self.size > REMEMBERED_BYTES // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+        return held
+
+
 @lru_cache(maxsize=2)
-def _remembered(path: str) -> dict[str, bytes]:
-    return {}
+def remembered(path: str) -> Memory:
+    """One memory per worker and file."""
+    return Memory(path)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as int32 bytes; words that the worker has not met are encoded together."""
-    known, out, start = _remembered(path), [], 0
+    out, start = [], 0
     while start < len(texts):
         end, size = start, 0
         while end < len(texts) and (size < TEXT_CHARS or end == start):
             size += len(texts[end])
             end += 1
         words = [_WORD.findall(" " + x) if x else [] for x in texts[start:end]]
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list({w for of in words for w in of if w not in known})
-        if fresh:
-            known.update(zip(fresh, vocabulary(path).encode_words(fresh)))
-        out += [b"".join([known[w] for w in of]) for of in words]
+        known = remembered(path).of(set().union(*words))
+        out += [b"".join(map(known.__getitem__, of)) for of in words]
         start = end
     return out
 
@@ -215,7 +249,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 def decode_ids(ids: np.ndarray, path: str) -> str:
     """The text of some ids; bytes that are no UTF-8 become replacement characters."""
     out = vocabulary(path).out
-    text = b"".join([out[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    text = b"".join(map(out.__getitem__, ids.tolist())).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -228,7 +262,7 @@ def encode(documents: DataFrame, path: str, verify: bool = False) -> DataFrame:
     reaches. The distinct new words of an Arrow batch are written one after the other and indexed by a suffix array;
     every piece is searched in it, and its occurrences are the edges at each position. For a byte-pair vocabulary the
     edges are relaxed by priority: the piece with the best score joins two symbols first, the leftmost of equals. A
-    worker remembers words, at most REMEMBERED of them plus a batch.
+    worker remembers words, in about REMEMBERED_BYTES besides a batch's.
 
     Null or empty text: no ids. Characters that no piece has are spelled in byte pieces. All columns and rows are kept;
     existing columns of these names are replaced. Empty table: empty result.

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from sensorloom.llm import minhash, vectors
+from sensorloom.llm import minhash, pieces, vectors
 from sensorloom.llm.common import components
 from sensorloom.llm.hashing import shingles
 from sensorloom.llm.licenses import TEMPLATES, Scanner, align, words_of
@@ -175,6 +175,20 @@ def test_pieces_equal_the_library():
     assert [decode_ids(x, MODEL) for x in ids] == texts
 
 
+@pytest.mark.parametrize("limit", [0, 3000, 10**8])
+def test_remembered_words_are_bounded(monkeypatch, limit):
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", limit)
+    monkeypatch.setattr(pieces, "TEXT_CHARS", 200)
+    pieces.remembered.cache_clear()
+    rng = random.Random(3)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.5))}" for _ in range(12)) for _ in range(80)]
+    library = SentencePieceProcessor(model_file=MODEL)
+    assert [np.frombuffer(x, "<i4").tolist() for x in encode_texts(texts, MODEL)] == library.encode(texts)
+    memory = pieces.remembered(MODEL)
+    assert memory.size <= max(limit // 2, 1) and len(memory.young) + len(memory.old) <= limit // 100 + 40
+    pieces.remembered.cache_clear()
+
+
 def test_token_cache(spark, tmp_path):
     cache = str(tmp_path / "cache")
     texts = ["some words", "some words", None, "", "<s> é 🙂"]
