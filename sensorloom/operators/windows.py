@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from sensorloom.operators.skew import SPLIT_ROWS, over_chunks, with_history
 HISTORY_ROWS = 100
 LOWEST = -1.7976931348623157e308
 
+# Rows from which a window is put together from blocks: a row frame's cost grows with its length, that of blocks does not.
+WIDE = 256
+
 NAN = float("nan")
 
 
@@ -27,14 +31,79 @@ def window_rate(values: Column) -> Column:
     return F.when((F.size(values) < 2) | (first == 0), 0.0).otherwise((last - first) / first * 100)
 
 
+@dataclass(frozen=True)
+class Mergeable:
+    """A window function whose parts can be taken of two stretches and merged.
+
+    `parts` gives for each part its kind (sum, count, min, max, first or last; nulls are left out) and what is taken of a
+    value; `finish` turns the parts of the whole window into its result.
+    """
+
+    parts: dict[str, tuple[str, Callable[[Column], Column]]]
+    finish: Callable[[dict[str, Column]], Column]
+
+
+def _itself(value: Column) -> Column:
+    return value
+
+
+# How a part is taken of rows in their order, of rows in the opposite order, and merged from two stretches.
+_KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "sum": (F.sum, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "count": (F.count, F.count, lambda a, b: a + b),
+    "min": (F.min, F.min, F.least),
+    "max": (F.max, F.max, F.greatest),
+    "first": (lambda v: F.first(v, True), lambda v: F.last(v, True), lambda a, b: F.coalesce(a, b)),
+    "last": (lambda v: F.last(v, True), lambda v: F.first(v, True), lambda a, b: F.coalesce(b, a)),
+}
+
+# The same parts of an array.
+_OF_ARRAY: dict[str, Callable[[Column], Column]] = {
+    "sum": lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda total, x: total + x)),
+    "count": lambda v: F.size(v).cast("bigint"),
+    "min": F.array_min, "max": F.array_max,
+    "first": lambda v: F.try_element_at(v, F.lit(1)), "last": lambda v: F.try_element_at(v, F.lit(-1)),
+}
+
+
+def _rate(parts: dict[str, Column]) -> Column:
+    first, last = parts["first"], parts["last"]
+    return F.when((parts["n"] < 2) | (first == 0), 0.0).otherwise((last - first) / first * 100)
+
+
+_mergeable: dict[str, Mergeable] = {
+    "avg": Mergeable({"total": ("sum", _itself), "n": ("count", _itself)}, lambda p: F.when(p["n"] > 0, p["total"] / p["n"])),
+    "max": Mergeable({"top": ("max", _no_nan)}, lambda p: F.greatest(F.coalesce(p["top"], F.lit(LOWEST)), F.lit(LOWEST))),
+    "min": Mergeable({"bottom": ("min", _no_nan)}, lambda p: F.coalesce(p["bottom"], F.lit(NAN))),
+    "rate": Mergeable({"n": ("count", _itself), "first": ("first", _itself), "last": ("last", _itself)}, _rate),
+}
+
 _custom: dict[str, Callable[[Column], Column]] = {"rate": window_rate}
 
 
-def register_window(name: str, reduce: Callable[[Column], Column]) -> None:
-    """Make `window_<name>(n)` known; `reduce` turns the array of the window's values into a number."""
+def _named(name: str) -> str:
     if not name.isidentifier():
         raise ValueError(f"{name!r} is no name")
-    _custom[name] = reduce
+    return name
+
+
+def register_window(name: str, reduce: Callable[[Column], Column]) -> None:
+    """Make `window_<name>(n)` known; `reduce` turns the array of the window's values into a number.
+
+    Each row gets its own array, so long windows cost as much as they are long; see `register_mergeable`.
+    """
+    _custom[_named(name)] = reduce
+    _mergeable.pop(name, None)
+
+
+def register_mergeable(name: str, parts: dict[str, tuple[str, Callable[[Column], Column]]], finish: Callable[[dict[str, Column]], Column]) -> None:
+    """Make `window_<name>(n)` known by parts that can be merged, see `Mergeable`; its cost does not depend on n."""
+    if unknown := {kind for kind, _ in parts.values()} - set(_KINDS):
+        raise ValueError(f"no kinds of parts: {sorted(unknown)}")
+    held = Mergeable(parts, finish)
+    _mergeable[_named(name)] = held
+    _custom[name] = lambda values: finish({
+        part: _OF_ARRAY[kind](F.filter(F.transform(values, take), lambda x: x.isNotNull())) for part, (kind, take) in parts.items()})
 
 
 def known_windows() -> set[str]:
@@ -56,9 +125,40 @@ def _over_frame(name: str, value: str, frame) -> Column:
         return F.greatest(F.coalesce(F.max(_no_nan(v)).over(frame), F.lit(LOWEST)), F.lit(LOWEST))
     if name == "min":
         return F.coalesce(F.min(_no_nan(v)).over(frame), F.lit(NAN))
+    if name in _mergeable and name != "rate":
+        held = _mergeable[name]
+        return held.finish({part: _KINDS[kind][0](take(v)).over(frame) for part, (kind, take) in held.parts.items()})
     return _custom[name](F.collect_list(v).over(frame))
 
 
+def _over_blocks(df: DataFrame, keys: list[str], order: list[str], sizes: dict[WindowCall, int], value: str) -> DataFrame:
+    """Windows of mergeable functions, at a cost per row that does not depend on their size.
+
+    The rows of a key are numbered and cut into blocks as long as the window. A window is a whole block, or the end of
+    one block and the beginning of the next: both are running aggregates inside blocks, from the front and from the back.
+    One shuffle serves all of it, as blocks lie inside keys.
+    """
+    df = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    numbered, v = Window.partitionBy(*keys).orderBy("_at"), F.col(value)
+    for size in sorted(set(sizes.values())):
+        df = df.withColumn("_block", F.call_function("div", F.col("_at"), F.lit(size)))
+        block = Window.partitionBy(*keys, "_block")
+        forward, backward = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_at"), F.desc("_at")))
+        heads, tails, before, results = {}, {}, {}, {}
+        whole = (F.col("_at") < size) | (F.col("_at") % size == size - 1)
+        for call in sorted((c for c, n in sizes.items() if n == size), key=lambda c: c.column):
+            parts = {}
+            for part, (kind, take) in _mergeable[call.name].parts.items():
+                name = f"_{call.column}_{part}"
+                ahead, behind, merge = _KINDS[kind]
+                heads[f"{name}_head"], tails[f"{name}_tail"] = ahead(take(v)).over(forward), behind(take(v)).over(backward)
+                before[f"{name}_before"] = F.lag(f"{name}_tail", size - 1).over(numbered)
+                parts[part] = F.when(whole, F.col(f"{name}_head")).otherwise(merge(F.col(f"{name}_before"), F.col(f"{name}_head")))
+            results[call.column] = _mergeable[call.name].finish(parts)
+        df = df.withColumns(heads).withColumns(tails).withColumns(before).withColumns(results).drop(*heads, *tails, *before)
+    return df.drop("_at", "_block")
+
+
 def _over_list(name: str, values: Column) -> Column:
     """The window function over an array of values, oldest first."""
     if name == "avg":
@@ -109,7 +209,10 @@ def _adder(calls: set[WindowCall], value: str, cap: int | None, dialect: str, wi
         columns = {}
         if within is not None:
             df = df.withColumn("_held", held_values(ordered))
-        for call in sorted(calls, key=lambda c: c.column):
+        wide = {call: size for call, size in sizes.items() if within is None and size >= WIDE and call.name in _mergeable}
+        if wide:
+            df = _over_blocks(df, keys, order, wide, value)
+        for call in sorted(calls - wide.keys(), key=lambda c: c.column):
             size = sizes[call]
             if size <= 0:
                 columns[call.column] = F.lit(_empty(call.name, dialect))
@@ -138,7 +241,8 @@ def rolling(
     """Add one column per window call, named as `WindowCall.column`.
 
     All calls share one sort. `cap` bounds the held history by count (`HISTORY_ROWS` is the usual one; none
-    unless asked for), `within` = (time column, seconds) by time. A sensor with more than `split_rows` rows is
+    unless asked for), `within` = (time column, seconds) by time. Windows of WIDE rows or more are put together
+    from blocks where the function's parts can be merged. A sensor with more than `split_rows` rows is
     worked on in chunks; `profile` saves counting them, see `hot_keys`, and so does
     `most_rows`, a bound of the rows per sensor.
     """

@@ -13,7 +13,7 @@ from sensorloom.operators.evaluate import evaluate_on_demand, evaluate_series, r
 from sensorloom.operators.formulas import default_formulas
 from sensorloom.operators.retention import retain
 from sensorloom.operators.sampling import most_buckets_of, sample_by, sampled_tail
-from sensorloom.operators.windows import rolling
+from sensorloom.operators.windows import register_mergeable, rolling
 from sensorloom.plans.registered import query
 from sensorloom.plans.tables import Tables
 from sensorloom.sources.readings import series_with_fallback, stored_form
@@ -137,6 +137,36 @@ def window_avg_of_suppliers(t: Tables) -> DataFrame:
     return windows.groupBy("sensor_id").agg(F.count("*").alias("n"), F.round(F.sum(call.column), 4).alias("total"))
 
 
+# Windows of thousands of rows over three long series; the order has no ties but equal rows.
+_SHIPPED = """shipped AS (SELECT l_orderkey, l_linenumber, l_returnflag AS sensor_id, l_extendedprice AS value,
+    row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem)"""
+
+
+def _last(n: int) -> str:
+    return f"OVER (PARTITION BY sensor_id ORDER BY place ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _shipped(t: Tables, calls: list[WindowCall]) -> DataFrame:
+    rows = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("sensor_id"), F.col("l_shipdate").alias("ts"), "l_partkey", "l_quantity", F.col("l_extendedprice").alias("value"))
+    windows = rolling(rows, calls, order=["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "value"])
+    return windows.select("l_orderkey", "l_linenumber", "value", *[c.column for c in calls])
+
+
+@query(f"""WITH {_SHIPPED} SELECT l_orderkey, l_linenumber, value, max(value) {_last(5000)} AS window_max_5000, min(value) {_last(5000)} AS window_min_5000,
+           round(avg(value) {_last(700)}, 6) + 0.0 AS window_avg_700 FROM shipped""")
+def wide_windows_of_lineitem(t: Tables) -> DataFrame:
+    return _shipped(t, [WindowCall("max", 5000), WindowCall("min", 5000), WindowCall("avg", 700)])
+
+
+@query(f"""WITH {_SHIPPED}, got AS (SELECT l_orderkey, l_linenumber, value, first_value(value) {_last(2000)} AS f, count(*) {_last(2000)} AS n,
+           max(value) {_last(3000)} - min(value) {_last(3000)} AS window_spread_3000 FROM shipped)
+           SELECT l_orderkey, l_linenumber, value, window_spread_3000, round(CASE WHEN n < 2 OR f = 0 THEN 0.0 ELSE (value - f) / f * 100 END, 6) + 0.0 AS window_rate_2000 FROM got""")
+def wide_custom_windows_of_lineitem(t: Tables) -> DataFrame:
+    register_mergeable("spread", {"low": ("min", lambda v: v), "high": ("max", lambda v: v)}, lambda p: p["high"] - p["low"])
+    return _shipped(t, [WindowCall("rate", 2000), WindowCall("spread", 3000)])
+
+
 # -- one formula -------------------------------------------------------------------
 def _evaluated(expression: str) -> str:
     return f"""SELECT seq, sensor_id || '_ondemand_eval' AS sensor_id, epoch_us(ts) AS ts_us, round({expression}, 6) + 0.0 AS value,
