@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from .common import digest, small_batches, whole_text
 from .hashing import as_bytes, prefix_hash, span_hash
 
 # A cut comes where the hash of the last WINDOW bytes is below a 1 / SPARSE share of all hashes, LEAST bytes after the one before.
-WINDOW, SPARSE, LEAST = 16, 1024, 256
+WINDOW, SPARSE, LEAST = 16, 2048, 512
 # Words beside a join that are encoded with it, first so many on each side, then so many.
 WIDTHS = (1, 3)
 # Occurrences in one Arrow batch from which a chunk's references go to several tasks, each with the chunk's text.
@@ -27,8 +28,8 @@ HOT, SALTS = 4, 256
 _SYNC = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 _CHUNK = ["key", "salt", "content", "n", "text"]
 _ROW = "key binary, salt int, content binary, n int, text binary"
-_CODED = ["content", "n", "ids", "head", "tail", "begin", "end", "counts"]
-_CODED_ROW = "content binary, n int, ids binary, head string, tail string, begin string, end string, counts array<int>"
+_CODED = ["content", "n", "ids", "front", "back"]
+_CODED_ROW = "content binary, n int, ids binary, front string, back string"
 
 
 def cuts(data: bytes) -> list[int]:
@@ -52,22 +53,23 @@ def tokenizer(path: str):
     """The file's tokenizer; one per worker."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
     held = Tokenizer.from_file(path)
     held.no_padding()
     held.no_truncation()
     return held
 
 
-def encoded(texts: list[str], path: str) -> list[list[int]]:
-    return [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+def encoded(texts: list[str], path: str) -> list[np.ndarray]:
+    return [np.array(x.ids, "<u4") for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def chunk_rows(texts: DataFrame) -> DataFrame:
     """(key, salt, content, n, text) of rows (content, text): the chunks, and where they stand.
 
-    A row with text gives a chunk's bytes, compressed, under its digest; one without says that it is the n-th of the
-    text `content`. An Arrow batch gives each chunk and each text once. References to a chunk that comes often in a batch
-    carry a salt, and so does the text that goes with them: no task meets all references to a frequent chunk.
+    A row says that a chunk, under its digest, is the n-th of the text `content`. The first row of a chunk in an Arrow
+    batch also gives its bytes, compressed. A batch gives each text once. Rows of a chunk that comes often in a batch
+    carry a salt, and one of them the bytes: no task meets all rows of a frequent chunk.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,91 +90,87 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
                     refs.append((key, content, n))
             salt = next(iter(texts), b"\0")[0] % SALTS
             salts = {key: salt + 1 if often[key] >= HOT else 0 for key in chunks}
-            rows = [(key, salts[key], b"", -1, pack.compress(data)) for key, data in chunks.items()]
-            rows += [(key, salts[key], content, n, None) for key, content, n in refs]
+            rows = []
+            for key, content, n in refs:
+                data = chunks.pop(key, None)
+                rows.append((key, salts[key], content, n, data if data is None else pack.compress(data)))
             kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, kinds)], _CHUNK)
 
     return texts.select("content", "text").mapInArrow(cut, _ROW)
 
 
-def _parts(text: str) -> tuple[list[str], str, str] | None:
-    """(strings to encode, head, tail) of a chunk: its inside and the words at both ends of that; None if it has too few words.
+def _parts(text: str) -> tuple[str, str, str] | None:
+    """(inside, front, back) of a chunk, None if it has too few words.
 
-    The inside is what lies between blanks after and before which a word ends and begins, so it has the same tokens
-    in any text; head and tail belong to words that may go on in the chunks beside.
+    The inside is what lies between blanks before and after which a word ends and begins, so it has the same tokens in
+    any text. `front` is what comes before it, a part of a word as a rule, with its first words; `back` its last words
+    with what comes after it.
     """
     at = [m.start() for m in _SYNC.finditer(text)]
-    if len(at) <= 2 * WIDTHS[-1]:
-        return None
-    begins, ends = [text[at[0]:at[w]] for w in WIDTHS], [text[at[-1 - w]:at[-1]] for w in WIDTHS]
-    return [text[at[0]:at[-1]], *begins, *ends], text[:at[0]], text[at[-1]:]
+    most = WIDTHS[-1]
+    return (text[at[0]:at[-1]], text[:at[most]], text[at[-1 - most]:]) if len(at) > 2 * most else None
 
 
 def encoded_chunks(rows: DataFrame, path: str) -> DataFrame:
-    """The references of `chunk_rows` with what is known of their chunk: each chunk is encoded once in a task, and once at all unless salted.
+    """The rows of `chunk_rows` with what is known of their chunk: a chunk is encoded once in a task, and once at all unless salted.
 
-    (content, n, ids, head, tail, begin, end, counts): ids of the chunk's inside (compressed), the texts before and after it,
-    its first and last words, and how many ids these have. A chunk with few words has only `head`, its text.
+    (content, n, ids, front, back): ids of the chunk's inside, compressed, and the texts at both ends of it. A chunk with
+    few words has only `front`, its text.
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        now, known, before = None, None, None
+        now, known = None, None
         for batch in batches:
-            held = list(zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "content", "n", "text"))))
+            held = list(zip(*(batch.column(c).to_pylist() for c in _CHUNK)))
             fresh, last = [], now
             for key, salt, _, _, text in held:
                 if (key, salt) != last:
                     fresh.append(unpack.decompress(text).decode("utf-8", "surrogatepass"))
                     last = (key, salt)
             parts = [_parts(x) for x in fresh]
-            ids = iter(encoded([s for p in parts if p for s in p[0]], path))
-            records = []
-            for text, part in zip(fresh, parts):
-                if part is None:
-                    records.append((None, text, None, None, None, None))
-                    continue
-                inside, *words = [next(ids) for _ in part[0]]
-                records.append((pack.compress(np.array(inside, "<u4" if max(inside, default=0) > 0xFFFF else "<u2").tobytes()), part[1], part[2], part[0][len(WIDTHS)], part[0][-1],
-                                [*map(len, words), int(max(inside, default=0) > 0xFFFF)]))
-            out, following = [], iter(records)
-            for key, salt, content, n, text in held:
+            ids = iter(encoded([p[0] for p in parts if p], path))
+            records = iter([(pack.compress(next(ids).astype(_width(path)).tobytes()), *p[1:]) if p else (None, text, None) for text, p in zip(fresh, parts)])
+            out = []
+            for key, salt, content, n, _ in held:
                 if (key, salt) != now:
-                    now, known, before = (key, salt), next(following), None
-                # copies of a text give the same reference one after the other
-                if text is None and (content, n) != before:
+                    now, known = (key, salt), next(records)
+                # copies of a text in other batches give the same row, most of them one after the other
+                if not out or out[-1][:2] != (content, n):
                     out.append((content, n, *known))
-                    before = (content, n)
-            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, kinds)], _CODED)
+            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, kinds)], _CODED)
 
-    # a chunk's text comes before its references
-    met = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "content", "n")
+    # rows with a chunk's bytes come first
+    met = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("text").isNull(), "content", "n")
     return met.mapInArrow(coded, _CODED_ROW)
 
 
+def _width(path: str) -> str:
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class Join:
-    """The text between the insides of two chunks of a text. A side is (words, their ids, numbers of ids by WIDTHS), outermost word first or last."""
+    """The text between the insides of two chunks of a text, with the last words of the one and the first words of the other."""
 
-    def __init__(self, text: str, left, right):
+    def __init__(self, text: str, left: str = "", right: str = ""):
         self.text, self.left, self.right = text, left, right
-        self.level, self.ids = 0, []
+        self.level, self.ids = 0, None
         self.from_left = self.from_right = 0  # ids at the ends of the chunks' insides that the join replaces
 
-    def window(self) -> str:
-        left = _words(self.left[0], WIDTHS[self.level], last=True) if self.left else ""
-        right = _words(self.right[0], WIDTHS[self.level]) if self.right else ""
-        return left + self.text + right
-
-    def settle(self, found: list[int]) -> bool:
-        """Take the ids of the window if those of its outer words are the chunks'; else widen it. Words inside it are replaced."""
-        inner = [side[2][self.level - 1] if side and self.level else 0 for side in (self.left, self.right)]
-        before = self.left[1][len(self.left[1]) - self.left[2][self.level]:len(self.left[1]) - inner[0]] if self.left else []
-        after = self.right[1][inner[1]:self.right[2][self.level]] if self.right else []
-        if len(found) >= len(before) + len(after) and found[:len(before)] == before and found[len(found) - len(after):] == after:
-            self.ids = found[len(before):len(found) - len(after)]
-            self.from_left, self.from_right = inner
+    def texts(self) -> list[str]:
+        """What has to be encoded: the window, its outer words on both sides, and the words that it takes from the chunks."""
+        size, inner = WIDTHS[self.level], WIDTHS[self.level - 1] if self.level else 0
+        left, right = (_words(self.left, n, last=True) for n in (size, inner)), (_words(self.right, n) for n in (size, inner))
+        (wide_left, near_left), (wide_right, near_right) = left, right
+        return [wide_left + self.text + wide_right, wide_left[:len(wide_left) - len(near_left)], wide_right[len(near_right):], near_left, near_right]
+
+    def settle(self, found: np.ndarray, before: np.ndarray, after: np.ndarray, near_left: np.ndarray, near_right: np.ndarray) -> bool:
+        """Take the ids of the window if its outer words have their own ids there; else widen it, so that it replaces these words."""
+        end = len(found) - len(after)
+        if end >= len(before) and np.array_equal(found[:len(before)], before) and np.array_equal(found[end:], after):
+            self.ids, self.from_left, self.from_right = found[len(before):end], len(near_left), len(near_right)
             return True
         self.level += 1
         if self.level == len(WIDTHS):
@@ -181,39 +179,42 @@ class Join:
 
 
 def _words(text: str, n: int, last: bool = False) -> str:
-    """The first or last n of the WIDTHS[-1] words that `begin` and `end` hold."""
+    """The first or last n of a chunk's words beside a join."""
+    if not text or not n:
+        return ""
     at = [0, *(m.start() for m in _SYNC.finditer(text)), len(text)]
     return text[at[-1 - n]:] if last else text[:at[n]]
 
 
-def joined(chunks: list[tuple]) -> tuple[list[Join], list[list[int]]]:
-    """(joins, insides) of a text's chunks (ids, head, tail, begin, end, counts); a join stands before each inside and after the last."""
-    unpack, joins, insides, text, left, k = zstandard.ZstdDecompressor(), [], [], "", None, len(WIDTHS)
-    for packed, head, tail, begin, end, counts in chunks:
-        text += head
+def joined(chunks: list[tuple], kind: str) -> tuple[list[Join], list[np.ndarray]]:
+    """(joins, insides) of a text's chunks (ids, front, back); a join stands before each inside and after the last."""
+    unpack, joins, insides, text, left = zstandard.ZstdDecompressor(), [], [], "", ""
+    for packed, front, back in chunks:
         if packed is None:
+            text += front
             continue
-        ids = np.frombuffer(unpack.decompress(packed), "<u4" if counts[-1] else "<u2").tolist()
-        joins.append(Join(text, left, (begin, ids[:counts[k - 1]], counts[:k])))
-        insides.append(ids)
-        text, left = tail, (end, ids[len(ids) - counts[2 * k - 1]:], counts[k:2 * k])
-    return [*joins, Join(text, left, None)], insides
+        at = _SYNC.search(front).start()
+        joins.append(Join(text + front[:at], left, front[at:]))
+        insides.append(np.frombuffer(unpack.decompress(packed), kind))
+        at = [m.start() for m in _SYNC.finditer(back)][-1]
+        text, left = back[at:], back[:at]
+    return [*joins, Join(text, left)], insides
 
 
-def put_together(joins: list[Join], insides: list[list[int]]) -> list[int]:
-    out = list(joins[0].ids)
+def put_together(joins: list[Join], insides: list[np.ndarray]) -> np.ndarray:
+    out = [joins[0].ids]
     for before, ids, after in zip(joins, insides, joins[1:]):
-        out += ids[before.from_right:len(ids) - after.from_left]
-        out += after.ids
-    return out
+        out += [ids[before.from_right:len(ids) - after.from_left], after.ids]
+    return np.concatenate(out).astype("<u4")
 
 
 def repair(joins: list[Join], path: str) -> None:
-    """Encode all joins, wider where the ids beside them don't agree, until all agree. Equal windows are encoded once."""
+    """Encode all joins, wider where the words beside them don't agree, until all agree. Equal texts are encoded once."""
     while joins:
-        windows = list(dict.fromkeys(j.window() for j in joins))
-        ids = dict(zip(windows, encoded(windows, path)))
-        joins = [j for j in joins if not j.settle(ids[j.window()])]
+        wanted = [j.texts() for j in joins]
+        texts = list({t for of in wanted for t in of})
+        ids = dict(zip(texts, encoded(texts, path)))
+        joins = [j for j, of in zip(joins, wanted) if not j.settle(*(ids[t] for t in of))]
 
 
 def encoded_texts(chunks: DataFrame, path: str) -> DataFrame:
@@ -221,12 +222,12 @@ def encoded_texts(chunks: DataFrame, path: str) -> DataFrame:
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished(texts: list[tuple[bytes, list[tuple]]]) -> pa.RecordBatch:
-            parts = [joined(chunks) for _, chunks in texts]
+            parts = [joined(chunks, _width(path)) for _, chunks in texts]
             repair([j for joins, _ in parts for j in joins], path)
             ids = [put_together(*x) for x in parts]
-            decoded = tokenizer(path).decode_batch(ids, skip_special_tokens=False)
+            decoded = [tokenizer(path).decode(x.tolist(), skip_special_tokens=False) for x in ids]
             return pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in texts], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.string())],
+                [pa.array([c for c, _ in texts], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.string())],
                 ["content", "n_tokens", "ids", "decoded"])
 
         now, chunks, done = None, [], []
@@ -236,7 +237,7 @@ def encoded_texts(chunks: DataFrame, path: str) -> DataFrame:
                     if chunks:
                         done.append((now, chunks))
                     now, chunks = content, []
-                # a salted chunk's reference may come from several tasks
+                # a row may come from several batches and tasks
                 if n == len(chunks):
                     chunks.append(tuple(chunk))
                 elif n > len(chunks):
