@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sensorloom.functions.formula import WindowCall
 from sensorloom.functions.ids import is_blank
 from sensorloom.operators.registry import rules_from_registry
 from sensorloom.operators.rules import RETENTION_SECONDS, emit_raw_and_derived, rule_counters
@@ -14,6 +15,7 @@ from sensorloom.operators.windows import known_windows, window_over_history
 from sensorloom.sources.messages import arrival_number, decode_device_records
 from sensorloom.sources.readings import stored_form
 from sensorloom.sources.rules import parse_rules, publish_rules
+from sensorloom.streaming.sliding import BUILT_IN
 from sensorloom.streaming.state import with_rule_state
 
 # State lives on disk and is saved as changes, not as a whole.
@@ -30,14 +32,21 @@ def configure_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _window_column(call: WindowCall) -> Column | None:
+    """The result that the state holds; 0 where the rule keeps no history."""
+    if call.name not in known_windows():
+        return None
+    if call.name in BUILT_IN:
+        key = F.lit(call.column)
+        there = F.coalesce(F.map_contains_key("windows", key), F.lit(False))
+        return F.when(there, F.try_element_at("windows", key)).otherwise(0.0)
+    return window_over_history(call, F.coalesce("history", F.array().cast("array<double>")))
+
+
 def evaluate_batch(stateful: DataFrame) -> DataFrame:
-    """`result` for readings that carry rule and history: one Column per formula shape."""
+    """`result` for readings that carry their rule and window results: one Column per formula shape."""
     shaped = with_shape(stateful)
-    return evaluate_shapes(
-        shaped, shapes_of(shaped),
-        lambda call: window_over_history(call, F.coalesce("history", F.array().cast("array<double>")))
-        if call.name in known_windows() else None,
-    )
+    return evaluate_shapes(shaped, shapes_of(shaped), _window_column)
 
 
 def evaluate_stream(

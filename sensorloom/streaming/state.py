@@ -14,7 +14,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sensorloom import schemas
 from sensorloom.functions.audit import usable_rules
+from sensorloom.functions.formula import WindowCall
 from sensorloom.functions.ids import canonical_serial_id
+from sensorloom.streaming.sliding import BUILT_IN, Windows
 
 _READING = ["seq", *schemas.READING.fieldNames()]
 _RULE = ["rule_id", "expression", "derived_sensor_id", "uses_window"]
@@ -40,18 +42,26 @@ OUTPUT = T.StructType([
     T.StructField("derived_sensor_id", T.StringType()),
     T.StructField("uses_window", T.BooleanType()),
     T.StructField("inaccurate_result", T.BooleanType()),
+    # results of the rule's windows; for functions that only Columns know, the values they look at
+    T.StructField("windows", T.MapType(T.StringType(), T.StringType())),
     T.StructField("history", T.ArrayType(T.StringType())),
 ])
 
-_SIZES = re.compile(r"window_[A-Za-z]\w*\s*\(\s*(\d+)")
+_CALLS = re.compile(r"\bwindow_([A-Za-z]\w*)\s*\(\s*(-?)\s*(\d+)")
 
 
-def _longest_window(expression: str) -> int:
-    return max(map(int, _SIZES.findall(expression)), default=0)
+def _calls_of(expression: str) -> tuple[list[WindowCall], int]:
+    """The calls of built-in windows, and the longest size of the others."""
+    calls = {WindowCall(name, int(sign + size)) for name, sign, size in _CALLS.findall(expression)}
+    return [c for c in calls if c.name in BUILT_IN], max((c.size for c in calls if c.name not in BUILT_IN), default=0)
+
+
+def _as_number(text: str | None) -> float | None:
+    return None if text is None else float(text)
 
 
 class RuleState(StatefulProcessor):
-    """Gives each reading the rule in force and the values its windows look at.
+    """Gives each reading the rule in force and the results of its windows, whatever their size.
 
     History is held while the rule of the sensor uses windows, for the retention time, and
     starts anew after any reading without such a rule. With `live` time is the clock and
@@ -77,7 +87,8 @@ class RuleState(StatefulProcessor):
         found = len(held)  # entries at the front of `held` that the store has already
         first = 0  # entries before it are too old
         replaced, rule_changed, start_before = False, False, start
-        now, out, sizes = int(time.time() * 1_000_000), [], {}
+        now, out, calls = int(time.time() * 1_000_000), [], {}
+        windows = Windows([_as_number(value) for _, value in held])
         moments = events["ts"].astype("datetime64[us]").astype("int64").tolist()
         is_rule, values = events["is_rule"].tolist(), events["value"].tolist()
         offered = list(zip(*(events[name].tolist() for name in _RULE)))
@@ -86,8 +97,10 @@ class RuleState(StatefulProcessor):
                 rule, rule_changed = offered[at], True
                 continue
             if rule is None or not rule[3]:
-                replaced, held, first, start = replaced or bool(held), [], 0, None
-                out.append((at, rule, False, None))
+                if held:
+                    replaced, held, first, windows = True, [], 0, Windows([])
+                start = None
+                out.append((at, rule, False, None, None))
                 continue
             moment = now if self.live else moment
             held.append((moment, values[at]))
@@ -95,21 +108,24 @@ class RuleState(StatefulProcessor):
             while held[first][0] <= oldest:  # the newest is never too old
                 first += 1
             start = moment if start is None else start
-            if rule[1] not in sizes:
-                sizes[rule[1]] = max(1, _longest_window(rule[1]))
-            recent = held[max(first, len(held) - sizes[rule[1]]):]
-            out.append((at, rule, moment - start < self.retention, [value for _, value in recent]))
+            windows.values.append(_as_number(values[at]))
+            if rule[1] not in calls:
+                calls[rule[1]] = _calls_of(rule[1])
+            known, longest = calls[rule[1]]
+            found_now = {c.column: None if (x := windows.result(c, first)) is None else repr(x) for c in known}
+            recent = [value for _, value in held[max(first, len(held) - longest):]] if longest else None
+            out.append((at, rule, moment - start < self.retention, found_now, recent))
         # with `live` the store itself drops old entries, so the list is only added to
         if first and not self.live:
             replaced, held = True, held[first:]
         self._save(rule if rule_changed else None, held, found, replaced, start, start_before)
         if out:
-            places, used, young, history = zip(*out)
+            places, used, young, results, history = zip(*out)
             frame = events.iloc[list(places)][_READING].reset_index(drop=True)
             frame.insert(0, "rule_key", key[0])
             for number, name in enumerate(_RULE):
                 frame[name] = [None if rule is None else rule[number] for rule in used]
-            frame["inaccurate_result"], frame["history"] = young, history
+            frame["inaccurate_result"], frame["windows"], frame["history"] = young, results, history
             yield frame
 
     def _save(self, rule, held, found, replaced, start, start_before) -> None:
@@ -141,7 +157,7 @@ def _events(readings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def with_rule_state(readings: DataFrame, rules: DataFrame, retention_seconds: float, live: bool) -> DataFrame:
-    """Readings with their rule, flag and history; both streams need `seq`, the arrival number.
+    """Readings with their rule, flag and window results; both streams need `seq`, the arrival number.
 
     Rules are keyed by their target as the readings are, so each goes to the one task that
     needs it and nothing is broadcast.
@@ -150,4 +166,5 @@ def with_rule_state(readings: DataFrame, rules: DataFrame, retention_seconds: fl
         statefulProcessor=RuleState(retention_seconds, live), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if live else "None",
     )
-    return done.withColumns({"value": F.col("value").cast("double"), "history": F.col("history").cast("array<double>")})
+    return done.withColumns({
+        "value": F.col("value").cast("double"), "windows": F.col("windows").cast("map<string,double>"), "history": F.col("history").cast("array<double>")})
