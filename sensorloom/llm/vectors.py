@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,8 @@ from .common import components, small_batches, stored
 
 # Distinct vectors in a shard's graph and in a block of queries, about; a hash deals them.
 SHARD, BLOCK = 8192, 1024
+# Blocks that meet a shard's graph in one task, at most.
+MEETING = 16
 # Links of a node on the ground layer, nodes a layer loses going up, and the beam to begin with.
 LINKS, SHRINK, BEAM = 24, 16, 48
 # Queries of each block that are also answered by brute force.
@@ -233,27 +234,28 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFra
     kept (vec_id = component_id).
 
     Rows with equal label and components are one class. The classes of a label and length are dealt to shards by
-    hash, and each shard builds its graph; blocks of query vectors meet every shard of their label. Beams are widened
+    hash, and each shard builds its graph; blocks of query vectors meet every shard of their label, MEETING of them
+    in one task, which loads the graph once. Beams are widened
     until an audit finds all links; every link is verified in double precision. A block returns numbers of links and
     a forest of linked classes, never all pairs.
 
     Null label; null, empty or zero vectors, or null or non-finite components: no links, a component of their own. A
-    null vec_id takes part, but is a component's id only if there is no other. Rows that repeat a vec_id are one
-    vector in components, and count as other rows in n_links. Other columns are not looked at. Empty table: empty result.
+    null vec_id takes part, but is a component's id only if there is no other. Rows that repeat a vec_id are
+    joined in components, and count as other rows in n_links. Other columns are not looked at. Empty table: empty result.
     """
     small_batches(embeddings.sparkSession)
     rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    surrogate = -F.lit(2) - F.abs(F.xxhash64("label", "vector") / F.lit(2)).cast("long")
     classes = rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = classes.withColumn("node", F.coalesce(F.col("first").cast("long"), surrogate)).withColumn("length", F.size("vector"))
-    classes = stored(classes, "vector-classes")
+    # a class has a number of its own, as one vec_id may stand for several
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "vector-classes")
 
     key = ["label", "length"]
     totals = classes.groupBy(*key).agg(F.count("*").alias("n"))
-    dealt = classes.join(totals, key).withColumn("hash", F.xxhash64("node", "vector"))
-    dealt = dealt.withColumn("shard", F.pmod("hash", F.ceil(F.col("n") / SHARD)).cast("int")).withColumn("block", F.pmod(F.xxhash64("hash"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    totals = totals.withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = classes.join(totals, key).withColumn("hash", F.xxhash64("vector"))
+    dealt = dealt.withColumn("shard", F.pmod("hash", "shards").cast("int")).withColumn("block", F.pmod(F.xxhash64("hash"), "blocks").cast("int"))
     kind = dict(classes.dtypes)["label"]
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -270,24 +272,35 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFra
 
     graphs = dealt.groupBy(*key, "shard").applyInPandas(build, f"label {kind}, length int, shard int, graph binary, nodes binary, copies binary")
     blocks = dealt.groupBy(*key, "block").applyInPandas(packed, f"label {kind}, length int, block int, queries binary, asking binary")
-    met = stored(graphs, "vector-graphs").join(blocks, key)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                asking, nodes, copies = (np.frombuffer(x, np.int64) for x in (row.asking, row.nodes, row.copies))
-                place = {n: i for i, n in enumerate(nodes.tolist())}
+    part = F.floor(F.col("block") / MEETING).cast("int")
+    asked = blocks.join(totals, key).withColumn("part", part).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    last = F.floor((F.col("blocks") - 1) / MEETING).cast("int")
+    answering = stored(graphs, "vector-graphs").join(totals, key).withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+
+    def search(graph: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64")})]
+        if len(graph) and len(blocks):
+            held, nodes, copies = Graph.unpacked(graph["graph"][0]), *(np.frombuffer(graph[c][0], np.int64) for c in ("nodes", "copies"))
+            place = {n: i for i, n in enumerate(nodes.tolist())}
+            for row in blocks.sort_values("block").itertuples(index=False):
+                asking = np.frombuffer(row.asking, np.int64)
                 own = np.array([place.get(n, -1) for n in asking.tolist()])
-                found = Graph.unpacked(row.graph).links(np.frombuffer(row.queries).reshape(len(asking), row.length), cosine, own)
+                found = held.links(np.frombuffer(row.queries).reshape(len(asking), row.length), cosine, own)
                 counts = np.array([copies[x].sum() for x in found], np.int64)
                 pairs = forest([(int(q), int(nodes[j])) for q, x in zip(asking, found) for j in x if nodes[j] != q])
-                yield pd.DataFrame({"node": asking, "links": counts, "other": pd.Series([None] * len(asking), dtype="Int64")})
-                yield pd.DataFrame({"node": [a for a, _ in pairs], "links": 0, "other": pd.Series([b for _, b in pairs], dtype="Int64")})
+                out.append(pd.DataFrame({"node": asking, "links": counts, "other": pd.Series([None] * len(asking), dtype="Int64")}))
+                out.append(pd.DataFrame({"node": [a for a, _ in pairs], "links": 0, "other": pd.Series([b for _, b in pairs], dtype="Int64")}))
+        return pd.concat(out)
 
-    # each row holds a graph: few at a time
-    found = met.repartition(F.col("label"), F.col("length"), F.col("shard"), F.col("block")).mapInPandas(search, "node long, links long, other long")
+    place = [*key, "shard", "part"]
+    found = answering.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(search, "node long, links long, other long")
     found = stored(found, "vector-links")
-    joined = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-components")
+    links = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    # the vectors of rows that share a vec_id are one in components
+    owned = rows.where("sound and vec_id is not null").join(classes.select("label", "vector", "node"), ["label", "vector"]).select("vec_id", "node").distinct()
+    several = owned.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").drop("most")
+    one = owned.join(several, "vec_id").where("a < node").select("a", F.col("node").alias("b"))
+    joined = components(links.union(one), "vector-components")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     ids = classes.join(counts, "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("first").alias("component_id"))

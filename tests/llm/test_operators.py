@@ -155,6 +155,16 @@ def test_vectors_over_many_shards(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("meeting", [16, 1])
+def test_vectors_with_one_id_for_several(spark, monkeypatch, meeting):
+    monkeypatch.setattr(vectors, "MEETING", meeting)
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.001]), (2, [-1.0, 0.0]), (3, [0.001, 1.0]), (4, [-1.0, 0.001]), (4, [-1.0, 0.001])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.embedding_duplicates(df).collect())
+    assert got == [(0, 1, 0, True), (0, 1, 0, True), (1, 1, 0, False), (2, 2, 2, True), (3, 1, 0, False), (4, 2, 2, False), (4, 2, 2, False)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(7)
     held = vectors.unit(list(rng.normal(size=(3000, 24))))
