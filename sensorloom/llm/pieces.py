@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, whole_text
+from .memory import Memory
 
 SPACE = "▁"
 # Bytes that a Python worker spends on words it remembers, about; words not met for the longest time go first.
@@ -203,32 +204,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Memory:
-    """Ids of words that a worker has met, in two generations: when the younger is full, the older goes."""
-
-    def __init__(self, path: str):
-        self.path, self.young, self.old, self.size = path, {}, {}, 0
-
-    def of(self, words: set[str]) -> dict[str, bytes]:
-        """A table that holds the ids of all these words; new ones are encoded together."""
-        missing = words - self.young.keys()
-        again = missing & self.old.keys()
-        found = {w: self.old[w] for w in again}
-        fresh = list(missing - again)
-        found.update(zip(fresh, vocabulary(self.path).encode_words(fresh)))
-        # an entry is two objects and a place in a table, besides its letters and ids
-        self.size += 200 * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
-        self.young.update(found)
-        held = self.young
-        if self.size > REMEMBERED_BYTES // 2:
-            self.young, self.old, self.size = {}, self.young, 0
-        return held
-
-
 @lru_cache(maxsize=2)
 def remembered(path: str) -> Memory:
-    """One memory per worker and file."""
-    return Memory(path)
+    """Ids of words; one memory per worker and file."""
+    return Memory(vocabulary(path).encode_words, len, lambda: REMEMBERED_BYTES)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:

@@ -15,24 +15,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, whole_text
+from .memory import Memory
 
-# Characters of a text that are encoded at a time; the cut is made at the next blank between two ASCII letters or digits.
-SEGMENT = 250_000
-_CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+# Characters that are encoded at a time, and of texts that are looked at together, besides one whole segment or text. A text
+# falls into segments at single blanks between words.
+SEGMENT, TEXT_CHARS = 250_000, 1_000_000
+# Bytes that a Python worker spends on segments it remembers, about.
+REMEMBERED_BYTES = 240_000_000
 _SPACE = "▁"
+_INNER = re.compile(rf"[^\s{_SPACE}](?:.*[^\s{_SPACE}])?", re.DOTALL)
+_CUT = re.compile(rf"(?<=[^\s{_SPACE}]) (?=[^\s{_SPACE}])")
 _SPAN = attrgetter("id", "begin", "end")
 
 
-def segments(text: str) -> Iterator[str]:
-    """Parts of a text that, with a blank before each, make up the text with a blank before it.
+def segments(text: str, least: int = 0) -> list[str]:
+    """Parts of a text, of at least so many characters but the last, that with a blank before each make up the text with a blank before it.
 
-    Both tokenizers start a new word at such a blank, so the parts have the tokens of the whole.
+    Both tokenizers start a new word at a single blank, whatever stands before and after it but white space and U+2581,
+    so the parts have the tokens of the whole.
     """
-    start = 0
-    while len(text) - start > SEGMENT and (cut := _CUT.search(text, start + SEGMENT)):
-        yield text[start:cut.start()]
+    if not least:
+        return _CUT.split(text)
+    out, start = [], 0
+    while len(text) - start > least and (cut := _CUT.search(text, start + least)):
+        out.append(text[start:cut.start()])
         start = cut.end()
-    yield text[start:]
+    return [*out, text[start:]]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,7 +116,7 @@ class Tokenizers:
         if not text:
             return none, none, none, none
         parts, base = [], 0
-        for segment in segments(text):
+        for segment in segments(text, SEGMENT):
             data = f" {segment}".encode()
             code = self.a.encode(f" {segment}", add_special_tokens=False)
             a = np.array(code.ids, np.int64)
@@ -138,10 +146,19 @@ class Tokenizers:
         last_b = at[last_a]
         return last_a, last_b, np.searchsorted(self.pairs, a[last_a] * len(self.bytes_b) + b[last_b])
 
-    def listed(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-        """The groups as text: `a1,a2|b1;a3|b2,b3`."""
+    def spelled(self, text: str) -> list[dict]:
+        """The groups of a text: byte offsets in the blank and the text, and ids."""
+        a, ends_a, b, ends_b = self.tokens(text)
+        last_a, last_b, _ = self.groups(a, ends_a, b, ends_b)
+        ends = ends_a[last_a].tolist()
+        return [
+            {"start": s, "end": e, "a": x.tolist(), "b": y.tolist()}
+            for s, e, x, y in zip([0, *ends], ends, np.split(a, last_a + 1), np.split(b, last_b + 1))]
+
+    def listed(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """The groups as text, `a1,a2|b1;a3|b2,b3;`, each id with what comes after it."""
         if not len(a):
-            return ""
+            return []
         ends = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         ends[0][last_a], ends[1][last_b] = 1, 2
         # tokens of A come after the B tokens of the groups before theirs, those of B after their own group's A tokens
@@ -149,8 +166,45 @@ class Tokenizers:
         out = np.empty(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group[0]]] = 3 * a + ends[0]
         out[np.arange(len(b)) + (last_a + 1)[group[1]]] = 3 * b + ends[1]
-        names = self.names
-        return "".join([names[i] for i in out.tolist()])[:-1]
+        return list(map(self.names.__getitem__, out.tolist()))
+
+    def parts(self, found: list[str]) -> list[tuple | None]:
+        """(n_a, n_b, n_groups, groups as text, links as int32 bytes) of segments; None where the tokens have other bytes.
+
+        Segments that begin and end with no white space are encoded together, one blank between two.
+        """
+        out: list[tuple | None] = [None] * len(found)
+        together, size = [], 0
+        for k, segment in enumerate(found):
+            if _INNER.fullmatch(segment):
+                together.append(k)
+                size += len(segment) + 1
+            else:
+                out[k] = self._parts_of([segment])[0]
+            if together and (size > SEGMENT or k == len(found) - 1):
+                for at, part in zip(together, self._parts_of([found[i] for i in together])):
+                    out[at] = part
+                together, size = [], 0
+        for at, part in zip(together, self._parts_of([found[i] for i in together]) if together else ()):
+            out[at] = part
+        return out
+
+    def _parts_of(self, found: list[str]) -> list[tuple | None]:
+        a, ends_a, b, ends_b = self.tokens(" ".join(found))
+        if not len(a) and len(found) > 1:
+            return [self._parts_of([x])[0] for x in found]  # one of them spoils the others
+        if not len(a):
+            return [(0, 0, 0, "", b"") if not found[0] else None]
+        last_a, last_b, link = self.groups(a, ends_a, b, ends_b)
+        names, raw = self.listed(a, b, last_a, last_b), link.astype("<i4").tobytes()
+        # a segment ends where a group does
+        upto = np.cumsum([len(x.encode()) + 1 for x in found])
+        of_a, of_b, of_groups = (np.searchsorted(x, upto, "right").tolist() for x in (ends_a, ends_b, ends_a[last_a]))
+        out, i, j, k = [], 0, 0, 0
+        for x, y, z in zip(of_a, of_b, of_groups):
+            out.append((x - i, y - j, z - k, "".join(names[i + j:x + y])[:-1], raw[4 * k:4 * z]))
+            i, j, k = x, y, z
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -159,6 +213,33 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
+@lru_cache(maxsize=2)
+def remembered(path_a: str, path_b: str) -> Memory:
+    """Results of segments; one memory per worker and pair of files."""
+    return Memory(tokenizers(path_a, path_b).parts, lambda x: 0 if x is None else 250 + len(x[3]) + len(x[4]), lambda: REMEMBERED_BYTES)
+
+
+def digested(texts: list[str], path_a: str, path_b: str) -> list[tuple]:
+    """(n_a, n_b, n_groups, groups_sha256, links as int32 bytes) of each text."""
+    out, start = [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (size < TEXT_CHARS or end == start):
+            size += len(texts[end])
+            end += 1
+        split = [segments(x) if x else [] for x in texts[start:end]]
+        known = remembered(path_a, path_b).of(set().union(*split))
+        for of in split:
+            parts = list(map(known.__getitem__, of))
+            if not parts or None in parts:
+                out.append((0, 0, 0, "", b""))
+                continue
+            n_a, n_b, n_groups, listed, links = zip(*parts)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(listed).encode()).hexdigest(), b"".join(links)))
+        start = end
+    return out
+
+
 def token_groups(documents: DataFrame, path_a: str, path_b: str, extra: list[str] = (), with_groups: bool = False) -> DataFrame:
     """The groups and links of every whole text, one row per row of `documents`.
 
@@ -172,28 +253,16 @@ def token_groups(documents: DataFrame, path_a: str, path_b: str, extra: list[str
     passed = ["doc_id", *extra]
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers(path_a, path_b)
         for batch in batches:
-            numbers: list[list] = [[], [], [], [], []]
-            links, groups = [np.zeros(0, np.int64)], []
-            for text in batch.column("_text").to_pylist():
-                a, ends_a, b, ends_b = both.tokens(text)
-                last_a, last_b, link = both.groups(a, ends_a, b, ends_b)
-                digest = hashlib.sha256(both.listed(a, b, last_a, last_b).encode()).hexdigest() if len(a) else ""
-                for held, x in zip(numbers, (len(a), len(b), len(last_a), digest, len(link))):
-                    held.append(x)
-                links.append(link)
-                if with_groups:
-                    ends = ends_a[last_a].tolist()
-                    groups.append([
-                        {"start": s, "end": e, "a": x.tolist(), "b": y.tolist()}
-                        for s, e, x, y in zip([0, *ends], ends, np.split(a, last_a + 1), np.split(b, last_b + 1))])
-            offsets = np.concatenate(([0], np.cumsum(numbers[4]))).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(links).astype(np.int32)))
-            columns = [*(batch.column(c) for c in passed), *(pa.array(x, pa.int64()) for x in numbers[:3]), pa.array(numbers[3], pa.string()), found]
+            texts = batch.column("_text").to_pylist()
+            n_a, n_b, n_groups, digests, links = zip(*digested(texts, path_a, path_b)) if texts else [()] * 5
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in links]))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(links), "<i4")))
+            columns = [*(batch.column(c) for c in passed), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(digests, pa.string()), found]
             names = [*passed, "n_a", "n_b", "n_groups", "groups_sha256", "links"]
             if with_groups:
                 ids = pa.list_(pa.int32())
+                groups = [tokenizers(path_a, path_b).spelled(x) for x in texts]
                 columns.append(pa.array(groups, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", ids), ("b", ids)]))))
                 names.append("groups")
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -230,7 +299,8 @@ def align_tokens(documents: DataFrame, path_a: str, path_b: str, extra: list[str
     Null or empty text, or one whose tokens have other bytes than a blank and the text (one with U+2581): zeros, and
     an empty groups_sha256. Null doc_id: kept. Repeated rows: each has its row and counts. Empty table: empty result.
 
-    Texts are encoded once; the rows with their links are written to the shared folder. Counts come to the driver and
+    Texts are cut at blanks before which a word ends and after which one begins; a worker encodes each distinct segment
+    once, as long as it remembers it. The rows with their links are written to the shared folder. Counts come to the driver and
     go to all tasks: one number for each pair that the vocabularies can link, whatever the table's size.
     """
     spark = documents.sparkSession

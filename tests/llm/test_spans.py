@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -94,11 +95,27 @@ def test_segments_have_the_tokens_of_the_whole(monkeypatch):
     texts = [t for _, t in awkward() if t] + ["one two  three,four 5 6 é seven 日本 eight" * 20]
     whole = [both.tokens(t) for t in texts]
     monkeypatch.setattr(spans, "SEGMENT", 12)
-    assert len(list(spans.segments(texts[-1]))) > 10
+    assert len(spans.segments(texts[-1], 12)) > 10
     for t, want in zip(texts, whole):
         assert all(np.array_equal(x, y) for x, y in zip(both.tokens(t), want))
 
 
+@pytest.mark.parametrize("segment, limit", [(250_000, 10**8), (40, 2000), (1, 0)])
+def test_remembered_segments_make_the_whole(monkeypatch, segment, limit):
+    monkeypatch.setattr(spans, "SEGMENT", segment)
+    monkeypatch.setattr(spans, "REMEMBERED_BYTES", limit)
+    monkeypatch.setattr(spans, "TEXT_CHARS", 500)
+    spans.remembered.cache_clear()
+    both, plain = spans.tokenizers(A, B), Plain()
+    texts = [t or "" for _, t in awkward()] + ["one two three", "one two ▁ three", "one two three"]
+    for t, (n_a, n_b, n_groups, digest, links) in zip(texts, spans.digested(texts, A, B)):
+        a, b, pairs, listed = plain.links(t)
+        assert (n_a, n_b, n_groups) == (len(a), len(b), len(pairs)) and digest == (hashlib.sha256(listed.encode()).hexdigest() if a else "")
+        keys = both.pairs[np.frombuffer(links, "<i4")].tolist()
+        assert [divmod(k, len(both.bytes_b)) for k in keys] == pairs
+    spans.remembered.cache_clear()
+
+
 def test_groups_cover_the_text(spark):
     text = "naïve 日本 words, 🙂 end"
     row = spans.token_groups(spark.createDataFrame([(1, text)], "doc_id long, text string"), A, B, with_groups=True).first()
