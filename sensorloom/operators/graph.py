@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.categories import clean_formula_id
 from sensorloom.functions.ids import canonical_serial_id
-from sensorloom.session import cut
+from sensorloom.session import cut, shared_folder
 
 # Names that are neither formulas nor sensors.
 RESERVED = (
@@ -106,52 +107,121 @@ def formula_levels(formulas: DataFrame) -> DataFrame:
     return ids.select("id", F.when(F.col("_circular").isNull(), F.coalesce("_above", F.lit(0))).alias("level"))
 
 
-def find_cycles(formulas: DataFrame) -> DataFrame:
-    """(id, has_cycle, cycle_path) of every formula.
+def _onward(pointers: DataFrame, other: DataFrame) -> DataFrame:
+    """Pointers (at, to) that go on by those of `other`; one that meets none stays."""
+    following = other.select(F.col("at").alias("_at"), F.col("to").alias("_to"))
+    return pointers.join(following, F.col("to") == F.col("_at"), "left").select("at", F.coalesce("_to", "to").alias("to"))
+
+
+def leading_to_cycles(links: DataFrame) -> DataFrame:
+    """(id): the formulas of links (src, dst) from which a cycle can be reached.
 
-    The path follows the first use that leads to a cycle until a formula comes again.
+    Chains of formulas that use one other each are followed to their ends first, with steps that grow fourfold each
+    round; a walk that is still on such a formula after as many steps as there are goes round in circles. What is
+    left, formulas with several uses, is peeled level by level.
     """
-    ids = formulas.select("id").distinct()
-    _, stuck = _peeled(edges(formulas))
-    first = stuck.groupBy(F.col("src").alias("at")).agg(F.min_by("dst", "pos").alias("next"))
-    first = cut(first)
-    open_ = first.select(F.col("at").alias("id"), F.array("at").alias("cycle_path"), "next")
-    closed = None
-    while True:
-        step = cut(open_.select(
-            "id", F.concat("cycle_path", F.array("next")).alias("cycle_path"), F.col("next").alias("at"),
-            F.array_contains("cycle_path", F.col("next")).alias("_met"),
-        ))
-        ended = step.filter("_met").select("id", "cycle_path")
-        closed = ended if closed is None else closed.unionByName(ended)
-        running = step.filter(~F.col("_met"))
-        if running.isEmpty():
-            break
-        open_ = running.join(first, "at").select("id", "cycle_path", "next")
-    return ids.join(closed, "id", "left").select(
-        "id", F.col("cycle_path").isNotNull().alias("has_cycle"), "cycle_path",
+    links = cut(links.select("src", "dst").distinct())
+    uses = links.groupBy("src").agg(F.count("*").alias("n"), F.max("dst").alias("to"))
+    single = cut(uses.filter("n = 1").select(F.col("src").alias("at"), "to"))
+    total, steps, pointers = single.count(), 1, single
+    while steps <= total:
+        twice = _onward(pointers, pointers)
+        pointers, steps = cut(_onward(twice, twice)), 4 * steps
+    ends = pointers.join(single.select(F.col("at").alias("_on")), F.col("to") == F.col("_on"), "left")
+    ends = cut(ends.select("at", "to", F.col("_on").isNotNull().alias("circular")))
+    several = links.join(uses.filter("n > 1").select("src"), "src", "left_semi")
+    # a use that leads into a circle becomes a use of itself, which is never peeled
+    aim = F.when(F.col("circular"), F.col("src")).otherwise(F.coalesce("to", "dst")).alias("dst")
+    short = several.join(ends, F.col("dst") == F.col("at"), "left").select("src", aim, F.lit(0).alias("pos")).distinct()
+    _, stuck = _peeled(short)
+    stuck = stuck.select(F.col("src").alias("id")).distinct()
+    follow = ends.join(stuck, F.col("to") == F.col("id"), "left").filter(F.col("circular") | F.col("id").isNotNull())
+    return stuck.union(follow.select("at"))
+
+
+def _with_path(walks: DataFrame, other: DataFrame) -> DataFrame:
+    """Open walks (id, path, next) with the path of the formula they come to; closed ones, without `next`, as they are.
+
+    A path that meets a formula again ends there.
+    """
+    following = other.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("next").alias("_next"))
+    both = walks.join(following, F.col("next") == F.col("_id"), "left")
+    whole = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", "_path"))
+    both = both.select("id", whole.alias("path"), "_next").withColumn("_met", F.size(F.array_distinct("path")))
+    closed = F.col("_met") < F.size("path")
+    return both.select(
+        "id", F.when(closed, F.slice("path", F.lit(1), F.col("_met") + 1)).otherwise(F.col("path")).alias("path"),
+        F.when(~closed, F.col("_next")).alias("next"),
     )
 
 
-def closure(formulas: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, id): every formula that a target uses directly or not, itself included."""
-    links = cut(edges(formulas).select("src", "dst"))
-    known = formulas.select("id").distinct()
-    fresh = cut(targets.select(F.col("id").alias("target"), "id").join(known, "id", "left_semi").select("target", "id").distinct())
+def find_cycles(formulas: DataFrame) -> DataFrame:
+    """(id, has_cycle, cycle_path) of every formula.
+
+    The path follows the first use that leads to a cycle until a formula comes again. Paths grow fourfold each round, so
+    a path of n formulas takes about log4 n of them.
+    """
+    ids = formulas.select("id").distinct()
+    links = cut(edges(formulas))
+    stuck = cut(leading_to_cycles(links))
+    inner = links.join(stuck, F.col("src") == F.col("id"), "left_semi").join(stuck, F.col("dst") == F.col("id"), "left_semi")
+    first = inner.groupBy(F.col("src").alias("id")).agg(F.min_by("dst", "pos").alias("next"))
+    walks = cut(first.select("id", F.array("id").alias("path"), "next"))
+    while not walks.filter(F.col("next").isNotNull()).isEmpty():
+        twice = _with_path(walks, walks)
+        walks = cut(_with_path(twice, twice))
+    return ids.join(walks, "id", "left").select("id", F.col("path").isNotNull().alias("has_cycle"), F.col("path").alias("cycle_path"))
+
+
+def _reached_in_cycles(links: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(target, id) reached from the pairs `fresh` over links between formulas that lead to cycles, step by step."""
+    fresh = cut(fresh.distinct())
     reached = fresh
     while not fresh.isEmpty():
         following = fresh.join(links, F.col("id") == F.col("src")).select("target", F.col("dst").alias("id")).distinct()
         fresh = cut(following.join(reached, ["target", "id"], "left_anti"))
-        reached = cut(reached.unionByName(fresh))
+        reached = reached.unionByName(fresh)
     return reached
 
 
+def closure(formulas: DataFrame, targets: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """(target, id): every formula that a target uses directly or not, itself included.
+
+    Pairs are made from the highest level of formulas down. What uses a formula stands above it, so when a level's turn
+    comes all its pairs are known: it is read once, and the uses of its formulas are written once, to the levels
+    below. Formulas that lead to cycles have no level; they come first, step by step. `levels` saves computing them.
+    """
+    spark = formulas.sparkSession
+    levels = cut(formula_levels(formulas) if levels is None else levels)
+    links = cut(edges(formulas).select("src", "dst").join(levels.select(F.col("id").alias("dst"), "level"), "dst").select("src", "dst", "level"))
+    begun = targets.select(F.col("id").alias("target"), "id").join(levels, "id").select("target", "id", "level").distinct()
+    folder = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
+    schema = begun.schema
+
+    def written(pairs: DataFrame) -> None:
+        pairs.filter(F.col("level").isNotNull()).write.mode("append").partitionBy("level").parquet(folder)
+
+    def used_by(pairs: DataFrame) -> DataFrame:
+        return pairs.select("target", F.col("id").alias("src")).join(links, "src").select("target", F.col("dst").alias("id"), "level").distinct()
+
+    written(begun)
+    circular = links.filter(F.col("level").isNull()).select("src", "dst")
+    reached = _reached_in_cycles(circular, begun.filter(F.col("level").isNull()).select("target", "id"))
+    written(used_by(reached))
+    held = spark.read.schema(schema).option("recursiveFileLookup", "false")
+    highest = levels.agg(F.max("level")).first()[0]
+    for level in range(highest or 0, 0, -1):
+        written(used_by(held.parquet(folder).filter(F.col("level") == level)))
+    return held.parquet(folder).select("target", "id").distinct().unionByName(reached.select("target", "id"))
+
+
 def evaluation_order(formulas: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, id, level) of what each target needs; sorted by level, uses come first.
 
     A null level says that there is no order, as the formula leads to a cycle.
     """
-    return closure(formulas, targets).join(formula_levels(formulas), "id").select("target", "id", "level")
+    levels = cut(formula_levels(formulas))
+    return closure(formulas, targets, levels).join(levels, "id").select("target", "id", "level")
 
 
 def formula_tree(formulas: DataFrame, target: str) -> tuple[list, list[str]]:
@@ -184,7 +254,8 @@ def formula_tree(formulas: DataFrame, target: str) -> tuple[list, list[str]]:
                 uses[row["ref"]] = []
                 following.append(row["ref"])
         frontier = following
-    found = small if few else formulas.filter(F.col("id").isin(list(uses))).collect()
+    wanted = formulas.sparkSession.createDataFrame([(x,) for x in uses], "id string")
+    found = small if few else formulas.join(wanted, "id", "left_semi").collect()
     rows = {row["id"]: row for row in found}
     try:
         order = list(TopologicalSorter(uses).static_order())

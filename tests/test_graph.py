@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,82 @@ def test_cycles(looped):
     assert pairs(graph.self_references(looped)) == {("E",)}
 
 
+def counted_rounds(monkeypatch):
+    rounds, real = [0], graph.cut
+
+    def cut(df):
+        rounds[0] += 1
+        return real(df)
+
+    monkeypatch.setattr(graph, "cut", cut)
+    return rounds
+
+
+def link_table(spark, monkeypatch, n, uses):
+    """Formulas 0..n-1 with given uses, without texts to be read."""
+    links = spark.createDataFrame([(f"N{a}", f"N{b}", k) for a, of in enumerate(uses) for k, b in enumerate(of)], "src string, dst string, pos int")
+    monkeypatch.setattr(graph, "edges", lambda _: links)
+    return spark.range(n).select(F.concat(F.lit("N"), F.col("id").cast("string")).alias("id"))
+
+
+def plain_cycles(uses):
+    """Path of first uses that lead to a cycle, until a formula comes again."""
+    stuck = set(range(len(uses)))
+    while free := {a for a in stuck if not stuck & set(uses[a])}:
+        stuck -= free
+    out = []
+    for a in range(len(uses)):
+        path = [a] if a in stuck else None
+        while path and path.count(path[-1]) == 1:
+            path.append(next(b for b in uses[path[-1]] if b in stuck))
+        out.append(path)
+    return out
+
+
+def test_cycles_of_random_graphs(spark, monkeypatch):
+    rng = random.Random(8)
+    for n, most in ((1, 1), (30, 1), (40, 2), (60, 3)):
+        uses = [list(dict.fromkeys(rng.choice([rng.randrange(n), (a + 1) % n, a // 2]) for _ in range(rng.randrange(most + 1)))) for a in range(n)]
+        found = {r["id"]: r["cycle_path"] for r in graph.find_cycles(link_table(spark, monkeypatch, n, uses)).collect()}
+        assert found == {f"N{a}": path and [f"N{b}" for b in path] for a, path in enumerate(plain_cycles(uses))}
+
+
+def test_long_chain_into_a_cycle(spark, monkeypatch):
+    n = 10_000
+    uses = [[a + 1] for a in range(n - 1)] + [[n - 3]]
+    rounds = counted_rounds(monkeypatch)
+    found = graph.find_cycles(link_table(spark, monkeypatch, n, uses)).select("id", F.size("cycle_path").alias("n"), F.element_at("cycle_path", -1).alias("last"))
+    assert found.filter(F.col("n") != F.greatest(F.lit(4), n - F.substring("id", 2, 9).cast("int") + 1)).isEmpty()
+    assert found.filter("id = 'N0'").first()["last"] == f"N{n - 3}"
+    # seven rounds each to follow single uses and to lengthen the paths, and what is written once
+    assert rounds[0] <= 7 + 7 + 8
+
+
+def plain_closure(uses, targets):
+    out = set()
+    for t in targets:
+        seen, edge = {t}, [t]
+        while edge:
+            edge = [b for b in {b for a in edge for b in uses[a]} if b not in seen]
+            seen |= set(edge)
+        out |= {(f"N{t}", f"N{x}") for x in seen}
+    return out
+
+
+def test_closure_of_a_deep_graph(spark, monkeypatch):
+    rng = random.Random(4)
+    n = 120
+    deep = [[b for b in {a - 1, rng.randrange(a) if a else 0, a - 7} if 0 <= b < a] if a < 25 else [rng.randrange(25)] for a in range(n)]
+    looped = [*deep[:-6], [n - 5, 3], [n - 4], [n - 6, 24], [n - 3], [n - 2, 7, n - 3], [n - 1]]
+    for uses in (deep, looped):
+        table = link_table(spark, monkeypatch, n, uses)
+        rounds = counted_rounds(monkeypatch)
+        targets = table.filter(F.substring("id", 2, 9).cast("int") % 3 != 1)
+        assert pairs(graph.closure(table, targets)) == plain_closure(uses, [a for a in range(n) if a % 3 != 1])
+        # two for each level of the peeling; the pairs are written once a level, not rewritten
+        assert rounds[0] <= 2 * 26 + 12
+
+
 def test_delete_guard(spark, chain):
     asked = spark.createDataFrame([("BASE_TEMP_F",), ("COMPOSITE_METRIC",)], "id string")
     assert [tuple(r) for r in graph.blocked_deletes(chain, asked).collect()] == [("BASE_TEMP_F", "HEAT_INDEX")]
