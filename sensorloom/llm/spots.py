@@ -18,28 +18,28 @@ ANCHORS = [
     "al", "con", "como", "del", "el", "las", "lo", "los", "más", "no", "para", "pero", "por", "su", "sus", "una", "y",
 ]
 CHAIN = 2
-# `spot_links` compares two texts by their anchors' chains only if both have so many words and one anchor in so many words.
-SHORT, SPARSE = 50, 6
+# Ranges of equal numbers of rows into which ids are cut before they are cut evenly, see `with_next`.
+RANGES = 256
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """The set of a text's signatures as sorted 32-bit numbers.
 
     Words are runs of letters and digits in lower case. Each anchor gives one signature: itself and the next `chain`
-    words that are no anchors, looked for up to three anchors on. Each word besides, anchor or not, gives one with the
-    `chain` words after it, so that texts with few anchors have enough; the rule is the same for every text. A signature
-    that comes again counts as another one, told apart by its number. A text without words has one signature, itself;
-    the empty text none.
+    words that are no anchors, looked for up to three anchors on. The beginning of a text counts as an anchor, so a text
+    with words has a signature whatever its words are; the rule is the same for every text. A signature that comes
+    again counts as another one, told apart by its number. A text without words has one signature, itself; the empty
+    text none.
     """
-    return _let(_chains(text, anchors, chain), lambda x: _set(F.concat(x["anchored"], x["every"])))
+    return _set(_chains(text, anchors, chain))
 
 
 def _chains(text: Column, anchors: list[str], chain: int) -> Column:
-    """The chains of a text's anchors and of all its words: struct of anchored and every, both arrays of numbers, neither sorted."""
+    """The chains of a text's anchors as an array of numbers, not sorted."""
     def with_anchors(words: Column) -> Column:
         # anchors are marked and the words joined again; what follows a mark is an anchor and its content words
         marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
-        parts = F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), lambda p: F.trim(p))
+        parts = F.transform(F.split(F.concat(F.lit("\x02 "), marked), "\x01"), lambda p: F.trim(p))
         return _let(parts, lambda p: _let(F.transform(p, content), lambda rest: F.transform(p, lambda part, j: of_anchor(rest, part, j))))
 
     def content(part: Column) -> Column:
@@ -50,15 +50,10 @@ def _chains(text: Column, anchors: list[str], chain: int) -> Column:
         following = F.concat_ws(" ", *[F.get(rest, j + n) for n in range(4)])
         return F.hash(F.substring_index(part, " ", 1), F.substring_index(following, " ", chain))
 
-    def of_words(words: Column) -> Column:
-        # the leading number tells them from the chains of anchors
-        return F.transform(words, lambda w, j: F.hash(F.lit(1), w, *[F.get(words, j + n) for n in range(1, chain + 1)]))
-
     none = F.array().cast("array<int>")
     bare = F.when(text == "", none).otherwise(F.array(F.hash(text)))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return _let(words, lambda x: F.struct(
-        F.when(F.size(x) == 0, none).otherwise(with_anchors(x)).alias("anchored"), F.when(F.size(x) == 0, bare).otherwise(of_words(x)).alias("every")))
+    return _let(words, lambda x: F.when(F.size(x) == 0, bare).otherwise(with_anchors(x)))
 
 
 def _set(chains: Column) -> Column:
@@ -88,7 +83,7 @@ def fingerprint(signs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard overlap of two signature sets; two empty ones are equal. The intersection is left out where sizes differ too much to matter."""
+    """Jaccard overlap of two signature sets; two empty ones are equal."""
     common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
@@ -96,23 +91,32 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(rows: DataFrame, columns: list[str], made: dict[str, Column] | None = None, per_part: int = 2000) -> DataFrame:
     """`rows` (doc_id numeric, content, ...) with next_<column>: the values of the next row by doc_id, after the last of the first.
 
-    Ids are cut into equal ranges of about `per_part` rows, one window each; the first row of each range is copied to
-    the end of the range before it, so rows are shuffled once and never meet in one task. Null ids come last. Columns
-    `made` are computed behind the shuffle and can be among `columns`.
+    Ids are cut into parts of about `per_part` rows, one window each; the first row of each part is copied to the end of
+    the part before it, so rows are shuffled once and never meet in one task. The parts are RANGES quantiles, each cut
+    evenly, so that ids far from the others only widen the parts of their own range. Null ids come last, cut by the
+    texts' digests. Columns `made` are computed behind the shuffle and can be among `columns`.
     """
-    bounds = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    parts = max(1, -(-bounds["n"] // per_part))
-    low, high = float(bounds["low"] or 0), float(bounds["high"] or 0) + 1
-    part = F.coalesce(F.width_bucket(F.col("doc_id").cast("double"), F.lit(low), F.lit(high), F.lit(parts)), F.lit(parts + 2)).cast("long")
-    dealt = rows.withColumn("_part", part).withColumn("_copy", F.lit(0))
-    # one row per range: its first id, and the range before it; the range after the last is the first
-    firsts = dealt.groupBy("_part").agg(F.min("doc_id").alias("_first"))
+    at = F.col("doc_id").cast("double")
+    shares = [k / RANGES for k in range(1, RANGES)]
+    bounds = rows.agg(
+        F.count("*").alias("n"), F.count_if(at.isNull()).alias("nulls"), F.min(at).alias("low"), F.max(at).alias("high"), F.percentile_approx(at, shares, 10 * RANGES).alias("cuts")).first()
+    cuts = sorted({bounds["low"] or 0.0, *(bounds["cuts"] or []), (bounds["high"] or 0.0) + 1})
+    ranges = len(cuts) - 1
+    each, of_nulls = max(1, -(-(bounds["n"] - bounds["nulls"]) // (per_part * ranges))), max(1, -(-bounds["nulls"] // per_part))
+    held = F.array(*map(F.lit, cuts))
+    number = F.greatest(F.lit(0), F.size(F.filter(held, lambda x: x <= at)) - 1)
+    inside = F.width_bucket(at, F.get(held, number), F.get(held, number + 1), F.lit(each)) - 1
+    leading = F.conv(F.substring(F.hex("content"), 1, 8), 16, 10).cast("double")
+    of_null = ranges * each + F.width_bucket(leading, F.lit(0.0), F.lit(2.0**32), F.lit(of_nulls))
+    dealt = rows.withColumn("_part", F.when(at.isNull(), of_null).otherwise(number * each + inside).cast("long")).withColumn("_copy", F.lit(0))
+    # one row per part: its first row, and the part before it; the part after the last is the first
+    firsts = dealt.groupBy("_part").agg(F.min(F.struct("doc_id", "content")).alias("_row")).select("_part", F.col("_row.doc_id").alias("_first"), F.col("_row.content").alias("_content"))
     order = Window.partitionBy(F.lit(0)).orderBy("_part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("_first", F.col("_part").alias("_from"), F.coalesce(F.lag("_part").over(order), F.last("_part").over(whole)).alias("_to"))
+    firsts = firsts.select("_first", "_content", F.col("_part").alias("_from"), F.coalesce(F.lag("_part").over(order), F.last("_part").over(whole)).alias("_to"))
     firsts = stored(firsts, "next-firsts")
-    ghosts = dealt.join(firsts, (F.col("_part") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    ghosts = ghosts.drop("_part", "_from", "_first").withColumnRenamed("_to", "_part").withColumn("_copy", F.lit(1)).select(*dealt.columns)
+    ghosts = dealt.join(firsts, (F.col("_part") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("content") == F.col("_content")))
+    ghosts = ghosts.drop("_part", "_from", "_first", "_content").withColumnRenamed("_to", "_part").withColumn("_copy", F.lit(1)).select(*dealt.columns)
     order = [F.col("_copy"), F.col("doc_id").asc_nulls_last(), F.col("content")]
     line = Window.partitionBy("_part").orderBy(*order)
     joined = dealt.unionAll(ghosts).repartition("_part").sortWithinPartitions("_part", *order).withColumns(made or {})
@@ -148,50 +152,32 @@ def spot_links(documents: DataFrame, similarity: float = 0.8, anchors: list[str]
     """Documents whose signature sets overlap by at least `similarity`: (members, links).
 
     members has doc_id and its class (digest of the set) for every document with signatures; links has pairs (a, b) of
-    different classes, a < b, with their likeness. Two texts that both have SHORT words or more, and an anchor in at most
-    SPARSE words, are compared by the chains of their anchors; any other two by all of their `signatures`, also if one
-    of them has anchors enough, so that sets of different kinds never meet. A class of texts with anchors enough can
-    stand for several sets of all signatures; the best likeness counts. Equal sets are one class, so copies make no
-    pairs. Empty and null texts are in no class. Rows and extra columns as in `fingerprints`.
-    """
-    chains = documents.select("doc_id", _chains(whole_text(), anchors, chain).alias("c"))
-    n_words, n_anchors = F.size("c.every"), F.size("c.anchored")
-    rich = (n_words >= SHORT) & (n_anchors * SPARSE >= n_words)
-    sets = chains.select("doc_id", rich.alias("rich"), F.when(rich, _set(F.col("c.anchored"))).alias("few"), _set(F.concat("c.anchored", "c.every")).alias("signs"))
-    sets = sets.where(F.size("signs") > 0).withColumn("class", digest(F.array_join(F.coalesce("few", "signs"), ",")))
-    # one set of all signatures, within its class
-    sets = stored(sets.withColumn("whole", digest(F.concat_ws(",", F.hex("class"), F.array_join("signs", ",")))), "spot-sets")
-    by_anchors = _links(sets.where("rich").groupBy(F.col("class").alias("key")).agg(F.max("few").alias("signs")).withColumn("rich", F.lit(False)), similarity)
-    wholes = sets.groupBy(F.col("whole").alias("key")).agg(F.max("signs").alias("signs"), F.max("rich").alias("rich"))
-    of = stored(sets.groupBy("whole").agg(F.max("class").alias("class")), "spot-classes")
-    by_all = _links(wholes, similarity).join(of.select(F.col("whole").alias("a"), F.col("class").alias("class_a")), "a")
-    by_all = by_all.join(of.select(F.col("whole").alias("b"), F.col("class").alias("class_b")), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "likeness")
-    links = by_anchors.unionByName(by_all).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
-    return sets.select("doc_id", "class"), links
-
-
-def _links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, likeness) of `sets` (key, signs, rich) that overlap by `similarity` or more, without those of two rich ones.
+    different classes, a < b, with their likeness. Equal sets are one class, so copies make no pairs. Empty and null
+    texts are in no class. Rows and extra columns as in `fingerprints`.
 
     Sets are partitioned by length: within `similarity`, lengths differ by a factor of 1 / similarity at most, so each
     set meets its own and the neighbouring length class only. There, only sets that share one of their rarest signatures
     are compared (if none of the first (1 - similarity) n + 1 is shared, the overlap can't be reached).
     """
-    each = sets.select("key", "rich", F.explode("signs").alias("sign"))
+    members = documents.select("doc_id", signatures(whole_text(), anchors, chain).alias("signs")).where(F.size("signs") > 0)
+    members = stored(members.withColumn("class", digest(F.array_join("signs", ","))), "spot-sets")
+    sets = members.groupBy(F.col("class").alias("key")).agg(F.max("signs").alias("signs"))
+    each = sets.select("key", F.explode("signs").alias("sign"))
     rare = each.groupBy("sign").agg(F.count("*").alias("uses"))
-    ranked = each.join(rare, "sign").groupBy("key", "rich").agg(F.array_sort(F.collect_list(F.struct("uses", "sign"))).alias("ranked"))
+    ranked = each.join(rare, "sign").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("uses", "sign"))).alias("ranked"))
     ranked = ranked.withColumn("n", F.size("ranked"))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    probes = stored(ranked.select("key", "rich", "n", step.alias("step"), F.explode(F.slice("ranked", F.lit(1), first)).alias("r")).select("key", "rich", "n", "step", "r.sign"), "spot-probes")
-    ours = probes.select(F.col("key").alias("a"), F.col("rich").alias("rich_a"), F.col("n").alias("n_a"), "step", "sign")
+    probes = stored(ranked.select("key", "n", step.alias("step"), F.explode(F.slice("ranked", F.lit(1), first)).alias("r")).select("key", "n", "step", "r.sign"), "spot-probes")
+    ours = probes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "step", "sign")
     theirs = probes.select(
-        F.col("key").alias("b"), F.col("rich").alias("rich_b"), F.col("n").alias("n_b"), F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), "sign")
+        F.col("key").alias("b"), F.col("n").alias("n_b"), F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), "sign")
     # each pair once: the shorter set (ties: the smaller key) is `ours`
     shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    near = shorter & (F.col("n_a") >= F.col("n_b") * similarity - 1e-9) & ~(F.col("rich_a") & F.col("rich_b"))
+    near = shorter & (F.col("n_a") >= F.col("n_b") * similarity - 1e-9)
     pairs = ours.join(theirs, ["step", "sign"]).where(near).select("a", "b").distinct()
     left = sets.select(F.col("key").alias("a"), F.col("signs").alias("signs_a"))
     right = sets.select(F.col("key").alias("b"), F.col("signs").alias("signs_b"))
     met = pairs.join(left, "a").join(right, "b").withColumn("likeness", likeness(F.col("signs_a"), F.col("signs_b"))).where(F.col("likeness") >= similarity - 1e-9)
-    return met.select("a", "b", "likeness")
+    links = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    return members.select("doc_id", "class"), links

@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from sensorloom.llm import minhash, pieces, vectors
@@ -19,7 +20,7 @@ from sensorloom.llm.licenses import TEMPLATES, Scanner, align, words_of
 from sensorloom.llm.lines import dedup_lines
 from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.pieces import decode_ids, encode_texts
-from sensorloom.llm.spots import ANCHORS, fingerprints, spot_links
+from sensorloom.llm.spots import ANCHORS, fingerprints, spot_links, with_next
 from sensorloom.llm.tokens import count_tokens
 from sensorloom.llm.toxicity import document_score, fit, score_documents, sentence_words, train
 
@@ -229,16 +230,16 @@ def test_mix(spark):
 
 
 def plain_signatures(text):
-    words = ["".join(g) for g in __import__("re").findall(r"[^\W_]+", text.lower())]
+    words = re.findall(r"[^\W_]+", text.lower())
     if not words:
         return {text} if text else set()
-    every = [(w, *words[i + 1:i + 3]) for i, w in enumerate(words)]
-    at = [i for i, w in enumerate(words) if w in set(ANCHORS)]
+    common = set(ANCHORS)
+    at = [-1, *(i for i, w in enumerate(words) if w in common)]  # the beginning is an anchor
     out = []
     for n, i in enumerate(at):
         end = at[n + 4] if n + 4 < len(at) else len(words)
-        out.append((words[i], "chain", *[w for w in words[i + 1:end] if w not in set(ANCHORS)][:2]))
-    return numbered(out + every if len(words) < 50 or 6 * len(out) < len(words) else out)
+        out.append((words[i] if i >= 0 else None, *[w for w in words[i + 1:end] if w not in common][:2]))
+    return numbered(out)
 
 
 def numbered(signs):
@@ -250,6 +251,7 @@ def test_fingerprints_against_plain_code(spark):
     rng = random.Random(5)
     vocabulary = ["the", "of", "der", "and", "que"] + [f"word{i}" for i in range(60)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 30, 90, 200]))) + rng.choice(["", ".", "!?"]) for _ in range(60)]
+    texts += ["no such words here", "x " * 30, "a brown fox that jumped over the lazy dog and went on to the river with all of its friends, as foxes do in spring"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     rows = fingerprints(df).orderBy("doc_id").collect()
     over = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
@@ -294,6 +296,18 @@ def test_signatures_change_little_with_the_text(spark):
     assert {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links.collect()} == {frozenset((of[0], of[1])), frozenset((of[2], of[3]))}
 
 
+def test_next_rows_whatever_the_ids(spark):
+    rng = random.Random(11)
+    ids = [*rng.sample(range(500), 200), 10**12, 10**12 + 5, -7, *[None] * 60, 3, 3, 3]
+    rows = [(i, f"the text {rng.randrange(10**6)} of {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, __import__("hashlib").sha256(r[1].encode()).hexdigest()))
+    want = sorted((a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]]))
+    for per_part in (7, 100, 10_000):
+        got = with_next(df.withColumn("content", F.unhex(F.sha2("text", 256))), ["text"], per_part=per_part)
+        assert sorted((r["text"], r["next_text"]) for r in got.collect()) == want
+
+
 def test_toxicity_on_held_out_documents(spark):
     documents, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     out = score_documents(documents, train(documents, labels)).join(labels, "doc_id").where("held_out").collect()
