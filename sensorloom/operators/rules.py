@@ -213,11 +213,16 @@ def apply_rules(readings: DataFrame, rules: DataFrame, **options) -> DataFrame:
     return emit_raw_and_derived(evaluate_rules(readings, rules, **options), readings if options.get("multi") else None)
 
 
-def rule_counters(evaluated: DataFrame) -> DataFrame:
-    """Evaluations that gave a result, readings without a rule, and failures."""
+def counter_columns() -> list[Column]:
+    """Aggregates of evaluated readings: results, readings without a rule, and failures."""
     ruled = F.col("expression").isNotNull()
-    return evaluated.agg(
+    return [
         F.count_if(ruled & F.col("result").isNotNull()).alias("hits"),
         F.count_if(~ruled).alias("misses"),
         F.count_if(ruled & F.col("result").isNull()).alias("errors"),
-    )
+    ]
+
+
+def rule_counters(evaluated: DataFrame) -> DataFrame:
+    """Evaluations that gave a result, readings without a rule, and failures."""
+    return evaluated.agg(*counter_columns())

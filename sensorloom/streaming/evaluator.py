@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.functions.formula import WindowCall
 from sensorloom.functions.ids import is_blank
 from sensorloom.operators.registry import rules_from_registry
-from sensorloom.operators.rules import RETENTION_SECONDS, emit_raw_and_derived, rule_counters
+from sensorloom.operators.rules import RETENTION_SECONDS, counter_columns, emit_raw_and_derived
 from sensorloom.operators.templates import evaluate_shapes, shapes_of, with_shape
 from sensorloom.operators.windows import known_windows, window_over_history
 from sensorloom.sources.messages import arrival_number, decode_device_records
@@ -26,6 +26,10 @@ STATE_SETTINGS = {
 }
 
 
+COUNTERS = ["hits", "misses", "errors"]
+_COUNTED = "batch long, hits long, misses long, errors long"
+
+
 def configure_state(spark: SparkSession) -> SparkSession:
     for key, value in STATE_SETTINGS.items():
         spark.conf.set(key, value)
@@ -59,22 +63,23 @@ def evaluate_stream(
     every: str = "10 seconds",
     counters: str | None = None,
 ) -> StreamingQuery:
-    """Start the job; output goes to `path` by day and batch, counts to `counters` if given.
+    """Start the job; output goes to `path` by day and batch, counts to `counters` if given, see `stream_counters`.
 
-    A batch that is run again after a failure replaces its own output. With `live=False`
+    Counts are observed while the output is written, so they take no pass of their own. A batch that is run again after a failure replaces its own output. With `live=False`
     history ages by the readings' times and the query ends when the input is used up.
     """
     configure_state(readings.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        evaluated = evaluate_batch(held)
+        seen = Observation(f"rule counters {number}")
+        evaluated = evaluate_batch(held).observe(seen, *counter_columns())
         rows = emit_raw_and_derived(evaluated).withColumn("batch", F.lit(number))
         stored = stored_form(rows, keep=["seq", "ord", "batch"])
         stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
         if counters:
-            rule_counters(evaluated).withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(counters)
+            counted = batch.sparkSession.createDataFrame([(number, *(seen.get[c] for c in COUNTERS))], _COUNTED)
+            counted.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(counters)
         held.unpersist()
 
     stateful = with_rule_state(readings, rules, retention_seconds, live)
@@ -83,6 +88,12 @@ def evaluate_stream(
     return writer.start()
 
 
+def stream_counters(spark: SparkSession, counters: str) -> DataFrame:
+    """Hits, misses and errors of all batches so far, over restarts: a batch that was run again counts once."""
+    held = spark.read.schema(_COUNTED).parquet(counters)
+    return held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+
+
 def evaluate_records(
     sensor_records: DataFrame, rule_records: DataFrame, path: str, checkpoint: str, mappings: DataFrame | None = None, **options,
 ) -> StreamingQuery:

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom import schemas
-from sensorloom.operators.rules import apply_rules
+from sensorloom.operators.rules import apply_rules, evaluate_rules, rule_counters
 from sensorloom.sources.messages import file_records, read_sensor_stream
 from sensorloom.sources.readings import read_readings, write_readings
 from sensorloom.sources.rules import publish_rules, read_rule_stream
-from sensorloom.streaming.evaluator import evaluate_records, evaluate_stream
+from sensorloom.streaming.evaluator import evaluate_records, evaluate_stream, stream_counters
 from tests.helpers import readings, rules
 from tests.test_rules import simulated
 
@@ -141,6 +141,27 @@ def test_restart_goes_on_from_the_checkpoint(spark):
     assert rows(spark.read.parquet(f"{folder}/out")) == rows(apply_rules(series, table, as_of=True))
 
 
+def test_observed_counters_over_restarts(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    series = readings(spark, [float(i % 7) for i in range(40)]).unionByName(readings(spark, [1.0] * 5, "10002")).unionByName(readings(spark, [2.0] * 6, "10003"))
+    table = rules(spark, [(-1, "r", "10001", "value % 3 == 0 ? window_avg(4) : 10 / (value - value)", "x"), (-1, "s", "10003", "other + 1", "y")])
+    drop_files(spark, table, f"{folder}/rules", [(-1, -1)], time.time() - 1000)
+    for low, high in ((0, 12), (13, 30), (31, 39)):
+        series.filter(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(f"{folder}/readings")
+        query = evaluate_stream(
+            spark.readStream.schema(schemas.ARRIVED_READING).parquet(f"{folder}/readings"),
+            spark.readStream.schema(RULE_SCHEMA).parquet(f"{folder}/rules"), f"{folder}/out", f"{folder}/checkpoint", live=False, counters=f"{folder}/counters",
+        )
+        try:
+            assert query.awaitTermination(120)
+        finally:
+            query.stop()
+    assert spark.read.parquet(f"{folder}/counters").count() >= 3
+    total = tuple(stream_counters(spark, f"{folder}/counters").first())
+    assert total == tuple(rule_counters(evaluate_rules(series, table, as_of=True)).first())
+    assert sum(total) == 51 and total[1] == 5 and total[2] >= 6
+
+
 def test_streams_from_folders(spark):
     folder = tempfile.mkdtemp(prefix="run-")
     table = rules(spark, [(0, "r", "10001", "value * 2", "x")]).withColumn("uses_window", F.lit(False))
