@@ -14,6 +14,7 @@ from sensorloom.operators.templates import evaluate_shapes, shapes_of, with_shap
 from sensorloom.operators.windows import known_windows, window_over_history
 from sensorloom.sources.messages import arrival_number, decode_device_records
 from sensorloom.sources.readings import stored_form
+from sensorloom.sources.record_log import log_arrival
 from sensorloom.sources.rules import parse_rules, publish_rules
 from sensorloom.streaming.sliding import BUILT_IN
 from sensorloom.streaming.state import with_rule_state
@@ -95,16 +96,21 @@ def stream_counters(spark: SparkSession, counters: str) -> DataFrame:
 
 
 def evaluate_records(
-    sensor_records: DataFrame, rule_records: DataFrame, path: str, checkpoint: str, mappings: DataFrame | None = None, **options,
+    sensor_records: DataFrame, rule_records: DataFrame, path: str, checkpoint: str, mappings: DataFrame | None = None,
+    from_logs: bool = False, **options,
 ) -> StreamingQuery:
     """The whole job from record streams: decode messages and rules, number them, evaluate, write.
 
-    `mappings` is the registry's table of device slots; options as in `evaluate_stream`.
+    `mappings` is the registry's table of device slots; `from_logs` says that both streams come from `log_records`,
+    whose arrival numbers are unique; options as in `evaluate_stream`.
     """
+    carried = ["timestamp", "offset", "partition"]
+
     def numbered(df: DataFrame) -> DataFrame:
-        return df.withColumn("seq", arrival_number(F.col("timestamp"), F.col("offset")))
+        moment = F.col("timestamp")
+        return df.withColumn("seq", log_arrival(moment, F.col("partition")) if from_logs else arrival_number(moment, F.col("offset")))
 
-    readings = numbered(decode_device_records(sensor_records, mappings, ["timestamp", "offset"]))
+    readings = numbered(decode_device_records(sensor_records, mappings, carried))
     return evaluate_stream(readings, numbered(parse_rules(rule_records)), path, checkpoint, **options)
 
 
