@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators import catalog, formulas, graph, registry
+from sensorloom.operators.changes import ChangeLog
 from sensorloom.plans.registered import query
 from sensorloom.plans.tables import Tables
 from sensorloom.plans.values import fallback_sql
+from sensorloom.session import shared_folder
 
 # -- formula graph -------------------------------------------------------------------
 # Formula k uses others by shape; P_2xxxxx is the serial of a formula.
@@ -284,6 +288,17 @@ def rules_of_changed_sensors(t: Tables) -> DataFrame:
     return registry.rules_of_changes(t.registry, after).select(F.col("derived_sensor_id").alias("serial_text"), "expression")
 
 
+# The same changes and deletes through a change log: what the last version of the table holds.
+@query("""SELECT serial, CASE WHEN serial % 3 = 1 THEN 'first' ELSE sensor_name END AS sensor_name, CASE WHEN serial % 3 = 1 THEN 'INACTIVE' ELSE status END AS status
+          FROM registry WHERE serial % 4 <> 1""")
+def registry_from_change_log(t: Tables) -> DataFrame:
+    log = ChangeLog(t.spark, f"{shared_folder(t.spark)}/registry-{uuid.uuid4().hex}", ["serial"])
+    log.create(t.registry)
+    log.change(lambda held: registry.update_sensors(held, t.sql(_SEVERAL), order="change"))
+    log.change(lambda held: registry.delete_sensors(held, held.filter("serial % 4 = 1").select("serial")))
+    return log.snapshot().select("serial", "sensor_name", "status")
+
+
 # Devices listed twice, with blanks around, and in spellings that share a code.
 _DOUBLES = """SELECT s_name AS device_id, CAST(s_suppkey % 3 + 1 AS INT) AS sensor_count FROM supplier UNION ALL SELECT ' ' || s_name || ' ', 2 FROM supplier
     UNION ALL SELECT replace(s_name, '#', '-'), 1 FROM supplier"""
