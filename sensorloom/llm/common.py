@@ -25,7 +25,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors see (`spark.checkpoint.dir`); a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -19,9 +19,9 @@ from .memory import Memory
 
 # Characters that are encoded at a time, and of texts that are looked at together, besides one whole segment or text. A text
 # falls into segments at single blanks between words.
-SEGMENT, TEXT_CHARS = 250_000, 1_000_000
+SEGMENT, TEXT_CHARS = 150_000, 1_000_000
 # Bytes that a Python worker spends on segments it remembers, about.
-REMEMBERED_BYTES = 240_000_000
+REMEMBERED_BYTES = 150_000_000
 _SPACE = "▁"
 _INNER = re.compile(rf"[^\s{_SPACE}](?:.*[^\s{_SPACE}])?", re.DOTALL)
 _CUT = re.compile(rf"(?<=[^\s{_SPACE}]) (?=[^\s{_SPACE}])")

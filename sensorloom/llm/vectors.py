@@ -241,7 +241,8 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFra
 
     Null label; null, empty or zero vectors, or null or non-finite components: no links, a component of their own. A
     null vec_id takes part, but is a component's id only if there is no other. Rows that repeat a vec_id are
-    joined in components, and count as other rows in n_links. Other columns are not looked at. Empty table: empty result.
+    joined in components, and count as other rows in n_links. vec_id may be of any
+    type with an order. Other columns are not looked at. Empty table: empty result.
     """
     small_batches(embeddings.sparkSession)
     rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
