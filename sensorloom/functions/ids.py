@@ -79,8 +79,9 @@ def prefixed_serial(serial: Column) -> Column:
 
 
 def string_hash(text: Column) -> Column:
-    """The 32-bit polynomial hash (factor 31) over the characters of a text."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    """The 32-bit polynomial hash (factor 31) over the UTF-16 units of a text."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    codes = F.transform(units, lambda unit: F.conv(unit, 16, 10).cast("bigint"))
     unsigned = F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
     return (unsigned + 2 ** 31).bitwiseAND(F.lit(0xFFFFFFFF)) - 2 ** 31
 

@@ -79,13 +79,14 @@ def test_ids(spark):
 
 def java_hash(text):
     h = 0
-    for c in text:
-        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    units = text.encode("utf-16-be")
+    for c in (int.from_bytes(units[i:i + 2]) for i in range(0, len(units), 2)):
+        h = (h * 31 + c) & 0xFFFFFFFF
     return h - 2 ** 32 if h >= 2 ** 31 else h
 
 
 def test_fallback(spark):
-    names = ["device-001", "device-002", "device-000", "pump", "compressor-main-unit", "d99999999999999999999"]
+    names = ["device-001", "device-002", "device-000", "pump", "compressor-main-unit", "d99999999999999999999", "größe", "pump-🙂"]
     found = column(spark, names, lambda c: ids.fallback_serial(c, F.lit(0)))
     hashed = [500000 + (abs(java_hash(n.upper())) % 500 + 1) * 1000 + 1 for n in names[3:]]
     assert found == [10001, 11001, 10001, *hashed]
