@@ -17,19 +17,23 @@ from pyspark.sql import functions as F
 
 from .common import digest, small_batches, whole_text
 from .hashing import as_bytes, prefix_hash, span_hash
+from .memory import Memory
 
 # A cut comes where the hash of the last WINDOW bytes is below a 1 / SPARSE share of all hashes, LEAST bytes after the one before.
-WINDOW, SPARSE, LEAST = 16, 2048, 512
+WINDOW, SPARSE, LEAST = 16, 4096, 2048
 # Words beside a join that are encoded with it, first so many on each side, then so many.
 WIDTHS = (1, 3)
 # Occurrences in one Arrow batch from which a chunk's references go to several tasks, each with the chunk's text.
 HOT, SALTS = 4, 256
 
-_SYNC = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-_CHUNK = ["key", "salt", "content", "n", "text"]
-_ROW = "key binary, salt int, content binary, n int, text binary"
-_CODED = ["content", "n", "ids", "front", "back"]
-_CODED_ROW = "content binary, n int, ids binary, front string, back string"
+# Bytes that a Python worker spends on words it remembers, about.
+REMEMBERED_BYTES = 150_000_000
+
+_SYNC = re.compile(r"(?<=\S) (?=\S)")
+_CHUNK = ["key", "salt", "content", "n", "chunks", "text"]
+_ROW = "key binary, salt int, content binary, n int, chunks int, text binary"
+_CODED = ["content", "n", "packed", "front", "back"]
+_CODED_ROW = "content binary, n int, packed binary, front string, back string"
 
 
 def cuts(data: bytes) -> list[int]:
@@ -64,10 +68,23 @@ def encoded(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.array(x.ids, "<u4") for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=2)
+def remembered(path: str) -> Memory:
+    """Ids of words with the blank before them; one memory per worker and file."""
+    return Memory(lambda words: [x.tobytes() for x in encoded([f" {w}" for w in words], path)], len, lambda: REMEMBERED_BYTES)
+
+
+def encoded_insides(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of texts that begin with a blank and fall into words at single blanks; words are encoded once as long as they are remembered."""
+    words = [_SYNC.split(x[1:]) for x in texts]
+    known = remembered(path).of(set().union(*words))
+    return [np.frombuffer(b"".join(map(known.__getitem__, of)), "<u4") for of in words]
+
+
 def chunk_rows(texts: DataFrame) -> DataFrame:
-    """(key, salt, content, n, text) of rows (content, text): the chunks, and where they stand.
+    """(key, salt, content, n, chunks, text) of rows (content, text): the chunks, and where they stand.
 
-    A row says that a chunk, under its digest, is the n-th of the text `content`. The first row of a chunk in an Arrow
+    A row says that a chunk, under its digest, is the n-th of so many of the text `content`. The first row of a chunk in an Arrow
     batch also gives its bytes, compressed. A batch gives each text once. Rows of a chunk that comes often in a batch
     carry a salt, and one of them the bytes: no task meets all rows of a frequent chunk.
     """
@@ -87,15 +104,15 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
                     key = hashlib.blake2b(data[a:b], digest_size=16).digest()
                     chunks[key] = data[a:b]
                     often[key] += copies[content]
-                    refs.append((key, content, n))
+                    refs.append((key, content, n, len(bounds) - 1))
             salt = next(iter(texts), b"\0")[0] % SALTS
             salts = {key: salt + 1 if often[key] >= HOT else 0 for key in chunks}
             rows = []
-            for key, content, n in refs:
+            for key, content, n, of in refs:
                 data = chunks.pop(key, None)
-                rows.append((key, salts[key], content, n, data if data is None else pack.compress(data)))
-            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, kinds)], _CHUNK)
+                rows.append((key, salts[key], content, n, of, data if data is None else pack.compress(data)))
+            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 6, kinds)], _CHUNK)
 
     return texts.select("content", "text").mapInArrow(cut, _ROW)
 
@@ -112,39 +129,59 @@ def _parts(text: str) -> tuple[str, str, str] | None:
     return (text[at[0]:at[-1]], text[:at[most]], text[at[-1 - most]:]) if len(at) > 2 * most else None
 
 
-def encoded_chunks(rows: DataFrame, path: str) -> DataFrame:
+def _results(ids: list[np.ndarray], path: str, digests: bool) -> list[tuple]:
+    """(n_tokens, ids, decoded) of texts, or digests of the latter two: see `encode_chunked` and `encode_digests`."""
+    out = []
+    for x in ids:
+        raw, text = x.tobytes(), tokenizer(path).decode(x.tolist(), skip_special_tokens=False)
+        out.append((len(x), *(hashlib.sha256(y).hexdigest() for y in (raw, text.encode()))) if digests else (len(x), raw, text))
+    return out
+
+
+def _result_columns(digests: bool) -> tuple[list[str], list[pa.DataType], str]:
+    if digests:
+        return ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return ["n_tokens", "ids", "decoded"], [pa.int64(), pa.binary(), pa.string()], "n_tokens long, ids binary, decoded string"
+
+
+def encoded_chunks(rows: DataFrame, path: str, digests: bool) -> DataFrame:
     """The rows of `chunk_rows` with what is known of their chunk: a chunk is encoded once in a task, and once at all unless salted.
 
-    (content, n, ids, front, back): ids of the chunk's inside, compressed, and the texts at both ends of it. A chunk with
-    few words has only `front`, its text.
+    (content, n, packed, front, back, and the results): ids of the chunk's inside, compressed, and the texts at both ends
+    of it. A chunk with few words has only `front`, its text. For a text of a single chunk there are the results instead.
     """
+    names, kinds, schema = _result_columns(digests)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         now, known = None, None
         for batch in batches:
             held = list(zip(*(batch.column(c).to_pylist() for c in _CHUNK)))
-            fresh, last = [], now
-            for key, salt, _, _, text in held:
-                if (key, salt) != last:
-                    fresh.append(unpack.decompress(text).decode("utf-8", "surrogatepass"))
-                    last = (key, salt)
-            parts = [_parts(x) for x in fresh]
-            ids = iter(encoded([p[0] for p in parts if p], path))
-            records = iter([(pack.compress(next(ids).astype(_width(path)).tobytes()), *p[1:]) if p else (None, text, None) for text, p in zip(fresh, parts)])
+            records = {now: known}
+            fresh = {}
+            for key, salt, _, _, _, text in held:
+                if (key, salt) not in records and (key, salt) not in fresh:
+                    fresh[key, salt] = unpack.decompress(text).decode("utf-8", "surrogatepass")
+            parts = [_parts(x) for x in fresh.values()]
+            ids = iter(encoded_insides([p[0] for p in parts if p], path))
+            for place, text, p in zip(fresh, fresh.values(), parts):
+                records[place] = (pack.compress(next(ids).astype(_width(path)).tobytes()), *p[1:]) if p else (None, text, None)
+            alone = list({(key, salt) for key, salt, _, _, of, _ in held if of == 1})
+            whole = [joined([records[x]], _width(path)) for x in alone]
+            repair([j for joins, _ in whole for j in joins], path)
+            done = dict(zip(alone, _results([put_together(*x) for x in whole], path, digests)))
             out = []
-            for key, salt, content, n, _ in held:
-                if (key, salt) != now:
-                    now, known = (key, salt), next(records)
+            for key, salt, content, n, of, _ in held:
+                now, known = (key, salt), records[key, salt]
                 # copies of a text in other batches give the same row, most of them one after the other
                 if not out or out[-1][:2] != (content, n):
-                    out.append((content, n, *known))
-            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, kinds)], _CODED)
+                    out.append((content, n, None, None, None, *done[now]) if of == 1 else (content, n, *known, None, None, None))
+            types = (pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.string(), *kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, types)], [*_CODED, *names])
 
     # rows with a chunk's bytes come first
     met = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("text").isNull(), "content", "n")
-    return met.mapInArrow(coded, _CODED_ROW)
+    return met.mapInArrow(coded, f"{_CODED_ROW}, {schema}")
 
 
 def _width(path: str) -> str:
@@ -217,22 +254,25 @@ def repair(joins: list[Join], path: str) -> None:
         joins = [j for j, of in zip(joins, wanted) if not j.settle(*(ids[t] for t in of))]
 
 
-def encoded_texts(chunks: DataFrame, path: str) -> DataFrame:
-    """(content, n_tokens, ids, decoded), one row per distinct text that isn't empty: ids as little-endian unsigned 32-bit integers."""
+def encoded_texts(chunks: DataFrame, path: str, digests: bool) -> DataFrame:
+    """(content and the results), one row per distinct text that isn't empty."""
+    names, kinds, schema = _result_columns(digests)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished(texts: list[tuple[bytes, list[tuple]]]) -> pa.RecordBatch:
-            parts = [joined(chunks, _width(path)) for _, chunks in texts]
+            # a text of a single chunk has its results already
+            results = [chunks[0][3:] for _, chunks in texts]
+            open_ = [k for k, x in enumerate(results) if x[0] is None]
+            parts = [joined([c[:3] for c in texts[k][1]], _width(path)) for k in open_]
             repair([j for joins, _ in parts for j in joins], path)
-            ids = [put_together(*x) for x in parts]
-            decoded = [tokenizer(path).decode(x.tolist(), skip_special_tokens=False) for x in ids]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in texts], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.string())],
-                ["content", "n_tokens", "ids", "decoded"])
+            for k, x in zip(open_, _results([put_together(*x) for x in parts], path, digests)):
+                results[k] = x
+            columns = [[c for c, _ in texts], *zip(*results)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.binary(), *kinds))], ["content", *names])
 
         now, chunks, done = None, [], []
         for batch in batches:
-            for content, n, *chunk in zip(*(batch.column(c).to_pylist() for c in _CODED)):
+            for content, n, *chunk in zip(*(batch.column(c).to_pylist() for c in (*_CODED, *names))):
                 if content != now:
                     if chunks:
                         done.append((now, chunks))
@@ -249,7 +289,7 @@ def encoded_texts(chunks: DataFrame, path: str) -> DataFrame:
             yield finished([(now, chunks)])
 
     met = chunks.repartition("content").sortWithinPartitions("content", "n")
-    return met.mapInArrow(assembled, "content binary, n_tokens long, ids binary, decoded string")
+    return met.mapInArrow(assembled, f"content binary, {schema}")
 
 
 def with_content(documents: DataFrame) -> DataFrame:
@@ -257,10 +297,11 @@ def with_content(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text", whole_text()).withColumn("content", digest(F.col("text")))
 
 
-def encode_distinct(texts: DataFrame, path: str) -> DataFrame:
-    """`encoded_texts` of rows (content, text)."""
-    small_batches(texts.sparkSession)
-    return encoded_texts(encoded_chunks(chunk_rows(texts), path), path)
+def _encoded(documents: DataFrame, path: str, digests: bool) -> DataFrame:
+    small_batches(documents.sparkSession)
+    rows = with_content(documents.select("doc_id", "text"))
+    found = encoded_texts(encoded_chunks(chunk_rows(rows), path, digests), path, digests)
+    return rows.select("doc_id", "content").join(found, "content", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
 
 
 def encode_chunked(documents: DataFrame, path: str) -> DataFrame:
@@ -271,24 +312,23 @@ def encode_chunked(documents: DataFrame, path: str) -> DataFrame:
     tokens included.
 
     Texts are cut by a rolling hash, so that passages that texts share become equal chunks. Distinct chunks are encoded
-    once. At a join, the text between the last and first full words is encoded together with a word of each chunk; the
-    ids of these words must be those that the chunks have there, else more words take part. A tokenizer for which that
-    does not settle is refused with ValueError. Equal texts are put together once.
+    once, where they meet by their digests; there, their words come from a memory. At a join, the text between the last
+    and first full words is encoded together with a word of each chunk; the ids of these words must be those that the
+    chunks have there, else more words take part. A tokenizer for which that does not settle is refused with ValueError.
+    Equal texts are put together once.
 
     Null or empty text: no ids, empty `decoded`. Null doc_id and repeated rows: each row has its result. Other columns
     are not looked at. Empty table: empty result. Words of any length: a chunk without full words is joined as a whole.
     """
-    rows = with_content(documents.select("doc_id", "text"))
-    return _placed(rows, encode_distinct(rows, path)).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("ids", F.lit(b"")).alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded"))
-
-
-def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "content").join(found, "content", "left")
+    found = _encoded(documents, path, False)
+    return found.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
 def encode_digests(documents: DataFrame, path: str) -> DataFrame:
-    """As `encode_chunked`, with SHA-256 digests (lowercase hex) in place of ids and decoded text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    rows = with_content(documents.select("doc_id", "text"))
-    found = encode_distinct(rows, path).select("content", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """As `encode_chunked`, with SHA-256 digests (lowercase hex) in place of ids and decoded text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Only the chunks of texts that have several are shuffled a second time.
+    """
     nothing = F.sha2(F.lit(b""), 256)
-    return _placed(rows, found).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("ids_sha256", nothing).alias("ids_sha256"), F.coalesce("decoded_sha256", nothing).alias("decoded_sha256"))
+    found = _encoded(documents, path, True)
+    return found.select("doc_id", "n_tokens", F.coalesce("ids_sha256", nothing).alias("ids_sha256"), F.coalesce("decoded_sha256", nothing).alias("decoded_sha256"))

@@ -36,10 +36,10 @@ def awkward():
 
 
 @pytest.mark.parametrize("path", PATHS)
-@pytest.mark.parametrize("sparse", [1024, 24])
+@pytest.mark.parametrize("sparse", [4096, 24])
 def test_equal_to_the_library(spark, monkeypatch, path, sparse):
     monkeypatch.setattr(chunks, "SPARSE", sparse)
-    monkeypatch.setattr(chunks, "LEAST", 512 if sparse > 100 else 30)
+    monkeypatch.setattr(chunks, "LEAST", 2048 if sparse > 100 else 30)
     held, rows = library(path), awkward()
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, content string, n int").repartition(3)
     got = chunks.encode_chunked(df, path).collect()
@@ -61,7 +61,7 @@ def test_query_equals_the_library(spark):
 
 def test_shared_passages_become_shared_chunks():
     rng = random.Random(2)
-    shared = prose(rng, 3000).encode()
+    shared = prose(rng, 9000).encode()
     parts = []
     for _ in range(2):
         data = prose(rng, rng.randrange(300)).encode() + shared
