@@ -4,19 +4,22 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from sensorloom.llm.chunks import encode_chunked
 from sensorloom.llm.licenses import scan_licenses
 from sensorloom.llm.lines import dedup_lines
 from sensorloom.llm.minhash import near_duplicates, without_near_duplicates
 from sensorloom.llm.mixing import mix_sources, mixed_documents
 from sensorloom.llm.pieces import decode, encode
+from sensorloom.llm.runs import digests, periodic_runs, with_repeated_ends
+from sensorloom.llm.spans import align_tokens
 from sensorloom.llm.spots import fingerprints, spot_links
 from sensorloom.llm.suffixes import remove_repeats
 from sensorloom.llm.tokens import count_tokens
 from sensorloom.llm.toxicity import score_documents, train, without_toxic
 from sensorloom.llm.vectors import embedding_duplicates
 
-MODEL = public_tokenizers.path("piece_bpe_32k.model")
-CLASHING = ["key", "content", "node", "component", "ids", "n_gone", "score", "part", "size", "_copy", "signs", "held", "shard", "n", "line", "row", "a", "b", "gone", "words", "copies", "id", "col"]
+MODEL, WORDS, BYTES = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"))
+CLASHING = ["key", "content", "node", "component", "ids", "n_gone", "score", "part", "size", "_copy", "signs", "held", "shard", "n", "line", "row", "a", "b", "gone", "words", "copies", "id", "col", "salt", "chunks", "links", "runs", "collapsed", "h", "g", "p"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
@@ -43,6 +46,9 @@ OPERATORS = {
     "tokens": lambda s, d: count_tokens(d, MODEL),
     "pieces": lambda s, d: decode(encode(d, MODEL), MODEL),
     "mix": lambda s, d: mix_sources(d),
+    "chunks": lambda s, d: encode_chunked(d, WORDS),
+    "spans": lambda s, d: align_tokens(d, BYTES, MODEL),
+    "runs": lambda s, d: digests(periodic_runs(with_repeated_ends(d))),
 }
 
 
