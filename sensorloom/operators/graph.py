@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.categories import clean_formula_id
 from sensorloom.functions.ids import canonical_serial_id
-from sensorloom.session import cut, shared_folder
+from sensorloom.operators.skew import SPLIT_ROWS, look_up
+from sensorloom.session import cut, shared_folder, shuffled
 
 # Names that are neither formulas nor sensors.
 RESERVED = (
@@ -298,13 +299,18 @@ def formula_aliases(formulas: DataFrame) -> DataFrame:
     return listed.groupBy("alias").agg(F.min_by("id", F.struct("_rank", "id")).alias("id"))
 
 
-def find_formulas(formulas: DataFrame, requests: DataFrame, column: str = "name") -> DataFrame:
-    """Requests with `formula_id`: by any alias as written, else by the cleaned name."""
+def find_formulas(formulas: DataFrame, requests: DataFrame, column: str = "name", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Requests with `formula_id`: by any alias as written, else by the cleaned name.
+
+    Each distinct name is looked up once; a name of more than `split_rows` requests does not gather them in one task.
+    """
     aliases = formula_aliases(formulas)
     exact = aliases.select(F.col("alias").alias(column), F.col("id").alias("_exact"))
     cleaned = aliases.select(F.col("alias").alias("_clean"), F.col("id").alias("_cleaned"))
-    return (
-        requests.join(exact, column, "left")
-        .withColumn("_clean", clean_formula_id(F.col(column))).join(cleaned, "_clean", "left")
-        .withColumn("formula_id", F.coalesce("_exact", "_cleaned")).drop("_exact", "_clean", "_cleaned")
+    names = requests.select(column).filter(F.col(column).isNotNull()).distinct()
+    known = (
+        names.join(shuffled(exact), column, "left")
+        .withColumn("_clean", clean_formula_id(F.col(column))).join(shuffled(cleaned), "_clean", "left")
+        .select(column, F.coalesce("_exact", "_cleaned").alias("formula_id"))
     )
+    return look_up(requests, known, column, split_rows)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.session import cut, small_side
+from sensorloom.session import cut, shuffled, small_side
 
 SPLIT_ROWS = 20_000_000
 
@@ -145,6 +145,22 @@ def with_history(
     return rest.unionByName(split.select(*rest.columns))
 
 
+def look_up(df: DataFrame, table: DataFrame, key: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """A left join with a table of one row per key, in which no key's rows have to meet in one task.
+
+    Rows of keys that come more than `split_rows` times stay where they are and get the table's rows for these keys,
+    at most (rows of df / split_rows); the others are shuffled, as the table is.
+    """
+    hot = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > split_rows).select(key)
+    if hot.isEmpty():
+        return df.join(shuffled(table), key, "left")
+    hot = cut(hot)
+    few = cut(table.join(small_side(hot), key, "left_semi"))
+    rest = join_keys(df, small_side(hot), [key], "left_anti").join(shuffled(table), key, "left")
+    there = join_keys(df, small_side(hot), [key], "left_semi").join(small_side(few), key, "left")
+    return rest.unionByName(there)
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str | None = None) -> DataFrame:
     """The first n rows per key in a given order.
 
