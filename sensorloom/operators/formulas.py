@@ -12,6 +12,7 @@ from sensorloom.operators.catalog import registry_to_formulas
 from sensorloom.operators.graph import find_formulas
 from sensorloom.operators.registry import fold_changes
 from sensorloom.operators.skew import explode_range
+from sensorloom.session import shuffled
 
 # The formulas of a fresh or reset table (id, name, category, target, expression, tags).
 DEFAULTS = [
@@ -69,12 +70,12 @@ def update_formulas(formulas: DataFrame, changes: DataFrame, strict: bool = True
     """
     changes = fold_changes(changes, "id", order)
     if strict:
-        unknown = changes.join(formulas.select("id"), "id", "left_anti").limit(5).collect()
+        unknown = changes.join(shuffled(formulas.select("id")), "id", "left_anti").limit(5).collect()
         if unknown:
             raise ValueError(f"unknown formulas: {[row['id'] for row in unknown]}")
     fields = [name for name in _FIELDS if name in changes.columns and name in formulas.columns]
     given = changes.select("id", *[F.col(name).alias(f"_{name}") for name in fields], F.lit(True).alias("_changed"))
-    joined = formulas.join(given, "id", "left")
+    joined = formulas.join(shuffled(given), "id", "left")
     new = {n: F.coalesce(f"_{n}", n) for n in fields}
     if "updated_at" in formulas.columns and "updated_at" not in fields:
         new["updated_at"] = F.when(F.col("_changed"), F.current_timestamp()).otherwise(F.col("updated_at"))
@@ -112,10 +113,10 @@ def apply_formula_sync(formulas: DataFrame, registry: DataFrame) -> DataFrame:
     found = find_formulas(formulas, spelled, "by_code").withColumn("_id", F.coalesce("_first", "formula_id"))
     texts = registry.select("serial", F.when(F.col("formula_expression") != "", F.col("formula_expression")).alias("_text"))
     changed = (
-        found.filter(F.col("_id").isNotNull()).join(texts, "serial").filter(F.col("_text").isNotNull())
+        found.filter(F.col("_id").isNotNull()).join(shuffled(texts), "serial").filter(F.col("_text").isNotNull())
         .groupBy(F.col("_id").alias("id")).agg(F.max_by("_text", "serial").alias("expression"))
     )
-    changed = changed.join(formulas.select("id", F.col("expression").alias("_old")), "id").filter(F.col("expression") != F.col("_old"))
+    changed = changed.join(shuffled(formulas.select("id", F.col("expression").alias("_old"))), "id").filter(F.col("expression") != F.col("_old"))
     changed = changed.select("id", "expression", primary_sensor_of(F.col("expression")).alias("target_sensor"))
     updated = update_formulas(formulas, changed, strict=False)
     missing = found.filter(F.col("_id").isNull())
