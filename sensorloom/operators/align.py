@@ -39,7 +39,7 @@ def align_series(
     present_here = [F.coalesce(F.max(F.when(F.col("sensor_id") == s, 1)), F.lit(0)) for s in sensors]
     met = F.count("*") if by == "position" else sum(present_here[1:], present_here[0])
     if by == "position":
-        placed = positions(wanted.select("sensor_id", "value", *dict.fromkeys([*order, "ts"])), ["sensor_id"], order, "pos", split_rows)
+        placed = positions(wanted.select(*dict.fromkeys(["sensor_id", "value", *order, "ts"])), ["sensor_id"], order, "pos", split_rows)
         if duration is not None:
             placed = placed.filter(F.col("pos") < duration)
         key = "pos"
@@ -49,10 +49,13 @@ def align_series(
     else:
         raise ValueError(f"cannot align by {by!r}")
     owner = clock or sensors[0]
-    last = F.struct(*[F.col(c).alias(f"_{c}") for c in order], "value")  # one reading per sensor and step, except by time
+    last = F.struct(*[F.col(c).alias(f"_{c}") for c in order], "value")
 
     def value_of(sensor: str):
-        return F.max(F.when(F.col("sensor_id") == sensor, last))["value"].alias(sensor)
+        mine = F.col("sensor_id") == sensor
+        if by == "position":  # one reading per sensor and step
+            return F.max(F.when(mine, F.col("value"))).alias(sensor)
+        return F.max(F.when(mine, last))["value"].alias(sensor)
 
     values = [value_of(s) for s in sensors]
     steps = placed.groupBy(key).agg(

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from sensorloom.session import cut, shuffled, small_side
 
-SPLIT_ROWS = 20_000_000
+# Rows of a key that one task may work on in order. Windows over blocks need about 1 KB a row in all their sorts.
+SPLIT_ROWS = 250_000
+# Slices and chunks of a split key are smaller, so that tasks that get several of them by chance are about as large.
+PARTS = 4
 
 
 def micros(df: DataFrame, column: str) -> Column:
@@ -42,9 +45,9 @@ def hot_keys(
 ) -> DataFrame | None:
     """Keys with more than `split_rows` rows and the width of their slices, or None.
 
-    There are at most (rows of df / split_rows) of them, whatever the data. The slices
-    of a key are narrowed until each holds about `split_rows` rows at most, or cannot
-    be narrowed any more (that many rows with one and the same first order value).
+    There are at most (rows of df / split_rows) of them, whatever the data; `_rows` is their
+    number of rows. The slices of a key are narrowed until each holds `split_rows` rows at most, or
+    cannot be narrowed any more (that many rows with one and the same first order value).
     `profile` gives the number of rows and the range of the first order column per key
     (`_rows`, `_low`, `_high`) where they are known already.
     """
@@ -56,19 +59,19 @@ def hot_keys(
     hot = profile.filter(F.col("_rows") > split_rows)
     if hot.isEmpty():
         return None
-    hot = cut(hot.select(*keys, "_low", F.greatest(
-        F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / split_rows)),
+    hot = cut(hot.select(*keys, "_rows", "_low", F.greatest(
+        F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") * PARTS / split_rows)),
     ).cast("bigint").alias("_width")))
     while True:
         fullest = (
             _sliced(df, hot, keys, order).groupBy(*keys, "_slice").count()
             .groupBy(*keys).agg(F.max("count").alias("_most"))
         )
-        narrowed = cut(join_keys(hot, fullest, keys).select(*keys, "_low", "_width", "_most"))
-        dense = (F.col("_most") > 4 * split_rows) & (F.col("_width") > 1)
+        narrowed = cut(join_keys(hot, fullest, keys).select(*keys, "_rows", "_low", "_width", "_most"))
+        dense = (F.col("_most") > split_rows) & (F.col("_width") > 1)
         if narrowed.filter(dense).isEmpty():
             return narrowed.drop("_most")
-        hot = cut(narrowed.select(*keys, "_low", F.when(
+        hot = cut(narrowed.select(*keys, "_rows", "_low", F.when(
             dense, F.greatest(F.lit(1), F.ceil(F.col("_width") / 16)),
         ).otherwise(F.col("_width")).cast("bigint").alias("_width")))
 
@@ -76,22 +79,27 @@ def hot_keys(
 def _sliced(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of the hot keys with `_slice`, which never falls along the order; rows without a first order value come first."""
     at = micros(df, order[0])
-    joined = join_keys(df.withColumn("_at", at), small_side(hot), keys)
+    joined = join_keys(df.withColumn("_at", at), small_side(hot.drop("_rows")), keys)
     slice_of = F.coalesce(F.call_function("div", F.col("_at") - F.col("_low"), F.col("_width")), F.lit(-1).cast("bigint"))
     return joined.withColumn("_slice", slice_of).drop("_at", "_low", "_width")
 
 
-def _positions_of_hot(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def _tasks(hot: DataFrame, split_rows: int) -> int:
+    """Tasks for the rows of the hot keys; a number that is given is not lowered by their size in bytes."""
+    return max(1, -(-(hot.agg(F.sum("_rows")).first()[0] or 0) // split_rows))
+
+
+def _positions_of_hot(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str], out: str, tasks: int) -> DataFrame:
     sliced = _sliced(df, hot, keys, order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = cut(
         sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"))
         .select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_inside", F.row_number().over(inside) - 1)
+    numbered = sliced.repartition(tasks, *keys, "_slice").withColumn("_inside", F.row_number().over(inside) - 1)
     return (
-        join_keys(numbered, offsets, [*keys, "_slice"])
+        join_keys(numbered, small_side(offsets), [*keys, "_slice"])
         .withColumn(out, F.col("_inside") + F.col("_offset"))
         .drop("_inside", "_offset", "_slice")
     )
@@ -104,14 +112,14 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos"
     if hot is None:
         return df.withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
     rest = join_keys(df, small_side(hot), keys, "left_anti").withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
-    return rest.unionByName(_positions_of_hot(df, hot, keys, order, out).select(*rest.columns))
+    return rest.unionByName(_positions_of_hot(df, hot, keys, order, out, _tasks(hot, split_rows)).select(*rest.columns))
 
 
 def over_chunks(
     df: DataFrame, keys: list[str], reach: int, add: Callable[[DataFrame, list[str], list[str]], DataFrame],
-    pos: str = "pos", chunk_rows: int = SPLIT_ROWS,
+    pos: str = "pos", chunk_rows: int = SPLIT_ROWS, tasks: int | None = None,
 ) -> DataFrame:
-    """Run `add(df, keys, order)` on chunks of consecutive positions.
+    """Run `add(df, keys, order)` on chunks of consecutive positions, in so many tasks if `tasks` is given.
 
     The last `reach` rows of a chunk are copied in front of the next one, so that a row
     frame of up to `reach` rows back sees just what it would see in one piece.
@@ -122,6 +130,8 @@ def over_chunks(
     copied = df.withColumn("_home", home).withColumn("_chunk", F.explode(
         F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home"))),
     ))
+    if tasks is not None:
+        copied = copied.repartition(tasks, *keys, "_chunk")
     return add(copied, [*keys, "_chunk"], [pos]).filter(F.col("_chunk") == F.col("_home")).drop("_home", "_chunk")
 
 
@@ -139,8 +149,9 @@ def with_history(
     hot = None if small else hot_keys(df, keys, order, split_rows, profile)
     if hot is None:
         return add(df, keys, order)
-    numbered = _positions_of_hot(df, hot, keys, order, "_pos")
-    split = over_chunks(numbered, keys, reach, add, "_pos", split_rows).drop("_pos")
+    tasks = _tasks(hot, split_rows)
+    numbered = _positions_of_hot(df, hot, keys, order, "_pos", tasks)
+    split = over_chunks(numbered, keys, reach, add, "_pos", -(-split_rows // PARTS), tasks).drop("_pos")
     rest = add(join_keys(df, small_side(hot), keys, "left_anti"), keys, order)
     return rest.unionByName(split.select(*rest.columns))
 

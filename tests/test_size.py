@@ -11,7 +11,7 @@ from sensorloom.functions.formula import FormulaError, WindowCall, parse_formula
 from sensorloom.operators import catalog, formulas, registry
 from sensorloom.operators.align import align_series
 from sensorloom.operators.rules import apply_rules
-from sensorloom.operators.skew import first_rows, positions
+from sensorloom.operators.skew import SPLIT_ROWS, first_rows, positions
 from sensorloom.operators.windows import rolling
 from sensorloom.sources import exports
 from sensorloom.streaming.evaluator import evaluate_stream
@@ -147,3 +147,29 @@ def test_rules_of_changes(spark):
     assert [r["expression"] for r in registry.rules_of_changes(before, registry.update_sensors(before, change)).collect()] == ["value * 3"]
     off = spark.createDataFrame([(one, "INACTIVE")], "serial long, status string")
     assert registry.rules_of_changes(before, registry.update_sensors(before, off)).count() == 0
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_split_keys_fill_tasks_evenly(spark):
+    rows = readings(spark, [i % 37 for i in range(4000)])
+    calls = [WindowCall("max", 300), WindowCall("rate", 5)]
+    split = rolling(rows, calls, split_rows=400)
+    names = [c.column for c in calls]
+    assert values(split, "seq", *names) == values(rolling(rows, calls), "seq", *names)
+    # windows of 300 rows make chunks of 300 rows; no task gathers chunks for being small in bytes
+    assert largest_task(split) <= 1600
+    assert largest_task(positions(rows, ["sensor_id"], ["ts", "seq"], split_rows=400)) <= 1600
+
+
+def test_a_task_of_usual_size():
+    assert SPLIT_ROWS <= 1_000_000  # wide windows take about 1 KB a row
+
+
+def test_aligned_by_the_value_too(spark):
+    two = readings(spark, range(40)).unionByName(readings(spark, range(100, 150), "10002"))
+    whole = values(align_series(two, ["10001", "10002"], order=["ts", "value"]), "pos", "10001", "10002")
+    assert len(whole) == 40
+    assert values(align_series(two, ["10001", "10002"], order=["ts", "value"], split_rows=7), "pos", "10001", "10002") == whole
