@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.categories import clean_formula_id
 from sensorloom.functions.ids import canonical_serial_id
-from sensorloom.operators.skew import SPLIT_ROWS, look_up
+from sensorloom.operators.skew import FREQUENT, look_up
 from sensorloom.session import cut, shared_folder, shuffled
 
 # Names that are neither formulas nor sensors.
@@ -299,7 +299,7 @@ def formula_aliases(formulas: DataFrame) -> DataFrame:
     return listed.groupBy("alias").agg(F.min_by("id", F.struct("_rank", "id")).alias("id"))
 
 
-def find_formulas(formulas: DataFrame, requests: DataFrame, column: str = "name", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def find_formulas(formulas: DataFrame, requests: DataFrame, column: str = "name", split_rows: int = FREQUENT) -> DataFrame:
     """Requests with `formula_id`: by any alias as written, else by the cleaned name.
 
     Each distinct name is looked up once; a name of more than `split_rows` requests does not gather them in one task.

@@ -156,7 +156,10 @@ def with_history(
     return rest.unionByName(split.select(*rest.columns))
 
 
-def look_up(df: DataFrame, table: DataFrame, key: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
+FREQUENT = 2_000_000  # rows of one key that a lookup lets meet in one task; their sort takes about 130 bytes a row
+
+
+def look_up(df: DataFrame, table: DataFrame, key: str, split_rows: int = FREQUENT) -> DataFrame:
     """A left join with a table of one row per key, in which no key's rows have to meet in one task.
 
     Rows of keys that come more than `split_rows` times stay where they are and get the table's rows for these keys,
