@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ from .memory import Memory
 # Characters that are encoded at a time, and of texts that are looked at together, besides one whole segment or text. A text
 # falls into segments at single blanks between words.
 SEGMENT, TEXT_CHARS = 150_000, 1_000_000
+# Characters that one call of a library gets, besides one whole segment: both take less time for a character of short texts.
+CALL = 1_000
 # Bytes that a Python worker spends on segments it remembers, about.
 REMEMBERED_BYTES = 150_000_000
 _SPACE = "▁"
 # The blank comes first, so that the search leaps from blank to blank.
 _CUT = re.compile(rf" (?<=[^\s{_SPACE}] )(?=[^\s{_SPACE}])")
-_SPAN = attrgetter("id", "begin", "end")
 
 
 def _inner(segment: str) -> bool:
@@ -72,6 +74,13 @@ def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return decoded + np.where(latest >= 0, (ends - decoded)[latest], 0)
 
 
+def _joined(found: list[tuple[list[int], list[tuple[int, int]]]], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the spans (two columns) of several calls, each of which begins at its place."""
+    ids = np.array(list(chain.from_iterable(x for x, _ in found)), np.int64)
+    spans = np.array(list(chain.from_iterable(x for _, x in found)), np.int64).reshape(-1, 2)
+    return ids, spans + np.repeat(begins, [len(x) for x, _ in found])[:, None]
+
+
 class Tokenizers:
     """A byte-level BPE file (A) and a SentencePiece file with byte fallback (B), and all id pairs that can be linked.
 
@@ -125,21 +134,20 @@ class Tokenizers:
             return none, none, none, none
         parts, base = [], 0
         for segment in segments(text, SEGMENT):
-            data = f" {segment}".encode()
-            code = self.a.encode(f" {segment}", add_special_tokens=False)
-            a = np.array(code.ids, np.int64)
-            spans = np.fromiter(chain.from_iterable(code.offsets), np.int64, 2 * len(a))
-            if len(data) != len(segment) + 1:  # offsets count characters
+            data, calls = f" {segment}".encode(), segments(segment, CALL)
+            begins = np.cumsum([0, *(len(x) + 1 for x in calls[:-1])])  # of each call's blank, as the offsets of A in characters
+            a, spans = _joined([((code := self.a.encode(f" {x}", add_special_tokens=False)).ids, code.offsets) for x in calls], begins)
+            if len(data) != len(segment) + 1:
                 points = np.frombuffer(f" {segment}".encode("utf-32-le"), np.uint32)
                 width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-                spans = np.concatenate(([0], np.cumsum(width)))[spans]
-            ends_a = refined(spans[0::2], spans[1::2], self.size_a[a])
-            # this release of the library gives the immutable proto's spans, in bytes, as a plain proto
-            spans = np.fromiter(chain.from_iterable(map(_SPAN, self.b.encode(segment, return_type="proto").pieces)), np.int64)
-            b = spans[0::3]
-            ends_b = refined(spans[1::3] + 1, spans[2::3] + 1, self.size_b[b])  # the blank is not in the text
+                places = np.concatenate(([0], np.cumsum(width)))
+                spans, begins = places[spans], places[begins]
+            ends_a = refined(spans[:, 0], spans[:, 1], self.size_a[a])
+            # the spans of B are in bytes, and the blank is not in its text
+            b, spans = _joined([((found := self.b.encode(x, return_type="offset_mapping", return_bytes=True))["ids"], found["offsets"]) for x in calls], begins + 1)
+            ends_b = refined(spans[:, 0], spans[:, 1], self.size_b[b])
             for ids, held, ends in ((a, self.bytes_a, ends_a), (b, self.bytes_b, ends_b)):
-                if b"".join([held[i] for i in ids.tolist()]) != data or (len(ends) and ends[-1] != len(data)):
+                if b"".join(map(held.__getitem__, ids.tolist())) != data or (len(ends) and ends[-1] != len(data)):
                     return none, none, none, none
             parts.append((a, ends_a + base, b, ends_b + base))
             base += len(data)
@@ -227,6 +235,19 @@ def remembered(path_a: str, path_b: str) -> Memory:
     return Memory(tokenizers(path_a, path_b).parts, lambda x: 0 if x is None else 250 + len(x[3]) + len(x[4]), lambda: REMEMBERED_BYTES)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without searches for cycles, of which spans, ids and remembered segments make none, and which would look at all of these."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+@uncollected()
 def digested(texts: list[str], path_a: str, path_b: str) -> list[tuple]:
     """(n_a, n_b, n_groups, groups_sha256, links as int32 bytes) of each text."""
     out, start = [], 0

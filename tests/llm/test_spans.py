@@ -1,5 +1,6 @@
 """Token alignment against plain code over decoded bytes."""
 
+import gc
 import hashlib
 import random
 from collections import Counter
@@ -100,6 +101,36 @@ def test_segments_have_the_tokens_of_the_whole(monkeypatch):
         assert all(np.array_equal(x, y) for x, y in zip(both.tokens(t), want))
 
 
+class Seen:
+    """A tokenizer that notes the lengths of the texts it gets."""
+
+    def __init__(self, held, most):
+        self.held, self.most = held, most
+
+    def encode(self, text, **settings):
+        self.most.append(len(text))
+        return self.held.encode(text, **settings)
+
+
+def test_a_call_gets_a_short_text(monkeypatch):
+    both = spans.Tokenizers(A, B)
+    text = " ".join(t for _, t in awkward() if t and "▁" not in t) + " one two 日本 three é, four 🙂 five" * 400
+    monkeypatch.setattr(spans, "CALL", len(text))
+    whole = both.tokens(text)
+    monkeypatch.setattr(spans, "CALL", 50)
+    seen = []
+    both.a, both.b = Seen(both.a, seen), Seen(both.b, seen)
+    assert len(whole[0]) and all(np.array_equal(x, y) for x, y in zip(both.tokens(text), whole))
+    assert len(seen) > 100 and max(seen) <= 50 + max(map(len, spans.segments(text))) + 2
+
+
+def test_cycles_are_searched_again_afterwards():
+    assert gc.isenabled() and spans.digested(["one two"], A, B) and gc.isenabled()
+    with pytest.raises(TypeError):
+        spans.digested([1], A, B)
+    assert gc.isenabled()
+
+
 @pytest.mark.parametrize("segment, limit", [(250_000, 10**8), (40, 2000), (1, 0)])
 def test_remembered_segments_make_the_whole(monkeypatch, segment, limit):
     monkeypatch.setattr(spans, "SEGMENT", segment)
