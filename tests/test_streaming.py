@@ -1,3 +1,4 @@
+import functools
 import glob
 import os
 import tempfile
@@ -5,6 +6,7 @@ import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom import schemas
@@ -12,7 +14,7 @@ from sensorloom.operators.rules import apply_rules, evaluate_rules, rule_counter
 from sensorloom.sources.messages import file_records, read_sensor_stream
 from sensorloom.sources.readings import read_readings, write_readings
 from sensorloom.sources.rules import publish_rules, read_rule_stream
-from sensorloom.streaming.evaluator import evaluate_records, evaluate_stream, stream_counters
+from sensorloom.streaming.evaluator import FILES_A_DAY, evaluate_records, evaluate_stream, stream_counters
 from tests.helpers import readings, rules
 from tests.test_rules import simulated
 
@@ -63,6 +65,24 @@ def test_stream_equals_batch(spark, retention):
     assert [(r["seq"], r["sensor_id"]) for r in batch] == [(r["seq"], r["sensor_id"]) for r in derived]
 
 
+def test_a_day_gets_few_files(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    series = [readings(spark, [1.0, 2.0], str(10001 + n)) for n in range(30)]
+    drop_files(spark, functools.reduce(DataFrame.unionByName, series), f"{folder}/readings", [(0, 1)], time.time() - 1000)
+    drop_files(spark, rules(spark, [(-1, "r", "10001", "value * 2", "x")]), f"{folder}/rules", [(-1, -1)], time.time() - 1000)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        query = evaluate_stream(
+            spark.readStream.schema(schemas.ARRIVED_READING).parquet(f"{folder}/readings"),
+            spark.readStream.schema(RULE_SCHEMA).parquet(f"{folder}/rules"), f"{folder}/out", f"{folder}/checkpoint", live=False)
+        assert query.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert spark.read.parquet(f"{folder}/out").filter("ord = 1").count() == 60
+    assert 1 < len(glob.glob(f"{folder}/out/date=*/batch=*/*.parquet")) <= FILES_A_DAY
+
+
 def test_live_stream_holds_history(spark):
     folder = tempfile.mkdtemp(prefix="run-")
     drop_files(spark, readings(spark, [1, 2, 3]), f"{folder}/readings", [(0, 2)], time.time() - 1000)
