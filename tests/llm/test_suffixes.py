@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from sensorloom.llm.queries import op1_suffix_array
 from sensorloom.llm.suffixes import multikey_order, remove_repeats
 
 
@@ -60,6 +61,23 @@ def test_edges(spark):
     assert got == [(0, 0, 0, none), (0, 5, 0, hashlib.sha256(b"short").hexdigest()), (1, 500, 500, none), (1, 500, 500, none)]
 
 
+def test_planted_passages_of_400_bytes_go_and_shorter_ones_stay(spark, tmp_path):
+    rng = random.Random(9)
+    words = lambda k, letters="abcdefghijklmnopqrstuvwxyzé": " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(k))
+    texts, spans = [words(rng.randint(90, 600)) for _ in range(20)], [0] * 80
+    for size in [400, 399, 520, 370, 1300, 390] * 5:  # 30 passages, two documents each
+        passage = words(300, "abcdefghijklmnopqrstuvwxyz")[:size]
+        assert len(passage.split()) > 50
+        for side in "<>", "[]":  # the bytes beside a passage differ from those beside its copy
+            spans[len(texts)] = int(size >= 400)
+            texts.append(f"{words(rng.randint(0, 300))}{side[0]}{passage}{side[1]}{words(rng.randint(0, 300))}")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in op1_suffix_array(spark, str(tmp_path)).collect()}
+    want = brute([t.encode() for t in texts], 400)
+    assert [w[2] for w in want] == spans and sum(spans) == 30
+    assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for i, w in enumerate(want)}
+
+
 def test_multikey_order_sorts_like_bytes():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 3, (500, 4)).astype(np.uint64)
